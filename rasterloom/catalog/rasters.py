@@ -29,6 +29,11 @@ def _dsm_tiles(spark, sf, fill=float("nan")):
     return pixels_to_tiles(t.surface(spark, sf).withColumn("band", F.lit(1)), t.meta(spark, sf), TILE, fill)
 
 
+def _roots(spark, sf):
+    """Square roots of the surface: irrational, so rounding for comparison meets no decimal ties."""
+    return t.surface(spark, sf).withColumn("v", F.sqrt("v"))
+
+
 def _dims(spark, sf, pixels):
     return focal.with_dims(pixels, t.meta(spark, sf))
 
@@ -224,7 +229,7 @@ def _gather(src: str, gsd: float, reach_cells: int, band: str) -> list[str]:
             from (select *, (t + 0.5) * k - 0.5 as c from (
                     select raster_id, ns, ns * 1e0 / nt as k, unnest(range(nt)) as t from ({axis(n)}))),
                  (select unnest(range(-{reach_cells}, {reach_cells + 2})) as o))
-      where j >= 0 and j < ns and abs(j - c) < greatest(k, 1) and c >= -0.5 and c <= ns - 0.5)"""
+      where j >= 0 and j < ns and 1 - abs(j - c) / greatest(k, 1) > 1e-9 and c >= -0.5 and c <= ns - 0.5)"""
     return [line("ly", "height"), line("lx", "width"), f"""moved as (
       select ly.raster_id, {band} as band, ly.t as y, lx.t as x, sum(ly.w * lx.w * q.v) / sum(ly.w * lx.w) as v
       from {src} q join ly on q.raster_id = ly.raster_id and q.y = ly.s
@@ -236,8 +241,7 @@ def _gather(src: str, gsd: float, reach_cells: int, band: str) -> list[str]:
 select raster_id, y, x, round(v, 6) as v from moved"""))
 def _(spark, sf):
     m = t.meta(spark, sf)
-    roots = t.surface(spark, sf).withColumns({"band": F.lit(1), "v": F.sqrt("v")})  # no decimal ties when rounded
-    out = resample.resample_bilinear(roots, m, target_grid(m, 0.83))
+    out = resample.resample_bilinear(_roots(spark, sf).withColumn("band", F.lit(1)), m, target_grid(m, 0.83))
     return out.select("raster_id", "y", "x", r6("v").alias("v"))
 
 
@@ -299,8 +303,9 @@ def _(spark, sf):
     return rounded(stats.height_summary(t.surface(spark, sf)), *_Q)
 
 
-_HIST = """h as (select raster_id, lo, hi, cast(least(floor((v - lo) / (hi - lo) * 64), 63) as integer) as bin, count(*) as n
-  from surface join (select raster_id, min(v) as lo, max(v) as hi from surface group by raster_id) using (raster_id)
+_ROOT = "root as (select raster_id, y, x, sqrt(v) as v from surface)"
+_HIST = _ROOT + """, h as (select raster_id, lo, hi, cast(least(floor((v - lo) / (hi - lo) * 64), 63) as integer) as bin, count(*) as n
+  from root join (select raster_id, min(v) as lo, max(v) as hi from root group by raster_id) using (raster_id)
   group by 1, 2, 3, 4),
 e as (select raster_id, lo, hi, unnest(range(64))::integer as bin from (select distinct raster_id, lo, hi from h))"""
 
@@ -309,7 +314,7 @@ e as (select raster_id, lo, hi, unnest(range(64))::integer as bin from (select d
 select raster_id, bin, round(lo + bin * ((hi - lo) / 64), 6) as "left", round(lo + (bin + 1) * ((hi - lo) / 64), 6) as "right",
        coalesce(n, 0) as n from e left join h using (raster_id, lo, hi, bin)"""))
 def _(spark, sf):
-    return rounded(stats.histogram(t.surface(spark, sf), bins=64), "left", "right")
+    return rounded(stats.histogram(_roots(spark, sf), bins=64), "left", "right")
 
 
 def _otsu(src: str, bins: int = 256) -> str:
@@ -351,7 +356,7 @@ def _(spark, sf):
 select raster_id, bin, round(lo + bin * ((hi - lo) / 300), 6) as "left", round(lo + (bin + 1) * ((hi - lo) / 300), 6) as "right",
        coalesce(n, 0) as n, 10.0e0 as used, 12.5e0 as suggested from e left join h using (raster_id, lo, hi, bin)"""))
 def _(spark, sf):
-    return rounded(stats.diagnostic_table(t.surface(spark, sf), 10.0, 12.5), "left", "right")
+    return rounded(stats.diagnostic_table(_roots(spark, sf), 10.0, 12.5), "left", "right")
 
 
 # neighbourhoods ---------------------------------------------------------------------------------

@@ -165,8 +165,8 @@ def ground_blend_counts(spark, sf):
 
 
 _PRE = PreprocessParams(target_gsd=1.0, sigma=1.5, nodata_threshold=0.05, windows=[5, 40], method="local_min",
-                        height_threshold=HT, max_ndsm_height=50.0, patch_size=SIDE, patch_nodata=0.8,
-                        patch_image_nodata=0.5, tile=TILE)
+                        height_threshold=HT, max_ndsm_height=50.0, patch_size=SIDE, patch_nodata=0.95,
+                        patch_image_nodata=0.8, tile=TILE)
 _PRE_SQL = (*BASE, s.SURFACE, s.DSM, s.IMAGE, *_SOFT, *_LOW, f"""
 mask0 as (select raster_id, y, x, case when b.v = 0 and s.v < 0.05 then 255 else s.v end as mask
   from burn b join soft s using (raster_id, y, x)),
@@ -180,7 +180,7 @@ img as (select raster_id, y, x, case band when 5 then 0 when 4 then 1 when 6 the
 img_seen as (select * from img where v <> 0)""", _PGRID,
     _FRAC.replace("from image where", "from img_seen where"), f"""
 kept as (select *, raster_id || '/' || {_NAME} as patch_id from pgrid join frac using (raster_id, pr, pc)
-  where not mask_nodata > 0.8 and not image_zero > 0.5),
+  where not mask_nodata > 0.95 and not image_zero > 0.8),
 ranked as (select patch_id, row_number() over (order by md5('42:' || patch_id), patch_id) as k, count(*) over () as n from kept),
 split as (select patch_id, case when k <= floor(n * 0.7e0) then 'train' when k <= floor(n * 0.7e0) + floor(n * 0.2e0) then 'val' else 'test' end as split from ranked)""")
 

@@ -26,7 +26,8 @@ def _axis(at: str, slope: Column, offset: Column, n_src: Column, n_dst: Column)
         F.when(first <= last, F.sequence(first, last)),
         lambda t: F.struct(t.cast("bigint").alias("t"), (1.0 - F.abs(s - centre(t)) / reach).alias("w"),
                            centre(t).alias("c")))
-    return F.filter(hits, lambda e: (e["w"] > 0) & (e["c"] >= -0.5) & (e["c"] <= n_src - 0.5))
+    # a neighbour on the very edge of the kernel weighs nothing, whatever the rounding of its position
+    return F.filter(hits, lambda e: (e["w"] > 1e-9) & (e["c"] >= -0.5) & (e["c"] <= n_src - 0.5))
 
 
 def resample_bilinear(raster: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
