@@ -152,7 +152,7 @@ select raster_id, y, x, round(s.v - t.v, 6) as ndsm, coalesce(s.v - t.v < 1.3e0,
        round({s.confidence('s.v - t.v', 1.3)}, 6) as conf
 from surface s left join terrain t using (raster_id, y, x)"""))
 def _(spark, sf):
-    return rounded(ground.from_terrain(t.surface(spark, sf), t.terrain(spark, sf), 1.3), "ndsm", "conf")
+    return rounded(ground.from_terrain(t.surface(spark, sf), t.terrain(spark, sf), 1.3), "ndsm", "conf").drop("dsm")
 
 
 def _two_ways(spark, sf):
@@ -184,7 +184,7 @@ def _blended(spark, sf):
 @check("prj11_soft_blend", sql(s.CELLS, s.SURFACE, s.TERRAIN, s.MASK, _BLEND, body="""
 select raster_id, y, x, mask, round(conf, 6) as conf, round(final, 6) as final from blended"""))
 def _(spark, sf):
-    return rounded(_blended(spark, sf), "conf", "final")
+    return rounded(_blended(spark, sf), "conf", "final").select("raster_id", "y", "x", "mask", "conf", "final")
 
 
 @check("prj12_normalise_ndsm", sql(*BASE, s.SURFACE, s.TERRAIN, s.DSM, """
@@ -432,7 +432,7 @@ h as (select raster_id, y, x, d.v - (m5.v + m40.v) / 2 as h from dsm d join m5 u
        round({s.confidence('h', HT)}, 6) as conf from h"""))
 def _(spark, sf):
     found = ground.from_local_min(_dsm(spark, sf), t.meta(spark, sf), [5, 40], HT, TILE)
-    return rounded(found, "ndsm", "conf")
+    return rounded(found, "ndsm", "conf").drop("dsm")
 
 
 @check("win7_ground_gradient", sql(*BASE, s.SURFACE, s.DSM, _ZERO, *s.slope("sl", "src"), *s.blurred("sm", "sl", 1.0, 4),
@@ -443,7 +443,7 @@ def _(spark, sf):
 from dsm d join sm using (raster_id, y, x) join top using (raster_id) join otsu using (raster_id)"""))
 def _(spark, sf):
     found = ground.from_slope(_dsm(spark, sf), t.meta(spark, sf), 1.0, tile=TILE)
-    return rounded(found, "slope", "threshold", "conf")
+    return rounded(found, "slope", "threshold", "conf").drop("dsm")
 
 
 @check("win8_cumulative_counts", sql(s.CELLS, s.SURFACE, body="""

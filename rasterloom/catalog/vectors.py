@@ -9,7 +9,7 @@ from rasterloom.catalog.rasters import BASE, HT, TILE, _LOW, _dsm
 from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions.pointwise import height_confidence, soft_blend
-from rasterloom.model import densify
+from rasterloom.model import densify, pixels_to_tiles
 from rasterloom.operators import focal, overlay as ov, patches as pt, rasterize as rz, stats
 from rasterloom.plans.preprocess import PreprocessParams, preprocess
 from rasterloom.sources import tables as t
@@ -109,6 +109,15 @@ def _(spark, sf):
     return p.select("patch_id", F.size("data").alias("cells"), zeros.alias("zeros"), r6(F.array_max("data")).alias("top"))
 
 
+@check("geo2_tile_patches_stored", sql(s.CELLS, s.META, s.SURFACE, _PGRID, body=f"""
+select p.raster_id || '/' || {_NAME} as patch_id, {SIDE * SIDE} as cells, round(coalesce(sum(v), 0), 6) as total
+from pgrid p left join surface s on s.raster_id = p.raster_id and s.y // {SIDE} = p.pr and s.x // {SIDE} = p.pc group by 1"""))
+def _(spark, sf):
+    packed = pixels_to_tiles(t.surface(spark, sf).withColumn("band", F.lit(1)), t.meta(spark, sf), SIDE, fill=float("nan"))
+    total = F.aggregate("data", F.lit(0.0), lambda a, v: a + v)
+    return pt.patches_from_tiles(packed, SIDE).select("patch_id", F.size("data").alias("cells"), r6(total).alias("total"))
+
+
 @check("geo5_patch_transform", sql(s.CELLS, s.META, _PGRID, body=f"""
 select raster_id, pr, pc, pc * {SIDE} * 1.0e0 as "left", pr * {SIDE} * 1.0e0 as top, 1.0e0 as px, 1.0e0 as py from pgrid"""))
 def _(spark, sf):

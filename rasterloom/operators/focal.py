@@ -35,7 +35,8 @@ def spread(df: DataFrame, axis: str, length: str, weights: dict[str, list[float]
     # images repeat every 2n cells; only as many as the radius can reach
     reps = F.sequence(-F.ceil(F.lit(r) / (2 * n)), F.ceil(F.lit(r) / (2 * n)))
     images = F.flatten(F.transform(reps, lambda k: F.array(at + 2 * n * k, 2 * n * k - 1 - at)))
-    df = df.withColumn("_q", F.explode(F.filter(images, lambda q: (q >= -r) & (q < n + r))))
+    near = F.filter(images, lambda q: (q >= -r) & (q < n + r))
+    df = df.withColumn("_q", F.explode(F.when((at >= r) & (at < n - r), F.array(at)).otherwise(near)))
     to = F.sequence(F.greatest(F.lit(0), F.col("_q") - r), F.least(n - 1, F.col("_q") + r))
     sent = df.withColumn("_t", F.explode(to))
     tap = (F.col("_q") - F.col("_t") + r + 1).cast("int")

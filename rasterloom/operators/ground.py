@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import pointwise as pw
-from rasterloom.model import pixels_to_tiles, zip_tiles
+from rasterloom.model import pixels_to_tiles, tiles_to_pixels, zip_tiles
 from rasterloom.operators import focal, stats, tiles
 from rasterloom.operators.overlay import CELL, overlay
 from rasterloom.runtime import freeze, lookup_join
@@ -23,7 +23,12 @@ def from_terrain(dsm: DataFrame, dtm: DataFrame, threshold: float) -> DataFrame:
 def _by_height(grid: DataFrame, threshold: float) -> DataFrame:
     h = F.col("ndsm")
     return grid.select(
-        *CELL, "ndsm", pw.below(h, threshold).alias("ground"), pw.height_confidence(h, threshold).alias("conf"))
+        *CELL, "dsm", "ndsm", pw.below(h, threshold).alias("ground"), pw.height_confidence(h, threshold).alias("conf"))
+
+
+def as_tiles(dsm: DataFrame, meta: DataFrame, tile: int) -> DataFrame:
+    """Pack a pixel surface on the complete tile grid; a table already in tile form passes."""
+    return dsm if "data" in dsm.columns else pixels_to_tiles(dsm.withColumn("band", F.lit(1)), meta, tile, float("nan"))
 
 
 def from_local_min(dsm: DataFrame, meta: DataFrame, windows: list[int], threshold: float,
@@ -32,13 +37,14 @@ def from_local_min(dsm: DataFrame, meta: DataFrame, windows: list[int], threshol
 
     A window always covers its own cell, so the minimum at a present cell never depends on what
     missing cells are filled with; a minimum that skips them gives the same heights as filling
-    with the global maximum first, without that extra pass. ``dsm`` is the complete grid.
+    with the global maximum first, without that extra pass. ``dsm`` is a tile table, or pixels
+    (on the complete grid when ``tile`` is None, which selects the pixel form).
     """
     if tile is None:
         low = focal.local_min_surface(focal.with_dims(dsm, meta), windows)
         grid = overlay(dsm.select(*CELL, F.col("v").alias("dsm")), low=low)
     else:
-        packed = pixels_to_tiles(dsm.withColumn("band", F.lit(1)), meta, tile)
+        packed = as_tiles(dsm, meta, tile)
         grid = zip_tiles(tile, dsm=packed, low=tiles.local_min_surface(packed, windows, tile))
     return _by_height(grid.withColumn("ndsm", F.col("dsm") - F.col("low")), threshold)
 
@@ -49,7 +55,7 @@ def slope_surface(dsm: DataFrame, meta: DataFrame, sigma: float, tile: int | Non
         steep = focal.gaussian_blur(focal.gradient_magnitude(focal.with_dims(dsm, meta)), sigma)
         joined = overlay(dsm.select(*CELL, F.col("v").alias("dsm")), slope=steep)
         return joined.withColumn("slope", F.coalesce("slope", F.lit(0.0)))
-    packed = pixels_to_tiles(dsm.withColumn("band", F.lit(1)), meta, tile, fill=float("nan"))
+    packed = as_tiles(dsm, meta, tile)
     smooth = tiles.gaussian_blur(tiles.gradient_magnitude(packed, tile), sigma, tile)
     return zip_tiles(tile, dsm=packed, slope=smooth)
 
@@ -69,7 +75,7 @@ def from_slope(dsm: DataFrame, meta: DataFrame, sigma: float, threshold: float |
     g, here = F.col("slope"), F.col("dsm").isNotNull()
     conf = 1.0 - pw.clamp(g / F.col("_scale"), 0.0, 1.0)
     return lookup_join(grid, scalars, "raster_id").select(
-        *CELL, "slope", "threshold",
+        *CELL, "dsm", "slope", "threshold",
         (here & (g < F.col("threshold"))).alias("ground"),
         F.when(here, conf).otherwise(0.0).alias("conf"))
 
@@ -96,11 +102,15 @@ def detect(dsm: DataFrame, meta: DataFrame, method: str, *, dtm: DataFrame | Non
         raise ValueError("method 'dtm' needs a terrain model")
     if method == "local_min" and dtm is not None:
         raise ValueError("method 'local_min' does not take a terrain model")
-    by_slope = lambda: from_slope(dsm, meta, sigma, slope_threshold, tile)
+    source = freeze(as_tiles(dsm, meta, tile)) if tile is not None and method == "both" else dsm  # read by both branches
+    by_slope = lambda: from_slope(source, meta, sigma, slope_threshold, tile)
     if method == "gradient":
         return by_slope()
-    height = (from_terrain(dsm, dtm, height_threshold) if dtm is not None
-              else from_local_min(dsm, meta, list(windows or [200]), height_threshold, tile))
+    if dtm is not None:
+        flat = tiles_to_pixels(dsm, tile).select(*CELL, "v") if "data" in dsm.columns else dsm
+        height = from_terrain(flat, dtm, height_threshold)
+    else:
+        height = from_local_min(source, meta, list(windows or [200]), height_threshold, tile)
     return combine(height, by_slope(), mode) if method == "both" else height
 
 

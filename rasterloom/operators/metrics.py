@@ -190,24 +190,23 @@ def average_precision(preds: DataFrame, target_thresholds: Sequence[float], keys
     counts get a distributed running total for all target thresholds together.
     """
     keys = list(keys)
-    every = preds.select(*keys).distinct()
     hits = [f"_p{i}" for i in range(len(target_thresholds))]
-    by_score = (
-        preds.filter(is_valid(F.col("target")))
-        .groupBy(*keys, probability().alias("score"))
-        .agg(F.count(F.lit(1)).alias("_n"),
-             *[F.count_if(is_crown(F.col("target"), float(tt))).alias(h) for h, tt in zip(hits, target_thresholds)])
+    valid = is_valid(F.col("target"))
+    by_score = (  # invalid pixels are one NULL score with count 0, which keeps a split without valid pixels
+        preds.groupBy(*keys, F.when(valid, probability()).alias("score"))
+        .agg(F.count_if(valid).alias("_n"),
+             *[F.count_if(valid & is_crown(F.col("target"), float(tt))).alias(h) for h, tt in zip(hits, target_thresholds)])
     )
     steps = prefix_sum(by_score, keys, "score", ["_n", *hits], descending=True)
+    precision = lambda h: F.when(F.col("cum__n") > 0, F.col(f"cum_{h}") / F.col("cum__n")).otherwise(0.0)
     sums = steps.groupBy(*keys).agg(
         F.sum("_n").alias("_all"),
         *[F.sum(h).alias(h) for h in hits],
-        *[F.sum(F.col(h) * F.col(f"cum_{h}") / F.col("cum__n")).alias(f"_a{h}") for h in hits])
+        *[F.sum(F.col(h) * precision(h)).alias(f"_a{h}") for h in hits])
     value = lambda h: F.when((F.col(h) > 0) & (F.col(h) < F.col("_all")), F.col(f"_a{h}") / F.col(h)).otherwise(0.0)
     rows = F.array(*[F.struct(F.lit(float(tt)).alias("tthr"), F.coalesce(value(h), F.lit(0.0)).alias("auc_pr"))
                      for h, tt in zip(hits, target_thresholds)])
-    joined = every.join(sums, keys, "left") if keys else sums
-    return joined.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.tthr", "_r.auc_pr")
+    return sums.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.tthr", "_r.auc_pr")
 
 
 def evaluate(preds: DataFrame, thresholds: Sequence[float], target_thresholds: Sequence[float],

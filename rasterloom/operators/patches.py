@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.hashing import digest
 from rasterloom.functions.naming import patch_name
-from rasterloom.model import NODATA, PATCH_SCHEMA, list_column, tile_grid
+from rasterloom.model import NODATA, PATCH_SCHEMA, list_column, list_rows, tile_grid
 from rasterloom.operators.prefix import hash_rank, prefix_sum
 from rasterloom.runtime import lookup_join
 
@@ -86,6 +88,28 @@ def pack_patches(pixels: DataFrame, size: int) -> DataFrame:
     return slim.groupBy("patch_id", "channel").applyInArrow(pack, PATCH_SCHEMA)
 
 
+def patches_from_tiles(tiles: DataFrame, size: int) -> DataFrame:
+    """Tiles of side ``size`` as padded patches (``raster_id/name``, band - 1 as channel).
+
+    With the storage tile as large as the patch nothing is shuffled: a tile is a patch.
+    """
+
+    def pad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for flat, h, w in zip(list_rows(batch.column("data")), batch.column("h").to_pylist(), batch.column("w").to_pylist()):
+                block = np.zeros((size, size))
+                block[:h, :w] = np.nan_to_num(flat.reshape(h, w), nan=0.0)
+                rows.append(block.ravel())
+            cols = [batch.column(0), batch.column(1), pa.array([size] * batch.num_rows, pa.int32()), list_column(rows)]
+            yield pa.RecordBatch.from_arrays(cols, names=["patch_id", "channel", "size", "data"])
+
+    name = patch_name(F.col("ty"), F.col("tx"), F.ceil(F.col("rh") / size), F.ceil(F.col("rw") / size))
+    named = tiles.select(F.concat_ws("/", "raster_id", name).alias("patch_id"),
+                         (F.col("band") - 1).alias("channel"), "h", "w", "data")
+    return named.mapInArrow(pad, PATCH_SCHEMA)
+
+
 def unpack_patches(patches: DataFrame) -> DataFrame:
     """One array per patch and channel to pixels ``y, x, v``; narrow."""
     keep = [c for c in patches.columns if c != "data"]

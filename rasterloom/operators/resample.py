@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pointwise import scale_to_unit
@@ -11,23 +11,26 @@ from rasterloom.operators.overlay import select_bands
 from rasterloom.runtime import lookup_join
 
 
-def _axis(at: str, slope: Column, offset: Column, n_src: Column, n_dst: Column) -> Column:
-    """Target positions a source position contributes to along one axis, with their weights.
+def _send(df: DataFrame, at: str, size: str, origin: str, count: str, out: str, weight: str) -> DataFrame:
+    """Send every row to the target positions its source position weighs on along one axis.
 
     A target centre lies at ``slope * t + offset`` in source index units. The kernel is a triangle
     of half-width ``max(1, slope)``: plain bilinear when enlarging, area-aware when shrinking.
     """
-    s = F.col(at)
+    slope = F.col(f"t_{size}") / F.col(f"s_{size}")
+    offset = (F.col(f"t_{size}") * 0.5 + F.col(f"t_{origin}") - F.col(f"s_{origin}")) / F.col(f"s_{size}") - 0.5
     reach = F.greatest(slope, F.lit(1.0))
-    first = F.greatest(F.ceil((s - reach - offset) / slope), F.lit(0))
-    last = F.least(F.floor((s + reach - offset) / slope), n_dst - 1)
-    centre = lambda t: slope * t + offset
-    hits = F.transform(
-        F.when(first <= last, F.sequence(first, last)),
-        lambda t: F.struct(t.cast("bigint").alias("t"), (1.0 - F.abs(s - centre(t)) / reach).alias("w"),
-                           centre(t).alias("c")))
+    first = F.greatest(F.ceil((F.col(at) - reach - offset) / slope), F.lit(0))
+    last = F.least(F.floor((F.col(at) + reach - offset) / slope), F.col(f"t_{count}") - 1)
+    centre = slope * F.col(out) + offset
+    sent = (
+        df.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+        .withColumn(out, F.explode(F.sequence("_first", "_last")))
+        .withColumns({"_c": centre, weight: 1.0 - F.abs(F.col(at) - centre) / reach})
+    )
     # a neighbour on the very edge of the kernel weighs nothing, whatever the rounding of its position
-    return F.filter(hits, lambda e: (e["w"] > 1e-9) & (e["c"] >= -0.5) & (e["c"] <= n_src - 0.5))
+    inside = (F.col("_c") >= -0.5) & (F.col("_c") <= F.col(f"s_{count}") - 0.5)
+    return sent.filter((F.col(weight) > 1e-9) & inside).drop("_first", "_last", "_c")
 
 
 def resample_bilinear(raster: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
@@ -42,21 +45,11 @@ def resample_bilinear(raster: DataFrame, source: DataFrame, target: DataFrame) -
     t = target.select("raster_id", *[F.col(c).alias(f"t_{c}") for c in names])
     placed = lookup_join(raster.filter("v is not null"), s.join(t, "raster_id"), "raster_id", "inner")
 
-    def line(size: str, origin: str):
-        slope = F.col(f"t_{size}") / F.col(f"s_{size}")
-        offset = (F.col(f"t_{size}") * 0.5 + F.col(f"t_{origin}") - F.col(f"s_{origin}")) / F.col(f"s_{size}") - 0.5
-        return slope, offset
-
-    ys = _axis("y", *line("py", "y0"), F.col("s_height"), F.col("t_height"))
-    xs = _axis("x", *line("px", "x0"), F.col("s_width"), F.col("t_width"))
-    sent = (
-        placed.select("raster_id", "band", "v", ys.alias("_ys"), xs.alias("_xs"))
-        .select("raster_id", "band", "v", "_xs", F.explode("_ys").alias("_y"))
-        .select("raster_id", "band", "v", "_y", F.explode("_xs").alias("_x"))
-    )
-    w = F.col("_y.w") * F.col("_x.w")
+    sent = _send(placed, "y", "py", "y0", "height", "_ty", "_wy")
+    sent = _send(sent, "x", "px", "x0", "width", "_tx", "_wx")
+    w = F.col("_wy") * F.col("_wx")
     return (
-        sent.groupBy("raster_id", "band", F.col("_y.t").alias("y"), F.col("_x.t").alias("x"))
+        sent.groupBy("raster_id", "band", F.col("_ty").alias("y"), F.col("_tx").alias("x"))
         .agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
     )
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rasterloom.functions.pointwise import soft_blend
 from rasterloom.operators import ground, patches as pt, rasterize, resample, stats
 from rasterloom.operators.augment import MASK_CHANNEL
-from rasterloom.operators.overlay import CELL, overlay, stack_channels
+from rasterloom.model import densify, pixels_to_tiles
+from rasterloom.operators.overlay import CELL, stack_channels
 from rasterloom.operators.patches import PATCH
 from rasterloom.runtime import freeze
 
@@ -51,9 +52,9 @@ class Preprocessed:
 
 
 def soften_with_ground(mask: DataFrame, detection: DataFrame, resolve_above: float) -> DataFrame:
-    """Mask, confidence and the blended mask of every mask cell; no confidence counts as 0."""
-    conf = detection.select(*CELL, F.col("conf").alias("v"))
-    grid = overlay(mask.select(*CELL, "mask"), conf=conf).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
+    """Every mask cell with the detection's columns and the blended mask ``final``; a cell without
+    a detection has confidence 0."""
+    grid = mask.select(*CELL, "mask").join(detection, CELL, "left").withColumn("conf", F.coalesce("conf", F.lit(0.0)))
     return grid.withColumn("final", soft_blend(F.col("mask"), F.col("conf"), resolve_above))
 
 
@@ -64,17 +65,18 @@ def preprocess(crowns: DataFrame, image: DataFrame, image_meta: DataFrame, dsm:
     p = params
     grid = rasterize.target_grid(image_meta, p.target_gsd)
     mask = rasterize.build_mask(crowns, grid, p.sigma, p.nodata_threshold, p.tile)
-    moved = lambda raster, meta: resample.resample_bilinear(
-        raster.withColumn("band", F.lit(1)), meta, grid).select(*CELL, "v")
-    top = freeze(overlay(mask.select(*CELL), dsm=moved(dsm, dsm_meta)).select(*CELL, F.col("dsm").alias("v")))
-    low = None if dtm is None else moved(dtm, dtm_meta)
+    moved = lambda raster, meta: resample.resample_bilinear(raster.withColumn("band", F.lit(1)), meta, grid)
+    if p.tile is None:
+        top = freeze(densify(moved(dsm, dsm_meta), grid))
+    else:
+        top = freeze(pixels_to_tiles(moved(dsm, dsm_meta), grid, p.tile, fill=float("nan")))
+    low = None if dtm is None else moved(dtm, dtm_meta).select(*CELL, "v")
     found = ground.detect(top, grid, p.method, dtm=low, windows=p.windows, height_threshold=p.height_threshold,
                           sigma=p.gradient_sigma, slope_threshold=p.gradient_threshold, mode=p.combine, tile=p.tile)
     if "ndsm" not in found.columns:
         found = found.withColumn("ndsm", F.lit(None).cast("double"))
-    blended = soften_with_ground(mask, found, p.nodata_resolve_threshold)
-    layers = overlay(blended, dsm=top, ndsm=found.select(*CELL, F.col("ndsm").alias("v")))
-    final = freeze(layers.select(*CELL, "mask", "conf", "final", "dsm", "ndsm"))
+    blended = soften_with_ground(mask, found.select(*CELL, "dsm", "ndsm", "conf"), p.nodata_resolve_threshold)
+    final = freeze(blended)
 
     heights = ground.normalise_heights(final, p.max_ndsm_height)
     bands = resample.resample_image(image, p.bands, image_meta, grid)

@@ -6,10 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A lookup side is broadcast only when its counted size stays below this many rows.
-MAX_BROADCAST_ROWS = 200_000
+#: Parameter tables above this many rows are refused.
+MAX_PARAMETER_ROWS = 10_000
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -18,14 +17,17 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and continue from the written copy.
+    """Write ``df`` once below the shared folder and continue from the written table.
 
     Used where a result must be the same in two branches of a plan (partition numbers after a
-    sampled range shuffle) or must not be computed twice (per-raster scalars). The folder is the
-    cluster's ``spark.checkpoint.dir``; one is only made up when the session has none.
+    sampled range shuffle) or must not be computed twice (per-raster scalars, grids read by several
+    stages). The table survives lost executors, is read column by column, and its size is known to
+    the optimiser.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = work_folder(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,18 +47,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
 def lookup_join(df: DataFrame, side: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a lookup that is usually small (one row per raster, channel or patch).
 
-    The side is materialised once and counted. Below :data:`MAX_BROADCAST_ROWS` it is broadcast,
-    so the large side is not shuffled; above, an ordinary join is planned and AQE splits skewed
-    keys.
+    The side is written once, so it is not recomputed and its size is exact: below
+    ``spark.sql.autoBroadcastJoinThreshold`` the optimiser broadcasts it and the large side is not
+    shuffled; above, it plans an ordinary join, whose skewed keys AQE splits.
     """
-    side = freeze(side)
-    if side.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        side = F.broadcast(side)
-    return df.join(side, on, how)
+    return df.join(freeze(side), on, how)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table from parameters (threshold lists, filter taps); its size is the parameter's size."""
-    if len(rows) > MAX_BROADCAST_ROWS:
+    if len(rows) > MAX_PARAMETER_ROWS:
         raise ValueError("parameter table is too large to be shipped with the plan")
     return spark.createDataFrame(rows, schema)
