@@ -16,7 +16,7 @@ from rasterloom.plans.preprocess import soften_with_ground
 from rasterloom.runtime import work_folder
 from rasterloom.sources import rasters, tables as t
 
-TILE = 32
+TILE = 64
 HT = 10.0  # height threshold used by the checks
 BASE = (s.CELLS, s.META, s.GRID)
 
@@ -207,7 +207,7 @@ top as (select raster_id, greatest(coalesce(quantile_cont(v, 0.95) filter (v > 0
   round(least({s.confidence('d.v - t.v', 1.3)}, case when d.v is null then 0 else 1 - least(greatest(sm.v / c, 0), 1) end), 6) as conf
 from dsm d left join terrain t using (raster_id, y, x) join sm using (raster_id, y, x) join top using (raster_id)"""))
 def _(spark, sf):
-    found = ground.detect(_dsm(spark, sf), t.meta(spark, sf), "both", dtm=t.terrain(spark, sf), height_threshold=1.3,
+    found = ground.detect(t.surface(spark, sf), t.meta(spark, sf), "both", dtm=t.terrain(spark, sf), height_threshold=1.3,
                           sigma=1.0, slope_threshold=60.0, mode="and", tile=TILE)
     return found.select("raster_id", "y", "x", "ground", r6("conf").alias("conf"))
 
@@ -431,7 +431,7 @@ h as (select raster_id, y, x, d.v - (m5.v + m40.v) / 2 as h from dsm d join m5 u
     body=f"""select raster_id, y, x, round(h, 6) as ndsm, coalesce(h < {HT}, false) as ground,
        round({s.confidence('h', HT)}, 6) as conf from h"""))
 def _(spark, sf):
-    found = ground.from_local_min(_dsm(spark, sf), t.meta(spark, sf), [5, 40], HT, TILE)
+    found = ground.from_local_min(t.surface(spark, sf), t.meta(spark, sf), [5, 40], HT, TILE)
     return rounded(found, "ndsm", "conf").drop("dsm")
 
 
@@ -442,7 +442,7 @@ def _(spark, sf):
   round(case when d.v is null then 0 else 1 - least(greatest(sm.v / c, 0), 1) end, 6) as conf
 from dsm d join sm using (raster_id, y, x) join top using (raster_id) join otsu using (raster_id)"""))
 def _(spark, sf):
-    found = ground.from_slope(_dsm(spark, sf), t.meta(spark, sf), 1.0, tile=TILE)
+    found = ground.from_slope(t.surface(spark, sf), t.meta(spark, sf), 1.0, tile=TILE)
     return rounded(found, "slope", "threshold", "conf").drop("dsm")
 
 

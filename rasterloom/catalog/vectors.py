@@ -9,8 +9,8 @@ from rasterloom.catalog.rasters import BASE, HT, TILE, _LOW, _dsm
 from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions.pointwise import height_confidence, soft_blend
-from rasterloom.model import densify, pixels_to_tiles
-from rasterloom.operators import focal, overlay as ov, patches as pt, rasterize as rz, stats
+from rasterloom.model import densify, pixels_to_tiles, zip_tiles
+from rasterloom.operators import focal, overlay as ov, patches as pt, rasterize as rz, stats, tiles
 from rasterloom.plans.preprocess import PreprocessParams, preprocess
 from rasterloom.sources import tables as t
 
@@ -161,16 +161,30 @@ select raster_id, count(*) filter (f > 0 and f < 255) as crown, count(*) filter
        count(*) filter (f = 255) as nodata from final group by raster_id""")
 
 
+def _blend_counts(grid):
+    conf = height_confidence(F.col("dsm") - F.col("low"), HT)
+    return stats.mask_counts(grid.withColumn("mask", soft_blend(F.coalesce("mask", F.lit(255.0)), conf, 0.6)))
+
+
 @check("ground_blend_counts", FLAGSHIP_SQL)
 def ground_blend_counts(spark, sf):
-    """Surface and mask grids, minimum filter, confidence, blend, class counts."""
+    """Surface and mask tiles, minimum filter, confidence, blend, class counts.
+
+    Layers meet per tile; the cells are never shuffled after packing.
+    """
+    side, meta = 128, t.meta(spark, sf)
+    pack = lambda px: pixels_to_tiles(px.withColumn("band", F.lit(1)), meta, side, fill=float("nan"))
+    dsm = pack(t.surface(spark, sf))
+    mask = pack(t.soft_mask(spark, sf).withColumnRenamed("mask", "v"))
+    return _blend_counts(zip_tiles(side, dsm=dsm, low=tiles.min_filter(dsm, 7, side), mask=mask))
+
+
+@check("ground_blend_counts_pixels", FLAGSHIP_SQL)
+def _(spark, sf):
     dsm = _dsm(spark, sf)
     low = focal.min_filter(focal.with_dims(dsm, t.meta(spark, sf)), 7)
     mask = t.soft_mask(spark, sf).withColumnRenamed("mask", "v")
-    grid = ov.overlay(dsm.withColumnRenamed("v", "dsm"), low=low, mask=mask)
-    conf = height_confidence(F.col("dsm") - F.col("low"), HT)
-    final = grid.withColumn("mask", soft_blend(F.coalesce("mask", F.lit(255.0)), conf, 0.6))
-    return stats.mask_counts(final)
+    return _blend_counts(ov.overlay(dsm.withColumnRenamed("v", "dsm"), low=low, mask=mask))
 
 
 _PRE = PreprocessParams(target_gsd=1.0, sigma=1.5, nodata_threshold=0.05, windows=[5, 40], method="local_min",

@@ -56,8 +56,7 @@ def slope_surface(dsm: DataFrame, meta: DataFrame, sigma: float, tile: int | Non
         joined = overlay(dsm.select(*CELL, F.col("v").alias("dsm")), slope=steep)
         return joined.withColumn("slope", F.coalesce("slope", F.lit(0.0)))
     packed = as_tiles(dsm, meta, tile)
-    smooth = tiles.gaussian_blur(tiles.gradient_magnitude(packed, tile), sigma, tile)
-    return zip_tiles(tile, dsm=packed, slope=smooth)
+    return zip_tiles(tile, dsm=packed, slope=tiles.smooth_gradient(packed, sigma, tile))
 
 
 def from_slope(dsm: DataFrame, meta: DataFrame, sigma: float, threshold: float | None = None,
@@ -107,7 +106,7 @@ def detect(dsm: DataFrame, meta: DataFrame, method: str, *, dtm: DataFrame | Non
     if method == "gradient":
         return by_slope()
     if dtm is not None:
-        flat = tiles_to_pixels(dsm, tile).select(*CELL, "v") if "data" in dsm.columns else dsm
+        flat = tiles_to_pixels(source, tile).select(*CELL, "v") if "data" in source.columns else source
         height = from_terrain(flat, dtm, height_threshold)
     else:
         height = from_local_min(source, meta, list(windows or [200]), height_threshold, tile)

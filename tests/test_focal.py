@@ -92,6 +92,23 @@ def test_slope_both_forms(spark, grids, loaded):
         np.testing.assert_allclose(grid_of(p, s, rid), slope_brute(grids[rid]), atol=1e-9)
 
 
+@pytest.mark.parametrize("sigma", [0.8, 2.5])
+def test_smooth_gradient_is_blur_of_gradient(spark, grids, loaded, sigma):
+    out = both(spark, tiles.smooth_gradient(loaded[2], sigma, 8))
+    for rid in SHAPES:
+        np.testing.assert_allclose(out[rid], blur_brute(slope_brute(grids[rid]), sigma), atol=1e-9)
+
+
+@pytest.mark.parametrize("windows", [[3, 6], [5, 40], [60]])
+def test_local_min_surface_ways_agree(spark, grids, loaded, windows):
+    """The square halo and the one-directional passes; which one is taken depends on sizes only."""
+    ways = (tiles.local_min_surface(loaded[2], windows, 8), tiles._mean_of_passes(loaded[2], windows, 8))
+    for rid in SHAPES:
+        want = sum(min_brute(grids[rid], w) for w in windows) / len(windows)
+        for df in ways:
+            np.testing.assert_allclose(both(spark, df)[rid], want, atol=1e-12)
+
+
 @pytest.mark.parametrize("tile", [8, None])
 def test_local_min_ground(spark, grids, loaded, tile):
     meta, px, _ = loaded
