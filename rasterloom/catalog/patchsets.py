@@ -260,7 +260,26 @@ def _arrays(df):
     return _out(pt.unpack_patches(df))
 
 
-@check("aug3_grid_distortion")
+def _warped(axis):
+    """Source position per output position along one axis: five stretched steps, rescaled to the patch."""
+    st = [f"(1 + {_b(-0.1, 0.1, f'stretch_{axis}:{i}')})" for i in range(5)]
+    return f"""w{axis} as (
+  select patch_id, on_, p, e[j + 1] + (e[j + 2] - e[j + 1]) * (p * 5 / 7 - j) as s from (
+    select patch_id, on_, e, p, least(floor(p * 5 / 7), 4)::integer as j from (
+      select patch_id, on_, list_transform(c, lambda v: v / c[6] * 7) as e, unnest(range(8)) as p from (
+        select patch_id, {_u('distort')} < 0.2 as on_, [0, {', '.join(' + '.join(st[:k]) for k in range(1, 6))}] as c
+        from (select distinct patch_id from patches)))))"""
+
+
+@check("aug3_grid_distortion", sql(s.PATCHES, s.PATCH_MASK, _ALL, _warped("y"), _warped("x"), """
+pos as (select a.patch_id, a.p as y, b.p as x, a.s as sy, b.s as sx, a.on_ from wy a join wx b using (patch_id)),
+near as (select pos.*, floor(sy) as y0, floor(sx) as x0, sy - floor(sy) as fy, sx - floor(sx) as fx from pos where on_),
+image as (select n.patch_id, i.channel, n.y, n.x, sum(i.v * (case when i.y = y0 then 1 - fy else fy end) * (case when i.x = x0 then 1 - fx else fx end)) as v
+  from near n join patches i on i.patch_id = n.patch_id and i.y between y0 and y0 + 1 and i.x between x0 and x0 + 1 group by all)""",
+    body="""select patch_id, channel, y, x, round(v, 6) as v from image
+union all select n.patch_id, -1, n.y, n.x, round(m.v, 6) from near n
+  join pmask m on m.patch_id = n.patch_id and m.y = floor(sy + 0.5) and m.x = floor(sx + 0.5)
+union all select patch_id, channel, a.y, a.x, round(v, 6) from alls a join pos using (patch_id, y, x) where not on_"""))
 def _(spark, sf):
     only = aug.Ranges(flip=0, rotate=0, transpose=0, tone=0, gamma=0, gain=0, noise=0, blur=0, dropout=0)
     both = t.patches(spark, sf).unionByName(t.patch_masks(spark, sf))

@@ -122,7 +122,7 @@ def _(spark, sf):
 @check("str3_experiment_id", """
 with w as (select p_partkey, p_name, case p_partkey % 3 when 0 then 'weights/' || p_brand || '.best.pt' when 1 then p_brand end as weights,
   (p_partkey % 5)::double / 10 as bce, (p_partkey % 4)::double / 4 as dice, case when p_partkey % 7 = 0 then 'v2' when p_partkey % 7 = 1 then '' end as tag from part),
-parts as (select p_partkey, 'crown_ms' as m, case when contains(weights, '/') then regexp_replace(regexp_extract(weights, '([^/]+)$', 1), '\\.[^.]*$', '') else weights end as w,
+parts as (select p_partkey, 'segmenter' as m, case when contains(weights, '/') then regexp_replace(regexp_extract(weights, '([^/]+)$', 1), '\\.[^.]*$', '') else weights end as w,
   nullif(concat_ws('_', case when bce > 0 then 'bce' || regexp_replace(printf('%.6f', bce), '\\.?0+$', '') end,
                         case when dice > 0 then 'dice' || regexp_replace(printf('%.6f', dice), '\\.?0+$', '') end), '') as l, nullif(tag, '') as tag from w)
 select p_partkey, concat_ws('__', m, w, l, tag) as experiment_id from parts""")
@@ -131,4 +131,4 @@ def _(spark, sf):
     weights = F.when(k % 3 == 0, F.concat(F.lit("weights/"), F.col("p_brand"), F.lit(".best.pt"))).when(k % 3 == 1, F.col("p_brand"))
     losses = {"bce": (k % 5).cast("double") / 10, "dice": (k % 4).cast("double") / 4, "iou": F.lit(0.0)}
     tag = F.when(k % 7 == 0, "v2").when(k % 7 == 1, "")
-    return t.table(spark, sf, "part").select(k, naming.experiment_id(F.lit("crown_ms"), weights, losses, tag).alias("experiment_id"))
+    return t.table(spark, sf, "part").select(k, naming.experiment_id(F.lit("segmenter"), weights, losses, tag).alias("experiment_id"))

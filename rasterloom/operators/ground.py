@@ -62,11 +62,11 @@ def slope_surface(dsm: DataFrame, meta: DataFrame, sigma: float, tile: int | Non
 def from_slope(dsm: DataFrame, meta: DataFrame, sigma: float, threshold: float | None = None,
                tile: int | None = 256, surface: DataFrame | None = None) -> DataFrame:
     """Flat cells are ground. Without a threshold the automatic one of the raster is used."""
-    grid = freeze(slope_surface(dsm, meta, sigma, tile)) if surface is None else surface  # read four times below
+    grid = freeze(slope_surface(dsm, meta, sigma, tile)) if surface is None else surface  # read several times below
     as_raster = grid.select(*CELL, F.col("slope").alias("v"))
-    ends = as_raster.groupBy("raster_id").agg(F.max("v").alias("_top"))
-    scalars = ends.join(stats.upper_height(as_raster), "raster_id", "left").select(
-        "raster_id", F.greatest(F.coalesce("p95", "_top"), F.lit(1e-8)).alias("_scale"))
+    # slopes are never negative: without a positive one the largest is 0
+    scalars = stats.upper_height(as_raster).select(
+        "raster_id", F.greatest(F.coalesce("p95", F.lit(0.0)), F.lit(1e-8)).alias("_scale"))
     if threshold is None:
         scalars = scalars.join(stats.otsu_threshold(as_raster), "raster_id")
     else:
@@ -119,8 +119,7 @@ def normalise_heights(heights: DataFrame, cap: float) -> DataFrame:
     0 where the surface model (column ``dsm``) is missing; still missing where only the height is.
     """
     as_raster = heights.select("raster_id", F.col("ndsm").alias("v"))
-    every = as_raster.select("raster_id").distinct()
-    ceiling = every.join(stats.upper_height(as_raster), "raster_id", "left").select(
+    ceiling = stats.upper_height(as_raster).select(
         "raster_id", F.least(F.coalesce("p95", F.lit(float(cap))), F.lit(float(cap))).alias("_ceil"))
     clipped = F.least(F.greatest(F.col("ndsm"), F.lit(0.0)), F.col("_ceil")) / F.col("_ceil")
     scaled = F.when(F.col("dsm").isNull(), 0.0).when(F.col("ndsm").isNotNull(), clipped)

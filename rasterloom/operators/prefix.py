@@ -90,12 +90,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """Linear-interpolation quantiles per key, one column per name in ``probs``.
 
     Values are counted first (map-side), the counts get a distributed running total, and a
-    quantile is the smallest value whose total passes the wanted rank.
+    quantile is the smallest value whose total passes the wanted rank. Missing values count 0, so a
+    key without values keeps its row, with NULL quantiles, and no extra pass looks for keys.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    )
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
     ranked = prefix_sum(counts, keys, "_v", ["_c"])
     cols, final = [], []
     for name, p in probs.items():

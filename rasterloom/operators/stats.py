@@ -47,8 +47,8 @@ def height_summary(raster: DataFrame, keys: list[str] = RASTER, approximate: boo
 
 
 def upper_height(raster: DataFrame, keys: list[str] = RASTER, p: float = 0.95, out: str = "p95") -> DataFrame:
-    """A high percentile of the strictly positive values."""
-    return exact_quantiles(raster.filter("v > 0"), keys, "v", {out: p})
+    """A high percentile of the strictly positive values; NULL for a key without any."""
+    return exact_quantiles(raster.select(*keys, F.when(F.col("v") > 0, F.col("v")).alias("v")), keys, "v", {out: p})
 
 
 def minmax_normalise(raster: DataFrame, keys: list[str] = RASTER, out: str = "v") -> DataFrame:
@@ -61,8 +61,13 @@ def minmax_normalise(raster: DataFrame, keys: list[str] = RASTER, out: str = "v"
 def value_range(raster: DataFrame, keys: list[str] = RASTER) -> DataFrame:
     """Histogram range per key; an empty range is widened by half a unit on both sides."""
     r = raster.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")).filter("_lo is not null")
+    return _widened(r, keys)
+
+
+def _widened(ends: DataFrame, keys: list[str], instead: Column | None = None) -> DataFrame:
     pad = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
-    return r.select(*keys, (F.col("_lo") - pad).alias("lo"), (F.col("_hi") + pad).alias("hi"))
+    lo = F.col("_lo") - pad
+    return ends.select(*keys, (lo if instead is None else F.coalesce(lo, instead)).alias("lo"), (F.col("_hi") + pad).alias("hi"))
 
 
 def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -77,11 +82,11 @@ def histogram_arrays(raster: DataFrame, keys: list[str] = RASTER, bins: int = 25
         ranged = lookup_join(raster, value_range(raster, keys), keys, "inner")
     else:
         ranged = raster.withColumns({"lo": F.lit(float(limits[0])), "hi": F.lit(float(limits[1]))})
-    inside = ranged.filter("v >= lo and v <= hi")
-    per_bin = inside.groupBy(*keys, "lo", "hi", bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
-    packed = per_bin.groupBy(*keys, "lo", "hi").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"))
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    index = F.when(inside, bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins))
+    per_bin = ranged.groupBy(*keys, "lo", "hi", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))  # values outside keep their key only
+    packed = per_bin.groupBy(*keys, "lo", "hi").agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)),
                         lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("bigint")))
     return packed.select(*keys, "lo", "hi", dense.alias("counts"))
@@ -122,10 +127,8 @@ def valley_threshold(raster: DataFrame, keys: list[str] = RASTER, lo: float = 0.
     packed = histogram_arrays(raster, keys, bins, (lo, hi))
     sums = packed.select(*keys, moving_sum(F.transform("counts", lambda c: c.cast("double")), smooth).alias("s"))
     first_low = F.array_position("s", F.array_min("s")) - 1
-    width = (hi - lo) / bins
-    found = sums.select(*keys, (lo + (first_low + 0.5) * width).alias("valley"))
-    every = raster.select(*keys).distinct()
-    return every.join(found, keys, "left").select(*keys, F.coalesce("valley", F.lit(float(lo))).alias("valley"))
+    valley = lo + (first_low + 0.5) * ((hi - lo) / bins)
+    return sums.select(*keys, F.when(F.array_max("s") > 0, valley).otherwise(float(lo)).alias("valley"))
 
 
 def otsu_threshold(raster: DataFrame, keys: list[str] = RASTER, bins: int = 256) -> DataFrame:
@@ -135,8 +138,12 @@ def otsu_threshold(raster: DataFrame, keys: list[str] = RASTER, bins: int = 256)
     and so can never be the first maximum. A key without any value raises, as there is no
     threshold to be had.
     """
-    finite = raster.filter("v is not null and not isnan(v) and abs(v) < double('inf')")
-    ranged = lookup_join(finite, value_range(finite, keys), keys, "inner")
+    v = F.col("v")
+    finite = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    usable = raster.select(*keys, finite.alias("v"))
+    ends = usable.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    known = F.when(F.col("_lo").isNull(), F.raise_error(F.lit("otsu_threshold: no finite values")).cast("double"))
+    ranged = lookup_join(usable, _widened(ends, keys, known), keys, "inner").filter("v is not null")
     b = bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins)
     centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
     per_bin = (
@@ -156,12 +163,7 @@ def otsu_threshold(raster: DataFrame, keys: list[str] = RASTER, bins: int = 256)
     mu0 = F.col("m") / F.col("c")
     mu1 = (F.col("mt") / F.col("t") - w0 * mu0) / F.greatest(w1, F.lit(1e-8))
     scored = s.select(*keys, "bin", "centre", (w0 * w1 * (mu0 - mu1) * (mu0 - mu1)).alias("score"))
-    best = scored.groupBy(*keys).agg(
-        F.max_by("centre", F.struct("score", -F.col("bin"))).alias("threshold"))
-    every = raster.select(*keys).distinct().join(best, keys, "left")
-    checked = F.when(F.col("threshold").isNull(), F.raise_error(F.lit("otsu_threshold: no finite values"))).otherwise(
-        F.col("threshold"))
-    return every.select(*keys, checked.alias("threshold"))
+    return scored.groupBy(*keys).agg(F.max_by("centre", F.struct("score", -F.col("bin"))).alias("threshold"))
 
 
 def diagnostic_table(raster: DataFrame, used: float | str, suggested: float | str | None = None,
