@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, readable by every executor."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rasterloom-"))
     return sc.getCheckpointDir()
 

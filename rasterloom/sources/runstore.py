@@ -13,8 +13,9 @@ REGISTRY_SCHEMA = "run_id string, name string, params map<string,string>, mask_p
 def save_history(history: DataFrame, path: str, metrics: list[str]) -> None:
     """Wide CSV with the epoch first, values rounded to eight decimals, one folder per run."""
     wide = wide_history(history, metrics).select("run_id", "phase", "epoch", *metrics)
-    wide.repartition("run_id", "phase").sortWithinPartitions("run_id", "phase", "epoch").write.mode(
-        "overwrite").partitionBy("run_id", "phase").option("header", True).csv(path)
+    order = ("run_id", "phase", "epoch")  # ranges, so a very long run is written by several tasks
+    wide.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
+        "run_id", "phase").option("header", True).csv(path)
 
 
 def load_history(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
