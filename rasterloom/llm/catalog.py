@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontaminate, langnet, mixing, neardup, packing
+from rasterloom.llm import decontaminate, imatch, langnet, licenses, linespread, mixing, neardup, packing, warc, wordpiece
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 #: The closing id of a document, and the tokenizer file, of the token query.
 END_ID, TOKENIZER, VOCABULARY = 2, "word_bpe_49k.json", 49_408
+#: The file whose pieces the word-piece counts use.
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -82,6 +84,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_tokens(spark, folder, manifest).withColumnRenamed("id", "doc_id")
 
 
+@query("op3_license_automaton")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), "text", ["doc_id"]).drop("spans")
+
+
 @query("op4_minhash_neardup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85).select(
@@ -89,6 +96,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@query("op5_wordpiece_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = wordpiece.Pieces(*wordpiece.piece_sets(tokenizer_path(PIECES)))
+    return wordpiece.count_pieces(documents(spark, sf_dir), spark.sparkContext.broadcast(pieces), "text", ["doc_id"])
+
+
+@query("op6_imatch")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_warc_derivatives")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write_derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_records(spark, folder, manifest)
+
+
 @query("op8_benchmark_windows")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -96,6 +120,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+LINES_SQL = r"""
+with l as (select doc_id, source, text, unnest(string_split(text, chr(10))) as raw,
+             unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null),
+t as (select *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as line from l),
+g as (select line from t where line <> '' group by line having count(distinct source) >= 5)
+select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines,
+  coalesce(c.n_removed, 0)::bigint as n_removed,
+  case when d.text is null then null else md5(coalesce(c.kept, '')) end as text_md5
+from documents d left join (
+  select doc_id, count(*) filter (where g.line is not null) as n_removed,
+    string_agg(raw, chr(10) order by pos) filter (where g.line is null) as kept
+  from t left join g on t.line = g.line group by doc_id) c on d.doc_id = c.doc_id
+"""
+
+
+@query("op9_site_spread_lines", LINES_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linespread.drop_spread_lines(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("op10_byte_language")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -211,13 +211,14 @@ def _groups(classes: DataFrame, block: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(id, row_hash, n_shingles, cls, component_id), one row per input row.
+    """(id, row_hash, n_shingles, cls, root, component_id), one row per input row.
 
     Two documents are linked when 100 * intersection >= percent * union of their shingle sets, and
     ``component_id`` is the smallest id reachable over links, the document itself included. Words
     are lower-cased (A-Z) runs without white space. A null or word-less text has no shingles, is
     linked with nothing and is its own component (``cls`` is null). Repeated rows and equal ids are
     rows of their own; a null id never becomes a component id unless the whole component has none.
+    ``cls`` is a digest of the shingle set, ``root`` that of one class of the component.
     ``row_hash`` is ``xxhash64`` of the text. Other columns are ignored. Shingles are compared as
     64-bit hashes.
     """
@@ -242,40 +243,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classes.select("cls", "id").join(roots, F.col("cls") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
     of_class = (
-        classes.select("cls", "id").join(linked.join(least, "root").select("cls", "least"), "cls", "left")
-        .select("cls", F.coalesce("least", "id").alias("class_component")))
+        classes.select("cls", "id").join(linked.join(least, "root").select("cls", "root", "least"), "cls", "left")
+        .select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("least", "id").alias("class_component")))
     return (
         signed.select("id", "row_hash", "n_shingles", "cls").join(of_class, "cls", "left")
-        .select("id", "row_hash", "n_shingles", "cls",
+        .select("id", "row_hash", "n_shingles", "cls", "root",
                 F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("class_component")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
              percent: int = 80) -> DataFrame:
-    """The input's rows without near copies: of each component the row with the smallest id stays, and
-    of several such rows (equal ids) the one with the smallest text hash, once. Rows without words are
+    """The input's rows without near copies: of each component the row with the smallest id stays (null
+    ids last), of several such rows the one with the smallest text hash, once. Rows without words are
     in no component and all stay. Columns and their names are the input's.
 
-    Only ids and hashes are grouped; texts are filtered by a join with the rows that stay.
+    Only ids and hashes are grouped; texts are filtered by an anti join with the rows that go.
     """
-    found = freeze(near_duplicates(docs, id_col, text_col, shingle, percent))
-    group = F.coalesce(F.col("component_id").cast("string"), F.hex("cls"))
-    stay = freeze(
-        found.filter("cls is not null").groupBy(group.alias("grp"))
-        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_hash")).alias("k"))
-        .select("k.id", "k.row_hash"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    packed = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash"),
-                         F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("has_words"))
-    matched = packed.filter("has_words").alias("d").join(
-        stay.alias("s"), F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.row_hash") == F.col("s.row_hash")), "left_semi")
-    twice = freeze(
-        found.filter("cls is not null").groupBy("id", "row_hash").agg(F.count("*").alias("n")).filter("n > 1")
-        .select("id", "row_hash"))
-    repeated = F.col("d.id").eqNullSafe(F.col("t.id")) & (F.col("d.row_hash") == F.col("t.row_hash"))
-    once = matched.alias("d").join(twice.alias("t"), repeated, "left_anti").select("row")
-    several = (
-        matched.alias("d").join(twice.alias("t"), repeated, "left_semi").groupBy("id", "row_hash")
-        .agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
-    return (
-        once.unionByName(several).unionByName(packed.filter(~F.col("has_words")).select("row")).select("row.*"))
+    found = near_duplicates(docs, id_col, text_col, shingle, percent).filter("cls is not null")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "row_hash").alias("k")
+    rows = freeze(found.groupBy("root", key).agg(F.count(F.lit(1)).alias("n")))
+    best = freeze(rows.groupBy("root").agg(F.min("k").alias("best")))
+    judged = freeze(rows.join(best, "root").select("k.id", "k.row_hash", (F.col("k") == F.col("best")).alias("stays"), "n"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash")).alias("d")
+
+    def same(side: DataFrame, how: str, frame: DataFrame) -> DataFrame:
+        side = (F.broadcast(side) if side.count() <= BROADCAST_ROWS else side).alias("s")
+        return frame.join(side, F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.row_hash") == F.col("s.row_hash")), how)
+
+    left = same(judged.filter("not stays").select("id", "row_hash"), "left_anti", packed).alias("d")
+    twice = judged.filter("stays and n > 1").select("id", "row_hash")
+    if twice.isEmpty():
+        return left.select("row.*")
+    once = same(twice, "left_anti", left).select("row")
+    several = same(twice, "left_semi", left).groupBy("id", "row_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.unionByName(several.select("row")).select("row.*")

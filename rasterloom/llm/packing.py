@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.llm.files import open_folder, output_folder, put, read_files
+from rasterloom.llm.ranges import range_ends, range_part
 from rasterloom.llm.text import map_text
 from rasterloom.runtime import freeze, shuffle_width
 
@@ -155,9 +156,8 @@ def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id
                        "text_hash": pa.array([zlib.crc32(t or b"") for t in texts], pa.int64())},
         "tokens binary, text_hash bigint", ["id"])
     width_out = shuffle_width(spark)
-    bounds = _bounds(docs.select(F.col(id_col).cast("bigint").alias("id")), RANGES * width_out)
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("id"))) if bounds else F.lit(0)
-    placed = encoded.withColumn("part", F.coalesce(part.cast("int"), F.lit(0)))
+    ends = range_ends(docs.select(F.col(id_col).cast("bigint").alias("id")), "id", RANGES * width_out)
+    placed = encoded.withColumn("part", range_part(F.col("id"), ends))
     ordered = placed.repartition(width_out, "part").sortWithinPartitions("part", "id", "text_hash", "tokens")
 
     def run(batches):
@@ -187,13 +187,6 @@ def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id
     return folder, _starts(manifest)
 
 
-def _bounds(ids: DataFrame, parts: int) -> list[int]:
-    """Upper ends of about even id ranges, one per output partition, from a quantile sketch of the
-    id column; read without the texts."""
-    found = ids.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 1000 * 10)).first()[0] if parts > 1 else None
-    return sorted(set(found or []))
-
-
 def _starts(manifest: DataFrame) -> DataFrame:
     """Tokens before each shard: first by range (one row per range), then inside the range."""
     by_part = manifest.groupBy("part").agg(F.sum("n_tokens").alias("all"))
