@@ -126,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         start = F.col("before") + k * F.col("source_size")
         took = F.greatest(F.lit(0), F.least(budget - start, F.col("size")))
         return F.struct(k.cast("int").alias("pass"), took.alias("words"),
-                        due(start.cast("double") / budget, F.col("weight"), curriculum).alias("due"))
+                        due(start.cast("double") / F.greatest(budget, F.lit(1)), F.col("weight"), curriculum).alias("due"))
 
     passes = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(max_epochs - 1).cast("bigint")), copy)
     out = (

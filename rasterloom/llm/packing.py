@@ -149,6 +149,7 @@ def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     folder = folder or output_folder(spark, "tokens")
+    open_folder(folder)  # also there when no task has a row
     width = bits_for(vocabulary)
     encoded = map_text(
         docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "text",

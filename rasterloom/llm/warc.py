@@ -128,6 +128,7 @@ def write_derivatives(pages: DataFrame, key_col: str = "page_id", url_col: str =
     """
     spark = pages.sparkSession
     folder = folder or output_folder(spark, "warc")
+    open_folder(folder)  # also there when no task has a row
     rows = pages.select(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
 
     def run(batches):
