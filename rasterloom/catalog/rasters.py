@@ -46,8 +46,8 @@ def _cells_of(df, size=TILE):
 @check("src1_read_raster", sql(s.CELLS, s.IMAGE, body="select raster_id, band, y, x, v from image where band in (4, 5)"))
 def _(spark, sf):
     path = work_folder(spark, "raster")
-    rasters.write_raster(pixels_to_tiles(t.image(spark, sf), t.meta(spark, sf), TILE), path)
-    return rasters.read_raster(spark, path, [4, 5], TILE).filter("v is not null").select("raster_id", "band", "y", "x", "v")
+    rasters.write_raster(pixels_to_tiles(t.image(spark, sf), t.meta(spark, sf), TILE), path, TILE)
+    return rasters.read_raster(spark, path, [4, 5]).filter("v is not null").select("raster_id", "band", "y", "x", "v")
 
 
 @check("src2_raster_info", sql(s.HEADERS, body="""
@@ -70,14 +70,14 @@ def _(spark, sf):
     return rasters.select_images(t.headers(spark, sf)).select("raster_id", "crs_epsg")
 
 
-@check("snk1_write_raster", sql(s.CELLS, s.MASK, body="""
-select raster_id, y, x, round(mask, 4) as v from mask where mask <> 255"""))
+@check("snk1_write_raster", sql(*BASE, s.MASK, body="""
+select raster_id, y, x, round(coalesce(mask, 255), 4) as v from grid left join mask using (raster_id, y, x)"""))
 def _(spark, sf):
     path = work_folder(spark, "mask")
     known = t.soft_mask(spark, sf).withColumns({"band": F.lit(1), "v": F.nullif("mask", F.lit(255.0))})
-    rasters.write_mask(pixels_to_tiles(known, t.meta(spark, sf), TILE), path)
-    back = rasters.read_raster(spark, path, size=TILE, nodata=255.0)
-    return back.filter("v is not null").select("raster_id", "y", "x", r6("v", 4).alias("v"))
+    rasters.write_mask(pixels_to_tiles(known, t.meta(spark, sf), TILE, float("nan")), path, TILE)
+    back = rasters.read_raster(spark, path)  # the sentinel stays a number here
+    return back.select("raster_id", "y", "x", r6("v", 4).alias("v"))
 
 
 @check("snk3_write_confidence", sql(*BASE, s.SURFACE, s.TERRAIN, body=f"""
@@ -86,16 +86,18 @@ from surface s left join terrain t using (raster_id, y, x)"""))
 def _(spark, sf):
     path = work_folder(spark, "confidence")
     found = ground.from_terrain(t.surface(spark, sf), t.terrain(spark, sf), 1.3).withColumn("method", F.lit("dtm"))
-    rasters.write_confidence(found, path)
-    return spark.read.parquet(path).select("method", "raster_id", "y", "x", r6(F.col("conf").cast("double"), 4).alias("conf"))
+    rasters.write_confidence(found, t.meta(spark, sf), path, TILE)
+    back = rasters.read_confidence(spark, path, ["dtm"]).filter("conf is not null")
+    return back.select("method", "raster_id", "y", "x", r6("conf", 4).alias("conf"))
 
 
 @check("snk4_write_ndsm_raw", sql(*BASE, s.SURFACE, s.TERRAIN, body="""
-select raster_id, y, x, round(s.v - t.v, 4) as ndsm from surface s left join terrain t using (raster_id, y, x)"""))
+select raster_id, y, x, round(s.v - t.v, 4) as ndsm from surface s left join terrain t using (raster_id, y, x) where s.v - t.v is not null"""))
 def _(spark, sf):
     path = work_folder(spark, "heights")
-    rasters.write_heights(ground.from_terrain(t.surface(spark, sf), t.terrain(spark, sf), 1.3), path)
-    return spark.read.parquet(path).select("raster_id", "y", "x", r6(F.col("ndsm").cast("double"), 4).alias("ndsm"))
+    rasters.write_heights(ground.from_terrain(t.surface(spark, sf), t.terrain(spark, sf), 1.3), t.meta(spark, sf), path, TILE)
+    back = rasters.read_heights(spark, path).filter("ndsm is not null")
+    return back.select("raster_id", "y", "x", r6("ndsm", 4).alias("ndsm"))
 
 
 # pointwise --------------------------------------------------------------------------------------
@@ -398,6 +400,11 @@ def _(spark, sf):
     return _cells_of(tiles.local_min_surface(_dsm_tiles(spark, sf), [5, 40], TILE))
 
 
+@check("win3_local_min_surface_passes", _LOW_SQL)
+def _(spark, sf):
+    return _cells_of(tiles.local_min_surface(_dsm_tiles(spark, sf), [5, 40], TILE, passes=True))
+
+
 @check("win3_local_min_surface_pixels", _LOW_SQL)
 def _(spark, sf):
     low = focal.local_min_surface(_dims(spark, sf, _dsm(spark, sf)), [5, 40])

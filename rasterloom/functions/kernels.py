@@ -30,11 +30,16 @@ def blur_block(block: np.ndarray, weights) -> np.ndarray:
 
 
 def sliding_min_rows(block: np.ndarray, size: int) -> np.ndarray:
-    """Minimum of every ``size`` consecutive rows, ignoring NaN.
+    """Minimum of every ``size`` consecutive rows, ignoring NaN; NaN where all of them are.
 
     Rows are cut into groups of ``size``; a window covers the tail of one group and the head of
     the next, so running minima from both directions answer it in two look-ups.
     """
+    if np.isinf(block).any():  # an infinite minimum may then be a value
+        present = sliding_min_rows(np.where(np.isnan(block), 1.0, 0.0), size) == 0
+        big = np.finfo(float).max
+        out = sliding_min_rows(np.where(np.isinf(block), np.sign(block) * big, block), size)
+        return np.where(present, np.where(np.abs(out) == big, np.sign(out) * np.inf, out), np.nan)
     n = block.shape[0] - size + 1
     groups = -(-block.shape[0] // size)
     filled = np.full((groups * size, block.shape[1]), np.inf)

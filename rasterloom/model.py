@@ -113,11 +113,13 @@ def tile_table(ids: dict[str, list], rows: list[np.ndarray]) -> pa.Table:
     return pa.Table.from_arrays([*cols, list_column(rows)], schema=_TILE_ARROW)
 
 
-def pixels_to_tiles(pixels: DataFrame, meta: DataFrame, size: int, fill: float | None = None) -> DataFrame:
+def pixels_to_tiles(pixels: DataFrame, meta: DataFrame, size: int, fill: float | None = None,
+                    bands: tuple[int, ...] = (1,)) -> DataFrame:
     """Pack pixels into tiles; a group is at most ``size`` squared cells.
 
     Only tiles holding at least one pixel are built unless ``fill`` is given, in which case the
-    remaining tiles of the grid are added with that constant (NaN adds them as missing).
+    remaining tiles of the grid are added with that constant (NaN adds them as missing) for each of
+    ``bands``. Tiles of other bands are kept as they are.
     """
     placeholder = float("nan") if fill is None else float(fill)
 
@@ -148,18 +150,20 @@ def pixels_to_tiles(pixels: DataFrame, meta: DataFrame, size: int, fill: float |
     blank = F.lit(None).cast("double") if np.isnan(fill) else F.lit(float(fill))
     h = F.expr(f"least({size}, rh - ty * {size})")
     w = F.expr(f"least({size}, rw - tx * {size})")
-    grid = tile_grid(meta, size).join(
-        tiles.select("raster_id", "ty", "tx", "data"), ["raster_id", "ty", "tx"], "left")
-    return grid.select(
-        "raster_id", F.col("band").cast("int").alias("band"), "ty", "tx",
-        h.alias("h"), w.alias("w"), "rh", "rw",
-        F.coalesce("data", F.array_repeat(blank, h * w)).alias("data"),
+    key = ["raster_id", "band", "ty", "tx"]
+    grid = tile_grid(meta, size, bands).withColumn("band", F.col("band").cast("int"))
+    have = tiles.select(*key, F.col("rh").alias("_rh"), F.col("rw").alias("_rw"), "data")
+    return (
+        grid.join(have, key, "full")
+        .withColumns({"rh": F.coalesce("rh", "_rh"), "rw": F.coalesce("rw", "_rw")})
+        .select(*key, h.alias("h"), w.alias("w"), "rh", "rw", F.coalesce("data", F.array_repeat(blank, h * w)).alias("data"))
     )
 
 
-def tiles_to_pixels(tiles: DataFrame, size: int) -> DataFrame:
-    """Unpack tiles; narrow, no shuffle."""
-    flat = tiles.select("raster_id", "band", "ty", "tx", "w", F.posexplode("data").alias("pos", "v"))
+def tiles_to_pixels(tiles: DataFrame, size: int | str) -> DataFrame:
+    """Unpack tiles of side ``size`` (a number or the name of a column); narrow, no shuffle."""
+    side = [size] if isinstance(size, str) else []
+    flat = tiles.select("raster_id", "band", "ty", "tx", "w", *side, F.posexplode("data").alias("pos", "v"))
     return flat.select(
         "raster_id", "band",
         F.expr(f"cast(ty as bigint) * {size} + pos div w").alias("y"),

@@ -69,7 +69,8 @@ def with_draws(patches: DataFrame, epoch: int, seed: int, ranges: Ranges = Range
 
     def hole(i: int) -> Column:
         lo, hi = g.hole_size
-        extent = lambda op: F.least(size, lo + F.floor(span(0, hi - lo + 1, op, i)))
+        extent = lambda op: F.when(size >= hi, lo + F.floor(span(0, hi - lo + 1, op, i))).otherwise(
+            F.raise_error(F.lit(f"occlusions of up to {hi} cells need patches of at least that side")).cast("bigint"))
         h, w = extent("hole_h"), extent("hole_w")
         top, left = F.floor(u("hole_y", i) * (size - h + 1)), F.floor(u("hole_x", i) * (size - w + 1))
         return F.struct(top.alias("y0"), (top + h).alias("y1"), left.alias("x0"), (left + w).alias("x1"))

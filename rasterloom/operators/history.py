@@ -13,14 +13,17 @@ RUN = ["run_id"]
 def early_stop(history: DataFrame, patience: int, keys: list[str] = RUN) -> DataFrame:
     """Per run: the epoch training stops at and whether patience ran out.
 
-    An epoch improves when its ``val_loss`` is strictly below every earlier one. The run stops at
-    the first epoch ``patience`` epochs after the latest improvement. Epochs are dense from 1.
+    An epoch improves when its ``val_loss`` is strictly below every earlier one and below infinity; a
+    missing or NaN loss never does. The run stops at the first epoch that is the ``patience``-th one
+    recorded after the latest improvement; numbers left out between epochs do not count as waiting.
     """
-    best = running(history, keys, "epoch", "val_loss", "min", "_best", inclusive=False)
-    marked = best.withColumn("_hit", F.when(
-        F.col("_best").isNull() | (F.col("val_loss") < F.col("_best")), F.col("epoch")))
+    loss = F.coalesce(F.nanvl("val_loss", F.lit(float("inf"))), F.lit(float("inf")))
+    counted = running(history.withColumns({"_loss": loss, "_one": F.lit(1)}), keys, "epoch", "_one", "sum", "_nth")
+    best = running(counted, keys, "epoch", "_loss", "min", "_best", inclusive=False)
+    earlier = F.coalesce("_best", F.lit(float("inf")))
+    marked = best.withColumn("_hit", F.when(F.col("_loss") < earlier, F.col("_nth")))
     since = running(marked, keys, "epoch", "_hit", "max", "_last")
-    waited = F.col("epoch") - F.coalesce("_last", F.lit(0))
+    waited = F.col("_nth") - F.coalesce("_last", F.lit(0))
     return since.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(waited >= patience, F.col("epoch"))), F.max("epoch")).alias("stop_epoch"),
         F.max(waited >= patience).alias("stopped_early"))
@@ -30,8 +33,8 @@ def best_epoch(history: DataFrame, patience: int, keys: list[str] = RUN) -> Data
     """The epoch whose weights a run ends with: the first lowest loss up to the stop."""
     seen = history.join(early_stop(history, patience, keys), keys).filter("epoch <= stop_epoch")
     return seen.groupBy(*keys).agg(
-        F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"),
-        F.min("val_loss").alias("best_val_loss"),
+        F.min_by("epoch", F.struct(F.nanvl("val_loss", F.lit(None).cast("double")).isNull(), "val_loss", "epoch")).alias("best_epoch"),
+        F.min(F.nanvl("val_loss", F.lit(None).cast("double"))).alias("best_val_loss"),
         F.first("stop_epoch").alias("stop_epoch"))
 
 

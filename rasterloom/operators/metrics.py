@@ -128,7 +128,7 @@ def threshold_cells(preds: DataFrame, thresholds: Sequence[float], target_thresh
     the target thresholds it exceeds, so rows collapse to at most (n + 1)(m + 1) cells per key.
     """
     p, t = F.col("p"), F.col("target")
-    reach = lambda test, values: sum((F.when(test(v), 1).otherwise(0) for v in sorted(values)), F.lit(0))
+    reach = lambda test, values: sum((F.when(test(v), 1).otherwise(0) for v in sorted(set(values))), F.lit(0))
     valid = is_valid(t)
     return (
         preds.withColumn("p", probability())
@@ -141,6 +141,7 @@ def threshold_cells(preds: DataFrame, thresholds: Sequence[float], target_thresh
 
 def confusion_from_cells(cells: DataFrame, thresholds: Sequence[float], target_thresholds: Sequence[float],
                          keys: Sequence[str]) -> DataFrame:
+    thresholds, target_thresholds = sorted(set(thresholds)), sorted(set(target_thresholds))
     slim = cells.groupBy(*keys, "_valid", "_rp", "_rt").agg(F.sum("_n").alias("_n"))
     ranked = lambda values, col: F.element_at(
         F.create_map(*[x for i, v in enumerate(sorted(values)) for x in (F.lit(float(v)), F.lit(i))]), F.col(col))
@@ -189,7 +190,7 @@ def average_precision(preds: DataFrame, target_thresholds: Sequence[float], keys
     Scores are counted first, so equal scores are one step however many pixels share them, and the
     counts get a distributed running total for all target thresholds together.
     """
-    keys = list(keys)
+    keys, target_thresholds = list(keys), list(dict.fromkeys(target_thresholds))
     hits = [f"_p{i}" for i in range(len(target_thresholds))]
     valid = is_valid(F.col("target"))
     by_score = (  # invalid pixels are one NULL score with count 0, which keeps a split without valid pixels

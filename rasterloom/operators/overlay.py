@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import naming
-from rasterloom.runtime import literal_table
+from rasterloom.runtime import lookup_join
 
 CELL = ["raster_id", "y", "x"]
 
@@ -24,10 +24,11 @@ def select_bands(raster: DataFrame, bands: list[int]) -> DataFrame:
 
     A band may be listed twice. The filter on the stored band reaches the scan.
     """
-    places = literal_table(raster.sparkSession, [(b, i + 1) for i, b in enumerate(bands)], "band int, out_band int")
-    kept = raster.filter(F.col("band").isin(*sorted(set(bands))))
-    joined = kept.join(F.broadcast(places), "band")
-    return joined.drop("band").withColumnRenamed("out_band", "band")
+    wanted = sorted(set(bands))
+    places = F.create_map(*[
+        c for b in wanted for c in (F.lit(b), F.array(*[F.lit(i + 1) for i, x in enumerate(bands) if x == b]))])
+    kept = raster.filter(F.col("band").isin(*wanted))
+    return kept.withColumn("band", F.explode(F.element_at(places, F.col("band").cast("int"))))
 
 
 def stack_channels(image: DataFrame, ndsm: DataFrame, key: list[str], n_image: int = 4) -> DataFrame:
@@ -38,11 +39,10 @@ def stack_channels(image: DataFrame, ndsm: DataFrame, key: list[str], n_image: i
 
 
 def zscore(features: DataFrame, stats: DataFrame | None) -> DataFrame:
-    """Normalise per channel. ``stats`` has one row per channel of the stack (a handful)."""
+    """Normalise per channel; ``stats`` has a row per channel of the stack."""
     if stats is None:
         return features
-    small = F.broadcast(stats.select("channel", "mean", "std"))
-    return features.join(small, "channel").withColumn("v", (F.col("v") - F.col("mean")) / F.col("std")).drop("mean", "std")
+    return lookup_join(features, stats.select("channel", "mean", "std"), "channel", "inner").withColumn("v", (F.col("v") - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
 def catalogue(files: DataFrame) -> DataFrame:

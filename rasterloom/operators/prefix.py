@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,24 +27,45 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, amounts: list[str],
     totals ``all_<amount>`` of the whole key.
 
     ``(keys, order)`` must be unique (aggregate first; that also removes skew from repeated
-    values). The input is range-partitioned, written once so that partition numbers cannot change
-    on a retry, and each range is summed on its own; ranges are stitched by their totals.
+    values); amounts are whole numbers. One exchange: the input is range-partitioned and sorted, each
+    range gets a running total in one narrow pass, and the result is written once, so that range
+    numbers cannot change on a retry. Per key and range, the total before its first row and its sum
+    (one row per range, plus one per key) are joined back as a lookup.
     """
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *keys, direction)
-    placed = freeze(ranged.withColumn("_part", F.spark_partition_id()))
+    counted = df.withColumns({f"_run_{a}": F.col(a).cast("bigint") for a in amounts} | {"_nth": F.lit(1).cast("bigint")})
+    ranged = (
+        counted.repartitionByRange(shuffle_width(df.sparkSession), *keys, direction)
+        .sortWithinPartitions(*keys, direction).withColumn("_part", F.spark_partition_id()))
+    placed = freeze(ranged.mapInArrow(partial(_range_totals, ["_nth", *[f"_run_{a}" for a in amounts]]), ranged.schema))
     scope = [*keys, "_part"]
+    per_range = placed.groupBy(*scope).agg(
+        *[F.sum(F.col(a).cast("bigint")).alias(a) for a in amounts],
+        *[F.min_by(F.col(f"_run_{a}") - F.coalesce(F.col(a).cast("bigint"), F.lit(0)), "_nth").alias(f"_base_{a}") for a in amounts])
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
-    totals = placed.groupBy(*scope).agg(*[F.sum(a).alias(a) for a in amounts])
-    offsets = totals.select(
-        *scope, *[F.coalesce(F.sum(a).over(earlier), F.lit(0)).alias(f"_off_{a}") for a in amounts],
+    offsets = per_range.select(
+        *scope, *[(F.coalesce(F.sum(a).over(earlier), F.lit(0)) - F.col(f"_base_{a}")).alias(f"_off_{a}") for a in amounts],
         *[F.sum(a).over(whole).alias(f"all_{a}") for a in amounts])
-    inside = W.partitionBy(*scope).orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
-    out = placed.join(offsets, scope)
+    small = freeze(offsets)
+    same = [placed[c].eqNullSafe(small[c]) for c in scope]
+    out = placed.join(small, same).select(placed["*"], *[small[c] for c in small.columns if c not in scope])
     for a in amounts:
-        out = out.withColumn(f"cum_{a}", F.sum(a).over(inside) + F.col(f"_off_{a}"))
-    return out.drop("_part", *[f"_off_{a}" for a in amounts])
+        out = out.withColumn(f"cum_{a}", F.col(f"_run_{a}") + F.col(f"_off_{a}"))
+    return out.drop("_part", "_nth", *[f"_off_{a}" for a in amounts], *[f"_run_{a}" for a in amounts])
+
+
+def _range_totals(columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace whole-number columns by their running totals over the partition's rows in order."""
+    carried = dict.fromkeys(columns, 0)
+    for batch in batches:
+        for name in columns:
+            at = batch.schema.get_field_index(name)
+            total = np.cumsum(pc.fill_null(batch.column(at), 0).to_numpy(zero_copy_only=False)) + carried[name]
+            if len(total):
+                carried[name] = int(total[-1])
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(total, pa.int64()))
+        yield batch
 
 
 def running(df: DataFrame, keys: list[str], position: str, column: str, how: str, out: str,

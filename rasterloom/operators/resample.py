@@ -15,13 +15,15 @@ def _send(df: DataFrame, at: str, size: str, origin: str, count: str, out: str,
     """Send every row to the target positions its source position weighs on along one axis.
 
     A target centre lies at ``slope * t + offset`` in source index units. The kernel is a triangle
-    of half-width ``max(1, slope)``: plain bilinear when enlarging, area-aware when shrinking.
+    of half-width ``max(1, |slope|)``: plain bilinear when enlarging, area-aware when shrinking. The
+    slope is negative where the two grids' axes point in opposite directions.
     """
     slope = F.col(f"t_{size}") / F.col(f"s_{size}")
     offset = (F.col(f"t_{size}") * 0.5 + F.col(f"t_{origin}") - F.col(f"s_{origin}")) / F.col(f"s_{size}") - 0.5
-    reach = F.greatest(slope, F.lit(1.0))
-    first = F.greatest(F.ceil((F.col(at) - reach - offset) / slope), F.lit(0))
-    last = F.least(F.floor((F.col(at) + reach - offset) / slope), F.col(f"t_{count}") - 1)
+    reach = F.greatest(F.abs(slope), F.lit(1.0))
+    low, high = (F.col(at) - reach - offset) / slope, (F.col(at) + reach - offset) / slope
+    first = F.greatest(F.ceil(F.least(low, high)), F.lit(0))
+    last = F.least(F.floor(F.greatest(low, high)), F.col(f"t_{count}") - 1)
     centre = slope * F.col(out) + offset
     sent = (
         df.withColumns({"_first": first, "_last": last}).filter("_first <= _last")

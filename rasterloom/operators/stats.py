@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.pointwise import fill_missing, is_labelled
 from rasterloom.model import NODATA
 from rasterloom.operators.prefix import exact_quantiles
-from rasterloom.runtime import lookup_join
+from rasterloom.runtime import freeze, lookup_join
 
 RASTER = ["raster_id"]
 
@@ -135,15 +135,15 @@ def otsu_threshold(raster: DataFrame, keys: list[str] = RASTER, bins: int = 256)
     """Bin centre with the largest between-class variance (the first one on ties).
 
     Windows run over at most ``bins`` rows per key. Empty bins repeat their predecessor's variance
-    and so can never be the first maximum. A key without any value raises, as there is no
-    threshold to be had.
+    and so can never be the first maximum. A key without any finite value has no threshold (NULL);
+    :func:`known_threshold` turns that into an error.
     """
     v = F.col("v")
     finite = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
     usable = raster.select(*keys, finite.alias("v"))
     ends = usable.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    known = F.when(F.col("_lo").isNull(), F.raise_error(F.lit("otsu_threshold: no finite values")).cast("double"))
-    ranged = lookup_join(usable, _widened(ends, keys, known), keys, "inner").filter("v is not null")
+    ends = freeze(_widened(ends, keys, F.lit(None).cast("double")))
+    ranged = usable.filter("v is not null").join(ends, keys)
     b = bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins)
     centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
     per_bin = (
@@ -163,7 +163,14 @@ def otsu_threshold(raster: DataFrame, keys: list[str] = RASTER, bins: int = 256)
     mu0 = F.col("m") / F.col("c")
     mu1 = (F.col("mt") / F.col("t") - w0 * mu0) / F.greatest(w1, F.lit(1e-8))
     scored = s.select(*keys, "bin", "centre", (w0 * w1 * (mu0 - mu1) * (mu0 - mu1)).alias("score"))
-    return scored.groupBy(*keys).agg(F.max_by("centre", F.struct("score", -F.col("bin"))).alias("threshold"))
+    best = scored.groupBy(*keys).agg(F.max_by("centre", F.struct("score", -F.col("bin"))).alias("threshold"))
+    return ends.select(*keys).join(best, keys, "left")
+
+
+def known_threshold(thresholds: DataFrame) -> DataFrame:
+    """The same table; reading a key without a threshold is an error."""
+    missing = F.raise_error(F.lit("otsu_threshold: no finite values")).cast("double")
+    return thresholds.withColumn("threshold", F.coalesce("threshold", missing))
 
 
 def diagnostic_table(raster: DataFrame, used: float | str, suggested: float | str | None = None,

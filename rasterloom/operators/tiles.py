@@ -140,16 +140,16 @@ def _min_by_axis(tiles: DataFrame, window: int, size: int) -> DataFrame:
     return map_tiles(down, lambda b: kernels.sliding_min_rows(b.T, window).T, size, rx=halo, edge=float("nan"))
 
 
-def local_min_surface(tiles: DataFrame, windows: list[int], size: int) -> DataFrame:
+def local_min_surface(tiles: DataFrame, windows: list[int], size: int, passes: bool = False) -> DataFrame:
     """Cell-wise mean of several minimum filters.
 
     A square halo of the widest window serves all windows in one exchange and sends
-    ``(1 + w/T)**2`` times the data; two one-directional passes per window send about
-    ``2k(1 + w/T)`` times. The cheaper way is taken.
+    ``(1 + w/T)**2`` times the data; with ``passes``, two one-directional exchanges per window send
+    about ``2k(1 + w/T)`` times, which is less for windows of many tiles. The values are the same.
     """
-    widest = max(windows)
-    if 1 + widest / size > 2 * len(windows):
+    if passes:
         return _mean_of_passes(tiles, windows, size)
+    widest = max(windows)
     halo = (widest // 2, widest - widest // 2 - 1)
 
     def lowest(block: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import metrics, patches as pt, scoring
 from rasterloom.operators.augment import MASK_CHANNEL
-from rasterloom.runtime import freeze
+from rasterloom.runtime import freeze, lookup_join
 
 
 @dataclass(frozen=True)
@@ -23,11 +23,10 @@ class Evaluation:
 
 
 def normalise_arrays(features: DataFrame, stats: DataFrame | None) -> DataFrame:
-    """z-score on stored arrays; the statistics have one row per channel."""
+    """z-score on stored arrays; channels without statistics stay as they are."""
     if stats is None:
         return features
-    s = F.broadcast(stats.select("channel", "mean", "std"))
-    return features.join(s, "channel", "left").withColumn(
+    return lookup_join(features, stats.select("channel", "mean", "std"), "channel").withColumn(
         "data", F.when(F.col("mean").isNull(), F.col("data")).otherwise(
             F.transform("data", lambda v: (v - F.col("mean")) / F.col("std")))).drop("mean", "std")
 

@@ -6,41 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.naming import RASTER_EXT
-from rasterloom.model import NODATA, TILE_SCHEMA, missing_to_null, tiles_to_pixels
+from rasterloom.model import NODATA, TILE_SCHEMA, missing_to_null, pixels_to_tiles, tiles_to_pixels
 
 # How orthomosaic files are recognised.
 MOSAIC_TAG = "_OM_"
-_LAYOUT = "ty int, tx int, h int, w int, rh int, rw int, data array<float>, raster_id string, band int"
+#: Band of each detection method in a confidence store.
+METHOD_BANDS = {"local_min": 1, "dtm": 2, "gradient": 3, "both": 4}
+_LAYOUT = "ty int, tx int, h int, w int, rh int, rw int, side int, data array<float>, raster_id string, band int"
 
 
-def write_raster(tiles: DataFrame, path: str, nodata: float | None = None, rows_per_file: int = 16) -> None:
-    """Tile rows as float32. With ``nodata`` the sentinel is written for missing cells.
+def write_raster(tiles: DataFrame, path: str, size: int, nodata: float | None = None, per_side: int = 16) -> None:
+    """Tiles of side ``size`` as float32 rows which also hold the side. With ``nodata`` the sentinel is
+    written for missing cells.
 
-    Strips of tile rows are spread over tasks, so one large raster is written by many of them;
-    tiles are ordered inside a file so that row-group statistics on ``ty, tx`` prune windows.
+    Squares of ``per_side`` tiles a side are the unit of writing, so one large raster is written by
+    many tasks whatever its shape; tiles are ordered inside a file so that row-group statistics on
+    ``ty, tx`` prune windows.
     """
     value = lambda v: (v if nodata is None else F.coalesce(v, F.lit(float(nodata)))).cast("float")
-    out = tiles.withColumn("data", F.transform("data", value))
-    strip = F.expr(f"ty div {rows_per_file}")
+    out = tiles.withColumns({"data": F.transform("data", value), "side": F.lit(size)})
     (
-        out.repartition("raster_id", "band", strip).sortWithinPartitions("raster_id", "band", "ty", "tx")
+        out.repartition("raster_id", "band", F.expr(f"ty div {per_side}"), F.expr(f"tx div {per_side}")).sortWithinPartitions("raster_id", "band", "ty", "tx")
         .write.mode("overwrite").partitionBy("raster_id", "band").parquet(path)
     )
 
 
 def read_tiles(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:
     """Tiles of all or some bands; the band list prunes partitions."""
+    return _stored(spark, path, bands).drop("side")
+
+
+def _stored(spark: SparkSession, path: str, bands: list[int] | None) -> DataFrame:
     t = spark.read.schema(_LAYOUT).parquet(path)
     if bands:
         t = t.filter(F.col("band").isin(*bands))
     names = [c.split()[0] for c in TILE_SCHEMA.split(", ")]
-    return t.select(*names[:-1], F.transform("data", missing_to_null).alias("data"))
+    return t.select(*names[:-1], F.transform("data", missing_to_null).alias("data"), "side")
 
 
-def read_raster(spark: SparkSession, path: str, bands: list[int] | None = None, size: int = 256,
-                nodata: float | None = None) -> DataFrame:
-    """Pixels of all or some bands as doubles; NaN and, if given, the sentinel become missing."""
-    px = tiles_to_pixels(read_tiles(spark, path, bands), size)
+def read_raster(spark: SparkSession, path: str, bands: list[int] | None = None, nodata: float | None = None) -> DataFrame:
+    """Pixels of all or some bands as doubles; NaN and, if given, the sentinel become missing. The tile
+    side comes from the stored rows."""
+    px = tiles_to_pixels(_stored(spark, path, bands), "side")
     return px if nodata is None else px.withColumn("v", F.nullif("v", F.lit(float(nodata))))
 
 
@@ -73,23 +80,31 @@ def select_images(meta: DataFrame, reference: str | None = None) -> DataFrame:
     return meta.filter(name.contains(MOSAIC_TAG) & name.endswith(RASTER_EXT))
 
 
-def write_mask(tiles: DataFrame, path: str) -> None:
-    write_raster(tiles, path, nodata=NODATA)
+def write_mask(tiles: DataFrame, path: str, size: int) -> None:
+    write_raster(tiles, path, size, nodata=NODATA)
 
 
-def write_confidence(confidence: DataFrame, path: str) -> None:
-    """Ground confidence per method (``method, raster_id, y, x, conf``), no sentinel."""
-    (
-        confidence.select("method", "raster_id", "y", "x", F.col("conf").cast("float").alias("conf"))
-        .repartition("method", "raster_id", F.expr("y div 256"))
-        .write.mode("overwrite").partitionBy("method", "raster_id").parquet(path)
-    )
+def write_confidence(confidence: DataFrame, meta: DataFrame, path: str, size: int = 256) -> None:
+    """Ground confidence (``method, raster_id, y, x, conf``) as one band per detection method, in tile
+    layout, no sentinel."""
+    number = F.create_map(*[c for m, b in METHOD_BANDS.items() for c in (F.lit(m), F.lit(b))])
+    known = confidence.select("raster_id", F.element_at(number, F.col("method")).alias("band"), "y", "x", F.col("conf").alias("v"))
+    write_raster(pixels_to_tiles(known, meta, size), path, size)
 
 
-def write_heights(heights: DataFrame, path: str) -> None:
-    """Heights in metres; missing stays missing."""
-    (
-        heights.select("raster_id", "y", "x", F.col("ndsm").cast("float").alias("ndsm"))
-        .repartition("raster_id", F.expr("y div 256"))
-        .write.mode("overwrite").partitionBy("raster_id").parquet(path)
-    )
+def read_confidence(spark: SparkSession, path: str, methods: list[str] | None = None) -> DataFrame:
+    """(method, raster_id, y, x, conf); cells that were not written are missing."""
+    name = F.create_map(*[c for m, b in METHOD_BANDS.items() for c in (F.lit(b), F.lit(m))])
+    px = read_raster(spark, path, [METHOD_BANDS[m] for m in methods] if methods else None)
+    return px.select(F.element_at(name, F.col("band")).alias("method"), "raster_id", "y", "x", F.col("v").alias("conf"))
+
+
+def write_heights(heights: DataFrame, meta: DataFrame, path: str, size: int = 256) -> None:
+    """Heights in metres in tile layout; missing stays missing."""
+    known = heights.select("raster_id", F.lit(1).alias("band"), "y", "x", F.col("ndsm").alias("v"))
+    write_raster(pixels_to_tiles(known, meta, size), path, size)
+
+
+def read_heights(spark: SparkSession, path: str) -> DataFrame:
+    """(raster_id, y, x, ndsm) of the tiles that hold a cell."""
+    return read_raster(spark, path).select("raster_id", "y", "x", F.col("v").alias("ndsm"))

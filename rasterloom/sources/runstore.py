@@ -43,4 +43,5 @@ def register_run(entry: DataFrame, path: str) -> None:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The run id stays text, whatever it looks like in the folder names."""
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(path)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import meta_of, pixels_of
+from helpers import grid_of, meta_of, pixels_of
 from rasterloom.functions import naming
 from rasterloom.model import pixels_to_tiles
 from rasterloom.operators import augment as aug, history as hi, patches as pt
@@ -201,13 +201,35 @@ def test_raster_band_read_prunes_partitions(spark, tmp_path):
     g = np.arange(30.0).reshape(5, 6)
     px = pixels_of(spark, {"r": g}, 1).union(pixels_of(spark, {"r": g * 2}, 2))
     meta = meta_of(spark, {"r": g.shape})
-    rasters.write_raster(pixels_to_tiles(px, meta, 4), str(tmp_path / "t"))
-    back = rasters.read_raster(spark, str(tmp_path / "t"), [2], 4)
+    rasters.write_raster(pixels_to_tiles(px, meta, 4), str(tmp_path / "t"), 4)
+    back = rasters.read_raster(spark, str(tmp_path / "t"), [2])
     assert {(r.y, r.x, r.v) for r in back.select("y", "x", "v").collect()} == {(y, x, v * 2) for (y, x), v in np.ndenumerate(g)}
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(band" in plan or "PartitionFilters: [(band" in plan
 
 
+def test_stored_side_places_cells(spark, tmp_path):
+    g = np.arange(12.0).reshape(3, 4)
+    px = pixels_of(spark, {"r": g})
+    rasters.write_raster(pixels_to_tiles(px, meta_of(spark, {"r": g.shape}), 2), str(tmp_path / "t"), 2)
+    assert np.array_equal(grid_of(rasters.read_raster(spark, str(tmp_path / "t")), g.shape), g)
+
+
+def test_registry_keeps_text_ids(spark, tmp_path):
+    row = spark.createDataFrame([("007", "n", {"ht": "1.3"}, "m", None)], runstore.REGISTRY_SCHEMA)
+    runstore.register_run(row, str(tmp_path / "r"))
+    assert runstore.read_registry(spark, str(tmp_path / "r")).first().run_id == "007"
+
+
+def test_fill_keeps_bands_apart(spark):
+    g = np.array([[1.0, 2.0], [3.0, 4.0]])
+    px = pixels_of(spark, {"r": g}, 1).union(pixels_of(spark, {"r": g * 10}, 2))
+    for bands in ((1, 2), (1,)):
+        tiles = pixels_to_tiles(px, meta_of(spark, {"r": (2, 5)}), 2, fill=0.0, bands=bands).collect()
+        assert {(t.band, t.tx): t.data for t in tiles if t.tx == 0} == {(1, 0): [1, 2, 3, 4], (2, 0): [10, 20, 30, 40]}
+        assert sorted((t.band, t.tx) for t in tiles if t.tx) == [(b, x) for b in bands for x in (1, 2)]
+
+
 def test_names(spark):
     d = spark.createDataFrame([("a/b.c/mask.tif",), ("mask.tar.gz",), ("noext",), (".hidden",)], "p string")
     got = [r.o for r in d.select(naming.with_suffix(F.col("p"), F.lit("_x")).alias("o")).collect()]
