@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from rasterloom.catalog import sqlparts as s
 from rasterloom.catalog.registry import check, r6, rounded
+from rasterloom.catalog.scores import _AP, _BATCH, _CLS, _COMBINED, _CONF
 from rasterloom.catalog.sqlparts import sql
-from rasterloom.functions import kernels, naming
+from rasterloom.functions import naming
 from rasterloom.operators import augment as aug, metrics as mt, overlay as ov, patches as pt, scoring, stats
 from rasterloom.plans.evaluation import evaluate_model
 from rasterloom.plans.training_feed import training_feed
@@ -227,11 +228,12 @@ def _(spark, sf):
     return _out(aug.noise(_drawn(spark, sf)))
 
 
-_TAPS = ", ".join(f"({r}, {d}, {w!r}::double)" for r in (1, 2)
-                  for d, w in zip(range(-r, r + 1), kernels.gaussian_weights(aug.blur_sigma(r), r)))
+_TAPS = """bell as (select r, d, exp(-d * d / (2 * power(0.3e0 * (r - 1) + 0.8e0, 2))) as g
+  from (select r, unnest(range(-r, r + 1)) as d from (select unnest([1, 2]) as r))),
+taps as (select r, d, g / sum(g) over (partition by r) as w from bell)"""
 
 
-@check("aug8_blur", sql(s.PATCHES, s.PATCH_MASK, _ALL, f"taps(r, d, w) as (values {_TAPS})", f"""
+@check("aug8_blur", sql(s.PATCHES, s.PATCH_MASK, _ALL, _TAPS, f"""
 k as (select *, case when {_IMG} and {_u('blur')} < 0.2 then case when {_u('blur_size')} < 0.5 then 1 else 2 end else 0 end as r from alls)""",
     f"""down as (select k.patch_id, k.channel, k.r, k.y, k.x, sum(t.w * o.v) as v from k join taps t using (r)
   join k o on o.patch_id = k.patch_id and o.channel = k.channel and o.x = k.x and o.y = {s.mirrored('k.y + t.d', '8')} group by all)""",
@@ -335,17 +337,23 @@ def _(spark, sf):
         {"y": F.col("y").cast("bigint"), "x": F.col("x").cast("bigint")})
 
 
-@check("evaluate_report", sql(s.PATCHES, s.PATCH_MASK, _LOGITS, _SPLIT, """
-pr as (select split, 1 / (1 + exp(-logit)) as p, m.v as target from lg join pmask m using (patch_id, y, x) join split using (patch_id)
-  where m.v <> 255),
-c as (select split, count(*) filter (p >= 0.51 and target > 0.555) as tp, count(*) filter (p >= 0.51 and not target > 0.555) as fp,
-  count(*) filter (not p >= 0.51 and target > 0.555) as fn, count(*) filter (not p >= 0.51 and not target > 0.555) as tn from pr group by split),
-q as (select split, (tp + tn) / (tp + fp + fn + tn) as acc, tp / (tp + fp) as prec, tp / (tp + fn) as rec, tp / (tp + fp + fn) as iou from c),
-l as (select split, unnest(['acc', 'prec', 'rec', 'iou']) as metric, unnest([acc, prec, rec, iou]) as v from q)""", body="""
-select 0.555e0 as tthr, 0.51e0 as thr, metric, round(max(v) filter (split = 'train'), 4) as train, round(max(v) filter (split = 'val'), 4) as val,
-  round(max(v) filter (split = 'test'), 4) as test from l group by metric"""))
+_BATCHED = """bs as (select patch_id, split, (row_number() over (partition by split order by patch_id) - 1) // 8 as batch_id from split)"""
+_SCORED = """probs as (select split, batch_id, logit, 1 / (1 + exp(-logit)) as p, m.v as target, m.v <> 255 as valid
+  from lg join pmask m using (patch_id, y, x) join bs using (patch_id)),
+preds as (select * from probs)"""
+_PAIRS = "thr as (select unnest([0.51e0, 0.62e0]) as thr), tthr as (select unnest([0.555e0, 0.655e0]) as tthr)"
+_NAMES = "', '".join(mt.METRICS)
+
+
+@check("evaluate_report", sql(s.PATCHES, s.PATCH_MASK, _LOGITS, _SPLIT, _BATCHED, _SCORED, _BATCH, _PAIRS, _CONF, _CLS, _AP, f"""
+ev as (select split, tthr, thr, loss, acc, prec, rec, f1, iou, soft_iou, auc_pr from cls2
+  join (select split, sum(({_COMBINED}) * n) / sum(n) as loss, (sum(spt) + 1e-6) / (sum(sp) + sum(st) - sum(spt) + 1e-6) as soft_iou
+        from bt group by split) using (split) join ap using (split, tthr)),
+l as (select split, tthr, thr, unnest(['{_NAMES}']) as metric, unnest([{", ".join(mt.METRICS)}]) as v from ev)""", body="""
+select tthr, thr, metric, round(max(v) filter (split = 'train'), 4) as train, round(max(v) filter (split = 'val'), 4) as val,
+  round(max(v) filter (split = 'test'), 4) as test from l group by all"""))
 def _(spark, sf):
     feats = t.patches(spark, sf).unionByName(t.patch_masks(spark, sf))
-    out = evaluate_model(feats, _split(spark, sf).select("patch_id", "split"), None, mean_minus_height, [0.51], [0.555],
+    out = evaluate_model(feats, _split(spark, sf).select("patch_id", "split"), None, mean_minus_height, [0.51, 0.62], [0.555, 0.655],
                          mt.LossWeights(bce=0.3, dice=0.6, mae=0.3))
-    return out.report.filter(F.col("metric").isin("acc", "prec", "rec", "iou"))
+    return out.report

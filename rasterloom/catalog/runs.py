@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from rasterloom.catalog import sqlparts as s
 from rasterloom.catalog.registry import check, r6, rounded
-from rasterloom.catalog.scores import P, THR, W, _BATCH, _DICE  # noqa: F401
+from rasterloom.catalog.scores import P, W, _AP, _CLS, _CONF, _DICE
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions import naming
 from rasterloom.operators import history as hi
-from rasterloom.plans.history_report import epoch_history, history_report
+from rasterloom.plans.history_report import RECORDED, epoch_history, history_report
 from rasterloom.runtime import work_folder
 from rasterloom.sources import runstore, tables as t
 
@@ -61,15 +61,26 @@ def _(spark, sf):
     return rep.best.join(seen, "run_id").select("run_id", "stop_epoch", "epochs", r6("best_val_loss").alias("best_val_loss"), "top_loss")
 
 
+_BY = "run_id, epoch, split"
+_EPOCH_AP = _AP.replace("group by 1, 2, 3)", "group by 1, 2, 3, 4, 5)").replace("group by 1, 2)", "group by 1, 2, 3, 4)").replace(
+    "split, tthr", f"{_BY}, tthr")
+_EPOCH_CONF = _CONF.replace("split, tthr, thr", f"{_BY}, tthr, thr")
+_WIDE = ", ".join(f"""round(coalesce(max({c}) filter (split = 'train'), max(0) filter (split = 'train')), 6) as {c},
+  round(coalesce(max({c}) filter (split = 'val'), max(0) filter (split = 'val')), 6) as val_{c}""" for c in RECORDED)
+
+
 @check("epoch_history", sql(*P, """bt as (select run_id, epoch, split, batch_id, count(*) as n, sum(abs(p - target)) as sab,
   sum(p) as sp, sum(target) as st, sum(p * target) as spt, sum(greatest(logit, 0) - logit * target + ln(1 + exp(-abs(logit)))) as bce
-  from probs where valid group by 1, 2, 3, 4)""", f"""
-ep as (select run_id, epoch, split, sum((0.3 * bce / n + 0.6 * {_DICE} + 0.3 * sab / n) * n) / sum(n) as loss from bt group by 1, 2, 3)""",
-    body="""select run_id, 'tl' as phase, epoch, round(max(loss) filter (split = 'train'), 6) as loss,
-  round(max(loss) filter (split = 'val'), 6) as val_loss from ep group by run_id, epoch"""))
+  from probs where valid group by 1, 2, 3, 4)""", "thr as (select 0.61e0 as thr), tthr as (select 0.65e0 as tthr)", _EPOCH_CONF, _CLS, _EPOCH_AP, f"""
+ep as (select run_id, epoch, split, sum((0.3 * bce / n + 0.6 * {_DICE} + 0.3 * sab / n) * n) / sum(n) as loss,
+  (sum(spt) + 1e-6) / (sum(sp) + sum(st) - sum(spt) + 1e-6) as soft_iou from bt group by 1, 2, 3),
+every as (select c.run_id, c.epoch, c.split, loss, soft_iou, auc_pr, f1, iou, prec, rec from cls2 c
+  left join ep using (run_id, epoch, split) left join ap using (run_id, epoch, split))""",
+    body=f"""select run_id, 'tl' as phase, epoch, {_WIDE} from every where split in ('train', 'val') group by run_id, epoch"""))
 def _(spark, sf):
-    wide = epoch_history(t.predictions(spark, sf), W)
-    return rounded(wide.select("run_id", "phase", "epoch", "loss", "val_loss"), "loss", "val_loss")
+    wide = epoch_history(t.predictions(spark, sf), W, threshold=0.61, target_threshold=0.65)
+    names = [x for c in RECORDED for x in (c, f"val_{c}")]
+    return rounded(wide.select("run_id", "phase", "epoch", *names), *names)
 
 
 # names ------------------------------------------------------------------------------------------

@@ -51,7 +51,7 @@ def long_history(wide: DataFrame) -> DataFrame:
 
 
 def metric_panels(wide: DataFrame, panels: tuple[str, ...] = ("loss", "auc_pr", "f1", "prec", "rec", "iou")) -> DataFrame:
-    """Dashboard data: one row per panel and epoch with the train and val value side by side.
+    """Dashboard data (the default panels are fixed values): one row per panel and epoch with the train and val value side by side.
 
     A metric that was not recorded counts as 0.
     """
@@ -64,7 +64,7 @@ def metric_panels(wide: DataFrame, panels: tuple[str, ...] = ("loss", "auc_pr",
 
 def evaluation_panels(evaluation: DataFrame,
                       panels: tuple[str, ...] = ("auc_pr", "f1", "iou", "prec", "rec", "acc")) -> DataFrame:
-    """Bar-grid data: metric x thresholds with one column per split, missing splits 0."""
+    """Bar-grid data (the default panels are fixed values): metric x thresholds with one column per split, missing splits 0."""
     long = evaluation.unpivot(["split", "tthr", "thr"], list(panels), "metric", "value")
     wide = long.groupBy("metric", "tthr", "thr").pivot("split", ["train", "val", "test"]).agg(F.first("value"))
     return wide.fillna(0.0, ["train", "val", "test"])

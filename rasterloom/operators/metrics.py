@@ -18,6 +18,7 @@ from rasterloom.operators.prefix import prefix_sum
 from rasterloom.runtime import freeze
 
 EPS = 1e-6  # fixed value: smoothing of the overlap ratios
+# fixed values: the names of the metrics
 METRICS = ("loss", "acc", "prec", "rec", "f1", "iou", "soft_iou", "auc_pr")
 
 
@@ -211,30 +212,27 @@ def average_precision(preds: DataFrame, target_thresholds: Sequence[float], keys
 
 
 def evaluate(preds: DataFrame, thresholds: Sequence[float], target_thresholds: Sequence[float],
-             weights: LossWeights) -> DataFrame:
-    """Every metric for split x target threshold x prediction threshold, two passes over the pixels.
+             weights: LossWeights, keys: Sequence[str] = ("split",)) -> DataFrame:
+    """Every metric for key (split) x target threshold x prediction threshold, two passes over the pixels.
 
     A split without a valid pixel keeps its rows, with every metric 0.
     """
-    sums = pixel_sums()
-    cells = freeze(threshold_cells(preds, thresholds, target_thresholds, ("split", "batch_id"), sums))
+    keys, sums = list(keys), pixel_sums()
+    cells = freeze(threshold_cells(preds, thresholds, target_thresholds, [*keys, "batch_id"], sums))
     valid = F.col("_valid")
     of = lambda n: F.coalesce(F.sum(F.when(valid, F.col(n))), F.lit(0.0)).alias(f"_s_{n}")
-    per_batch = cells.groupBy("split", "batch_id").agg(
+    per_batch = cells.groupBy(*keys, "batch_id").agg(
         F.coalesce(F.sum(F.when(valid, F.col("_n"))), F.lit(0)).alias("n"), *[of(n) for n in sums])
     s = {n: F.col(f"_s_{n}") for n in sums} | {"n": F.col("n")}
     loss = sum((w * f(s) for w, (_e, f) in loss_terms(weights).values()), F.lit(0.0))
     n = F.sum("n")
-    per_split = per_batch.groupBy("split").agg(
+    per_split = per_batch.groupBy(*keys).agg(
         F.when(n > 0, F.sum(F.when(F.col("n") > 0, loss * F.col("n"))) / n).otherwise(0.0).alias("loss"),
         F.when(n > 0, (F.sum("_s_pt") + EPS) / (F.sum("_s_p") + F.sum("_s_t") - F.sum("_s_pt") + EPS)
                ).otherwise(0.0).alias("soft_iou"))
-    conf = classification_metrics(confusion_from_cells(cells, thresholds, target_thresholds, ["split"]))
-    ap = average_precision(preds, target_thresholds)
-    return (
-        conf.join(per_split, "split").join(ap, ["split", "tthr"])
-        .select("split", "tthr", "thr", *METRICS)
-    )
+    conf = classification_metrics(confusion_from_cells(cells, thresholds, target_thresholds, keys))
+    ap = average_precision(preds, target_thresholds, keys)
+    return conf.join(per_split, keys).join(ap, [*keys, "tthr"]).select(*keys, "tthr", "thr", *METRICS)
 
 
 def eval_report(evaluation: DataFrame, digits: int = 4) -> DataFrame:

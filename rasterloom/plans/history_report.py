@@ -18,12 +18,21 @@ class HistoryReport:
     panels: DataFrame
 
 
-def epoch_history(preds: DataFrame, weights: metrics.LossWeights, phase: str = "tl") -> DataFrame:
-    """Wide history from the predictions of every epoch (run_id, epoch, split, batch_id, ...):
-    ``loss`` and its parts for train, the same prefixed ``val_`` for val."""
+# The metrics recorded per epoch, besides the parts of the loss.
+RECORDED = ("loss", "auc_pr", "f1", "iou", "soft_iou", "prec", "rec")
+
+
+def epoch_history(preds: DataFrame, weights: metrics.LossWeights, phase: str = "tl", threshold: float = 0.5,
+                  target_threshold: float = 0.5) -> DataFrame:
+    """Wide history from the predictions of every epoch (run_id, epoch, split, batch_id, ...): the
+    recorded metrics at one threshold pair and the parts of the loss for train, the same prefixed
+    ``val_`` for val."""
     keys = ["run_id", "epoch", "split"]
-    per_epoch = metrics.epoch_loss(metrics.batch_losses(preds, weights, [*keys, "batch_id"]), keys)
-    names = [c for c in per_epoch.columns if c.startswith("loss")]
+    seen = preds.filter(F.col("split").isin("train", "val"))
+    parts = metrics.epoch_loss(metrics.batch_losses(seen, weights, [*keys, "batch_id"]), keys).drop("n_valid", "loss")
+    scored = metrics.evaluate(seen, [threshold], [target_threshold], weights, keys).select(*keys, *RECORDED)
+    per_epoch = scored.join(parts, keys)
+    names = [c for c in per_epoch.columns if c not in keys]
     of = lambda split, c, out: F.max(F.when(F.col("split") == split, F.col(c))).alias(out)
     wide = per_epoch.groupBy("run_id", "epoch").agg(
         *[of("train", c, c) for c in names], *[of("val", c, f"val_{c}") for c in names])
