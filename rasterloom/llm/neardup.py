@@ -35,6 +35,8 @@ ROWS, MISS = 4, 1e-9
 BLOCK_SHINGLES = 400_000
 #: Rows up to which a list of wanted documents is broadcast (about 100 bytes a row).
 BROADCAST_ROWS = 300_000
+#: At most so many classes can hold that share of all rows; they are joined by broadcast.
+HOT_CLASSES = 1000
 #: Standard deviations by which an estimate may fall below the threshold before a pair is ruled out.
 SLACK = 6.0
 #: Survivors among a block's pairs above which intersections are counted by a matrix product.
@@ -230,8 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.struct(F.col("id").isNull().alias("none"), "id", "row_hash")
     classes = freeze(
         signed.filter("cls is not null").groupBy("cls")
-        .agg(F.min(key).alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-        .select("cls", "k.id", "k.row_hash", "n", "bands"))
+        .agg(F.min(key).alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+        .select("cls", "k.id", "k.row_hash", "n", "bands", "copies"))
     wanted = freeze(_groups(classes, block))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     x, w = source.alias("x"), side.alias("w")
@@ -242,13 +244,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(edges)
     linked = classes.select("cls", "id").join(roots, F.col("cls") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
-    of_class = (
-        classes.select("cls", "id").join(linked.join(least, "root").select("cls", "root", "least"), "cls", "left")
-        .select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("least", "id").alias("class_component")))
+    of_class = freeze(
+        classes.select("cls", "id", "copies")
+        .join(linked.join(least, "root").select("cls", "root", "least"), "cls", "left")
+        .select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("least", "id").alias("component_id"), "copies"))
+    rows = signed.select("id", "row_hash", "n_shingles", "cls")
+    # a class of many copies is one key of the join: the at most HOT_CLASSES classes that hold 1 / HOT_CLASSES
+    # of all rows or more are broadcast, the others are joined by an exchange
+    many = F.col("copies") >= max(2, rows.count() / HOT_CLASSES)
+    hot, cold = F.broadcast(of_class.filter(many).drop("copies")), of_class.filter(~many).drop("copies")
+    wordless = rows.filter("cls is null").select("*", F.lit(None).cast("binary").alias("root"), F.col("id").alias("component_id"))
+    some = rows.filter("cls is not null")
     return (
-        signed.select("id", "row_hash", "n_shingles", "cls").join(of_class, "cls", "left")
-        .select("id", "row_hash", "n_shingles", "cls", "root",
-                F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("class_component")).alias("component_id")))
+        some.join(hot, "cls").unionByName(some.join(hot, "cls", "left_anti").join(cold, "cls")).unionByName(wordless)
+        .select("id", "row_hash", "n_shingles", "cls", "root", "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
