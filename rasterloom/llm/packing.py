@@ -15,6 +15,7 @@ start and end fall into.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 
@@ -35,8 +36,8 @@ BLOCK = 4096
 SHARD_TOKENS = 4 << 20
 #: Id ranges per output partition, so that hashed ranges fill the partitions evenly.
 RANGES = 4
-#: Distinct white-space free pieces whose ids a task remembers.
-REMEMBERED = 400_000
+#: Distinct pieces whose ids a worker process remembers.
+REMEMBERED = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -107,25 +108,34 @@ class Shard:
         return self._blocks(first, -(-b // self.block))[a - first * self.block:b - first * self.block]
 
 
+#: Between an ASCII letter or digit and a closing mark the pre-tokenizer always cuts.
+_MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: Per worker process and tokenizer file: the tokenizer and the ids of the words met so far.
+_MET: dict[str, tuple] = {}
+
+
 def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[np.ndarray]]:
-    """Encode texts with a tokenizer file whose pre-tokenizer never joins across white space.
+    """Encode texts with a lower-casing tokenizer file whose pre-tokenizer drops white space and never
+    joins a letter or digit with a mark.
 
-    Pieces between ASCII white space are encoded by the library once per task and remembered, which
-    gives the ids of the whole text since white space separates words. ``end`` closes each document.
+    Pieces between ASCII white space, cut again before closing marks, are encoded by the library once
+    and remembered by the worker process, which gives the ids of the whole text. ``end`` closes each
+    document. Special tokens in a text are ordinary text.
     """
-    state: dict = {}
 
     def run(texts):
-        if not state:
+        if path not in _MET:
             from tokenizers import Tokenizer
 
-            state["tok"], state["known"] = Tokenizer.from_file(path), {}
-            state["tok"].encode_special_tokens = True
-        tok, known = state["tok"], state["known"]
+            _MET[path] = (Tokenizer.from_file(path), {})
+            _MET[path][0].encode_special_tokens = True
+        tok, known = _MET[path]
         if len(known) > REMEMBERED:
+            short = {w: ids for w, ids in known.items() if len(w) < 10}
             known.clear()
-        parts = [(t or b"").split() for t in texts]
-        new = list({w for ws in parts for w in ws if w not in known})
+            known.update(short if len(short) < REMEMBERED // 2 else {})
+        parts = [_MARK.sub(b" ", (t or b"").lower()).split() for t in texts]
+        new = list({w for ws in parts for w in ws}.difference(known))
         for s in range(0, len(new), 8192):
             some = new[s:s + 8192]
             for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
@@ -151,9 +161,10 @@ def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id
     folder = folder or output_folder(spark, "tokens")
     open_folder(folder)  # also there when no task has a row
     width = bits_for(vocabulary)
+    kind = "<u2" if width <= 16 else "<u4"  # how ids travel to their shard
     encoded = map_text(
         docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "text",
-        lambda texts: {"tokens": pa.array([a.tobytes() for a in encode(texts)], pa.binary()),
+        lambda texts: {"tokens": pa.array([narrow(a, kind).tobytes() for a in encode(texts)], pa.binary()),
                        "text_hash": pa.array([zlib.crc32(t or b"") for t in texts], pa.int64())},
         "tokens binary, text_hash bigint", ["id"])
     width_out = shuffle_width(spark)
@@ -178,7 +189,7 @@ def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id
                     ids, held, count = [], [], 0
                 part = p
                 ids.append(i)
-                held.append(np.frombuffer(tokens, "<u4"))
+                held.append(np.frombuffer(tokens, kind).astype("<u4"))
                 count += len(held[-1])
         if ids:
             yield close()
@@ -188,6 +199,12 @@ def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id
     return folder, _starts(manifest)
 
 
+def narrow(ids: np.ndarray, kind: str) -> np.ndarray:
+    if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+        raise ValueError("a token id does not fit the vocabulary")
+    return ids.astype(kind)
+
+
 def _starts(manifest: DataFrame) -> DataFrame:
     """Tokens before each shard: first by range (one row per range), then inside the range."""
     by_part = manifest.groupBy("part").agg(F.sum("n_tokens").alias("all"))

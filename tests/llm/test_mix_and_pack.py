@@ -122,6 +122,20 @@ def test_written_files_hold_the_library_ids(spark):
         start += len(ids)
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    tok.encode_special_tokens = True
+    rng = np.random.default_rng(3)
+    parts = ["a", "B", "don't", "it's.", "x,y", "3.14", "...", "!?", "\"Quote.\"", "É", "e\u0301.", "Σ", "ΑΣ,", "<|endoftext|>", " ", "\n",
+             "\u00a0", "\u2028", "”.", "’s", "'ll:", "½;", "日本", "\U0001f600!", "ǅ.", "İ"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(800)]
+    got = packing.library_encoder(tokenizer_path(), END_ID)([t.encode() for t in texts])
+    for t, ids in zip(texts, got):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids + [END_ID]
+
+
 def test_no_documents_no_files(spark):
     folder, manifest = packing.write_tokens(cases.empty(spark), packing.library_encoder(tokenizer_path(), END_ID), VOCABULARY)
     assert manifest.count() == 0 and packing.read_tokens(spark, folder, manifest).count() == 0
