@@ -447,7 +447,7 @@ def _(spark, sf):
     body="""select d.raster_id, d.y, d.x, round(sm.v, 6) as slope, round(threshold, 6) as threshold,
   d.v is not null and sm.v < threshold as ground,
   round(case when d.v is null then 0 else 1 - least(greatest(sm.v / c, 0), 1) end, 6) as conf
-from dsm d join sm using (raster_id, y, x) join top using (raster_id) join otsu using (raster_id)"""))
+from dsm d join sm using (raster_id, y, x) join top using (raster_id) join otsu using (raster_id)""", once=True))
 def _(spark, sf):
     found = ground.from_slope(t.surface(spark, sf), t.meta(spark, sf), 1.0, tile=TILE)
     return rounded(found, "slope", "threshold", "conf").drop("dsm")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 CELLS = """cells as (
   select l_returnflag as raster_id, cast(floor(l_orderkey / 72) as bigint) as y,
          cast(l_partkey % 96 as bigint) as x, l_orderkey, l_suppkey, l_linenumber, l_quantity,
@@ -79,8 +81,10 @@ FILES = """files as (
           where p_partkey in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity < 8)))"""
 
 
-def sql(*ctes: str, body: str) -> str:
-    return "with " + ",\n".join(ctes) + "\n" + body
+def sql(*ctes: str, body: str, once: bool = False) -> str:
+    """A query over common tables; with ``once`` each is evaluated once however often it is read."""
+    text = "with " + ",\n".join(ctes)
+    return (re.sub(r"(^with |^)(\w+) as \(", r"\1\2 as materialized (", text, flags=re.M) if once else text) + "\n" + body
 
 
 def mirrored(j: str, n: str) -> str:
