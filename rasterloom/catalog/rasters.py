@@ -239,15 +239,25 @@ def _gather(src: str, gsd: float, reach_cells: int, band: str) -> list[str]:
       where q.v is not null group by ly.raster_id, {band}, ly.t, lx.t)"""]
 
 
-@check("join5_resample_bilinear", sql(s.CELLS, s.META, s.SURFACE, "root as (select raster_id, y, x, sqrt(v) as v from surface)", *_gather("root", 0.83, 1, "1"), body="""
+_MOVED_SQL = (sql(s.CELLS, s.META, s.SURFACE, "root as (select raster_id, y, x, sqrt(v) as v from surface)", *_gather("root", 0.83, 1, "1"), body="""
 select raster_id, y, x, round(v, 6) as v from moved"""))
+
+
+@check("join5_resample_bilinear", _MOVED_SQL)
+def _(spark, sf):
+    m = t.meta(spark, sf)
+    packed = pixels_to_tiles(_roots(spark, sf).withColumn("band", F.lit(1)), m, TILE)
+    return _cells_of(resample.resample_tiles(packed, m, target_grid(m, 0.83), TILE, TILE)).filter("v is not null")
+
+
+@check("join5_resample_bilinear_pixels", _MOVED_SQL)
 def _(spark, sf):
     m = t.meta(spark, sf)
     out = resample.resample_bilinear(_roots(spark, sf).withColumn("band", F.lit(1)), m, target_grid(m, 0.83))
     return out.select("raster_id", "y", "x", r6("v").alias("v"))
 
 
-@check("join6_resample_image", sql(s.CELLS, s.META, s.IMAGE,
+_IMAGE_SQL = (sql(s.CELLS, s.META, s.IMAGE,
     "picked as (select raster_id, case band when 5 then 1 when 4 then 2 when 6 then 3 else 4 end as b, y, x, v from image where band in (4, 5, 6, 7))",
     *_gather("picked", 1.5, 3, "b"), """full_grid as (
   select raster_id, b::integer as band, y, unnest(range(w)) as x from (
@@ -256,6 +266,17 @@ def _(spark, sf):
              unnest([1, 2, 3, 4]) as b from meta)))""",
     body="""select raster_id, band, y, x, round(coalesce(v / 65535, 0), 6) as v
 from full_grid left join moved using (raster_id, band, y, x)"""))
+
+
+@check("join6_resample_image", _IMAGE_SQL)
+def _(spark, sf):
+    m = t.meta(spark, sf)
+    packed = pixels_to_tiles(t.image(spark, sf), m, TILE)
+    out = resample.resample_image_tiles(packed, [5, 4, 6, 7], m, target_grid(m, 1.5), TILE, TILE)
+    return tiles_to_pixels(out, TILE).select("raster_id", "band", "y", "x", r6("v").alias("v"))
+
+
+@check("join6_resample_image_pixels", _IMAGE_SQL)
 def _(spark, sf):
     m = t.meta(spark, sf)
     out = resample.resample_image(t.image(spark, sf), [5, 4, 6, 7], m, target_grid(m, 1.5))

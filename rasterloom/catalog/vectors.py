@@ -189,7 +189,7 @@ def _(spark, sf):
 
 _PRE = PreprocessParams(target_gsd=1.0, sigma=1.5, nodata_threshold=0.05, windows=[5, 40], method="local_min",
                         height_threshold=HT, max_ndsm_height=50.0, patch_size=SIDE, patch_nodata=0.95,
-                        patch_image_nodata=0.8, tile=TILE)
+                        patch_image_nodata=0.8)
 _PRE_SQL = (*BASE, s.SURFACE, s.DSM, s.IMAGE, *_SOFT, *_LOW, f"""
 mask0 as (select raster_id, y, x, case when b.v = 0 and s.v < 0.05 then 255 else s.v end as mask
   from burn b join soft s using (raster_id, y, x)),

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterloom.functions import kernels
 from rasterloom.functions.pointwise import mark_nodata
-from rasterloom.model import densify, pixels_to_tiles, zip_tiles
+from rasterloom.model import NODATA, densify, pixels_to_tiles, tiles_to_pixels
 from rasterloom.operators import focal, tiles
 from rasterloom.operators.overlay import CELL, overlay
 from rasterloom.runtime import lookup_join
@@ -111,15 +113,28 @@ def target_grid(meta: DataFrame, gsd: float) -> DataFrame:
         "_h", "_w", "_px", "_py")
 
 
+def mask_tiles(crowns: DataFrame, meta: DataFrame, sigma: float, nodata_threshold: float, tile: int) -> DataFrame:
+    """The soft mask as tiles: burned cells are packed once, and one haloed kernel softens and marks."""
+    weights, r = kernels.gaussian_weights(sigma), kernels.gaussian_radius(sigma)
+
+    def soften(block: np.ndarray) -> np.ndarray:
+        soft = kernels.blur_block(block, weights)
+        inner = block[r:block.shape[0] - r, r:block.shape[1] - r]
+        return np.where((inner == 0) & (soft < nodata_threshold), NODATA, soft)
+
+    packed = pixels_to_tiles(burn(filter_crowns(crowns), meta).withColumn("band", F.lit(1)), meta, tile, fill=0.0)
+    return tiles.map_tiles(packed, soften, tile, (r, r), (r, r))
+
+
 def build_mask(crowns: DataFrame, meta: DataFrame, sigma: float, nodata_threshold: float,
                tile: int | None = 256) -> DataFrame:
     """Burn, soften, and mark what lies far from every polygon (``raster_id, y, x, mask``)."""
-    burned = burn(filter_crowns(crowns), meta)
     if tile is None:
+        burned = burn(filter_crowns(crowns), meta)
         base = densify(burned, meta, 0.0).select(*CELL, F.col("v").alias("burned"))
         soft = focal.gaussian_blur(focal.with_dims(burned, meta), sigma)
         grid = overlay(base, soft=soft).withColumn("soft", F.coalesce("soft", F.lit(0.0)))
     else:
-        packed = pixels_to_tiles(burned.withColumn("band", F.lit(1)), meta, tile, fill=0.0)
-        grid = zip_tiles(tile, burned=packed, soft=tiles.gaussian_blur(packed, sigma, tile))
+        soft = mask_tiles(crowns, meta, sigma, nodata_threshold, tile)
+        return tiles_to_pixels(soft, tile).select(*CELL, F.col("v").alias("mask"))
     return grid.select(*CELL, mark_nodata(F.col("burned"), F.col("soft"), nodata_threshold).alias("mask"))

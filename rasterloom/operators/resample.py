@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pointwise import scale_to_unit
-from rasterloom.model import cells
+from rasterloom.model import TILE_SCHEMA, cells, list_column, list_rows, tile_grid, tile_table
 from rasterloom.operators.overlay import select_bands
 from rasterloom.runtime import lookup_join
 
+_AXES = [f"{g}_{c}" for g in "st" for c in ("height", "width", "x0", "y0", "px", "py")]
+_WINDOW = pa.schema([
+    ("raster_id", pa.string()), ("band", pa.int32()), ("ty", pa.int32()), ("tx", pa.int32()), ("sy", pa.int64()), ("sx", pa.int64()),
+    ("sh", pa.int32()), ("sw", pa.int32()), *[(c, pa.float64()) for c in _AXES], ("data", pa.list_(pa.float64()))])
+_WINDOW_SCHEMA = ("raster_id string, band int, ty int, tx int, sy bigint, sx bigint, sh int, sw int, "
+                  + ", ".join(f"{c} double" for c in _AXES) + ", data array<double>")
+
 
 def _send(df: DataFrame, at: str, size: str, origin: str, count: str, out: str, weight: str) -> DataFrame:
     """Send every row to the target positions its source position weighs on along one axis.
@@ -63,3 +74,123 @@ def resample_image(raster: DataFrame, bands: list[int], source: DataFrame, targe
     grid = cells(target).withColumn("band", F.explode(F.array(*[F.lit(i + 1) for i in range(len(bands))])))
     full = grid.join(moved, ["raster_id", "band", "y", "x"], "left")
     return full.withColumn("v", scale_to_unit(F.col("v"), top))
+
+
+# tile form --------------------------------------------------------------------------------------
+class _Axis:
+    """One axis of a pair of grids: a target centre ``t`` lies at ``slope * t + offset`` in source index units."""
+
+    def __init__(self, a: dict, size: str, origin: str, count: str):
+        self.slope = a[f"t_{size}"] / a[f"s_{size}"]
+        self.offset = (a[f"t_{size}"] * 0.5 + a[f"t_{origin}"] - a[f"s_{origin}"]) / a[f"s_{size}"] - 0.5
+        self.reach = max(abs(self.slope), 1.0)
+        self.n_source, self.n_target = int(a[f"s_{count}"]), int(a[f"t_{count}"])
+
+    def targets(self, start: int, stop: int) -> tuple[int, int]:
+        """The range of target cells on which any source cell of [start, stop) may weigh."""
+        ends = sorted(((start - self.reach - self.offset) / self.slope, (stop - 1 + self.reach - self.offset) / self.slope))
+        return max(0, int(np.floor(ends[0]))), min(self.n_target, int(np.ceil(ends[1])) + 1)
+
+    def sources(self, start: int, stop: int) -> tuple[int, int]:
+        """The range of source cells that may weigh on any target cell of [start, stop)."""
+        ends = sorted((self.slope * start + self.offset, self.slope * (stop - 1) + self.offset))
+        return max(0, int(np.floor(ends[0] - self.reach))), min(self.n_source, int(np.ceil(ends[1] + self.reach)) + 1)
+
+    def weights(self, targets: tuple[int, int], sources: tuple[int, int]) -> np.ndarray:
+        centre = self.slope * np.arange(*targets) + self.offset
+        w = 1.0 - np.abs(np.arange(*sources)[None, :] - centre[:, None]) / self.reach
+        inside = (centre >= -0.5) & (centre <= self.n_source - 0.5)
+        return np.where((w > 1e-9) & inside[:, None], w, 0.0)
+
+
+def _axes(a: dict) -> tuple[_Axis, _Axis]:
+    return _Axis(a, "py", "y0", "height"), _Axis(a, "px", "x0", "width")
+
+
+def resample_tiles(tiles: DataFrame, source: DataFrame, target: DataFrame, size: int, out_size: int,
+                   wanted: DataFrame | None = None, seen: bool = False) -> DataFrame:
+    """Tiles of side ``size`` on the source grid as tiles of side ``out_size`` on the target grid.
+
+    Every source tile sends each target tile the part of it that weighs there; a target tile is two
+    matrix products. Cells are never rows. Values equal :func:`resample_bilinear`; target tiles that
+    receive nothing are absent. ``wanted`` (raster_id, ty, tx) keeps other targets from being sent to.
+    With ``seen``, a column counts the tile's cells that are neither missing nor 0 in some band.
+    """
+    names = ["height", "width", "x0", "y0", "px", "py"]
+    number = lambda side, d: d.select("raster_id", *[F.col(c).cast("double").alias(f"{side}_{c}") for c in names])
+    placed = lookup_join(tiles, number("s", source).join(number("t", target), "raster_id"), "raster_id", "inner")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.drop_columns(["data"]).to_pylist()
+            for row, flat in zip(rows, list_rows(batch.column(batch.schema.get_field_index("data")))):
+                keys, parts = [], []
+                ay, ax = _axes(row)
+                y0, x0, block = row["ty"] * size, row["tx"] * size, flat.reshape(row["h"], row["w"])
+                (ya, yb), (xa, xb) = ay.targets(y0, y0 + row["h"]), ax.targets(x0, x0 + row["w"])
+                for ty in range(ya // out_size, -(-yb // out_size)):
+                    sa, sb = ay.sources(ty * out_size, min((ty + 1) * out_size, ay.n_target))
+                    sa, sb = max(sa, y0), min(sb, y0 + row["h"])
+                    for tx in range(xa // out_size, -(-xb // out_size)):
+                        ca, cb = ax.sources(tx * out_size, min((tx + 1) * out_size, ax.n_target))
+                        ca, cb = max(ca, x0), min(cb, x0 + row["w"])
+                        if sa < sb and ca < cb:
+                            keys.append((row["raster_id"], row["band"], ty, tx, sa, ca, sb - sa, cb - ca, *(row[c] for c in _AXES)))
+                            parts.append(block[sa - y0:sb - y0, ca - x0:cb - x0].ravel())
+                if keys:
+                    lists = [pa.array(v, f.type) for v, f in zip(zip(*keys), _WINDOW)]
+                    yield pa.RecordBatch.from_arrays([*lists, list_column(parts)], schema=_WINDOW)
+
+    def assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rid, ty, tx = (k.as_py() for k in key)
+        bands = np.asarray(table.column("band"))
+        each = {int(b): one(rid, int(b), ty, tx, table.filter(pa.array(bands == b))) for b in np.unique(bands)}
+        packed = pa.concat_tables([pack for pack, _ in each.values()])
+        if not seen:
+            return packed
+        any_band = np.any([np.nan_to_num(v) != 0 for _, v in each.values()], axis=0)
+        return packed.append_column("seen", pa.array([int(any_band.sum())] * len(each), pa.int64()))
+
+    def one(rid: str, band: int, ty: int, tx: int, table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        ay, ax = _axes({c: table.column(c)[0].as_py() for c in _AXES})
+        ys, xs = ((t * out_size, min((t + 1) * out_size, a.n_target)) for t, a in ((ty, ay), (tx, ax)))
+        (ya, yb), (xa, xb) = ay.sources(*ys), ax.sources(*xs)
+        block = np.full((yb - ya, xb - xa), np.nan)
+        for sy, sx, sh, sw, flat in zip(*(table.column(c).to_pylist() for c in ("sy", "sx", "sh", "sw")), list_rows(table.column("data"))):
+            block[sy - ya:sy - ya + sh, sx - xa:sx - xa + sw] = flat.reshape(sh, sw)
+        wy, wx, there = ay.weights(ys, (ya, yb)), ax.weights(xs, (xa, xb)), ~np.isnan(block)
+        mass = wy @ there.astype(float) @ wx.T
+        value = wy @ np.where(there, block, 0.0) @ wx.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = np.where(mass > 0, value / mass, np.nan)
+        ids = dict(raster_id=[rid], band=[band], ty=[ty], tx=[tx], h=[ys[1] - ys[0]], w=[xs[1] - xs[0]], rh=[ay.n_target], rw=[ax.n_target])
+        return tile_table(ids, [out.ravel()]), out
+
+    windows = placed.select("raster_id", "band", "ty", "tx", "h", "w", *_AXES, "data").mapInArrow(cut, _WINDOW_SCHEMA)
+    if wanted is not None:
+        windows = windows.join(wanted.select("raster_id", "ty", "tx"), ["raster_id", "ty", "tx"], "left_semi").select(*_WINDOW.names)
+    return windows.groupBy("raster_id", "ty", "tx").applyInArrow(assemble, TILE_SCHEMA + (", seen bigint" if seen else ""))
+
+
+def complete(tiles: DataFrame, meta: DataFrame, size: int, bands: tuple[int, ...] = (1,)) -> DataFrame:
+    """The tiles with the grid's other tiles added, all missing; a join per tile."""
+    h, w = F.expr(f"least({size}, rh - ty * {size})"), F.expr(f"least({size}, rw - tx * {size})")
+    grid = tile_grid(meta, size, bands).withColumn("band", F.col("band").cast("int"))
+    blank = F.array_repeat(F.lit(None).cast("double"), h * w)
+    key = ["raster_id", "band", "ty", "tx"]
+    extra = [c for c in tiles.columns if c not in (*key, "h", "w", "rh", "rw", "data")]
+    return grid.join(tiles.select(*key, "data", *extra), key, "left").select(
+        *key, h.alias("h"), w.alias("w"), "rh", "rw", F.coalesce("data", blank).alias("data"), *extra)
+
+
+def resample_image_tiles(tiles: DataFrame, bands: list[int], source: DataFrame, target: DataFrame, size: int, out_size: int,
+                         top: float = 65535.0, wanted: DataFrame | None = None) -> DataFrame:
+    """The tile form of :func:`resample_image`, with the column ``seen``; with ``wanted``, only the
+    tiles listed there."""
+    moved = resample_tiles(select_bands(tiles, bands), source, target, size, out_size, wanted, seen=True)
+    full = complete(moved, target, out_size, tuple(range(1, len(bands) + 1)))
+    if wanted is not None:
+        full = full.join(wanted.select("raster_id", "ty", "tx"), ["raster_id", "ty", "tx"], "left_semi")
+    names = [c.split()[0] for c in TILE_SCHEMA.split(", ")]
+    scaled = full.withColumns({"data": F.transform("data", lambda v: scale_to_unit(v, top)), "seen": F.coalesce("seen", F.lit(0))})
+    return scaled.select(*names, "seen")
