@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom.catalog import sqlparts as s
-from rasterloom.catalog.rasters import BASE, HT, TILE, _LOW, _dsm
+from rasterloom.catalog.rasters import BASE, HT, TILE, _LOW, _dsm, _gather
 from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions.pointwise import height_confidence, soft_blend
@@ -49,6 +49,24 @@ def _(spark, sf):
     return densify(_burned(spark, sf), t.meta(spark, sf), 0.0)
 
 
+_SHIFTED = """extents as (select raster_id, height, width, case raster_id when 'A' then 0 when 'N' then 48 else 90 end::double as x0 from meta)"""
+
+
+@check("join4_place_by_extent", sql(*BASE, s.CROWNS, s.GOOD, _SHIFTED, body="""
+select e.raster_id, g.y, g.x, count(*) as crowns from extents e join grid g using (raster_id)
+join good c on abs(g.x + 0.5 + e.x0 - c.cx) + abs(g.y + 0.5 - c.cy) < c.r group by all"""))
+def _(spark, sf):
+    """Polygons that know no raster, over overlapping extents."""
+    at = F.when(F.col("raster_id") == "A", 0.0).when(F.col("raster_id") == "N", 48.0).otherwise(90.0)
+    shifted = t.meta(spark, sf).withColumn("x0", at)
+    placed = rz.place_crowns(rz.filter_crowns(t.crowns(spark, sf).drop("raster_id")), shifted, cell=32.0)
+    # one burn per polygon, to count how many cover a cell
+    each = placed.withColumn("raster_id", F.concat_ws(":", "raster_id", "crown_id"))
+    metas = shifted.join(placed.select("raster_id", "crown_id"), "raster_id").withColumn("raster_id", F.concat_ws(":", "raster_id", "crown_id"))
+    cells = rz.burn(each, metas.drop("crown_id"))
+    return cells.groupBy(F.substring_index("raster_id", ":", 1).alias("raster_id"), "y", "x").agg(F.count(F.lit(1)).alias("crowns"))
+
+
 @check("set4_burn_once", sql(*BASE, s.CROWNS, s.GOOD, s.BURNED, body="""
 select raster_id, y, count(*) as cells, count(distinct x) as distinct_cells from burned group by 1, 2"""))
 def _(spark, sf):
@@ -228,3 +246,71 @@ def _(spark, sf):
 @check("preprocess_split", sql(*_PRE_SQL, body="select patch_id, split from split"))
 def _(spark, sf):
     return _preprocessed(spark, sf).split
+
+
+# the default detection on a grid of another pixel size --------------------------------------------
+GSD = 1.25
+_COARSE = dict(target_gsd=GSD, sigma=1.5, nodata_threshold=0.05, windows=[5, 40], method="both", gradient_sigma=1.0,
+               height_threshold=HT, max_ndsm_height=50.0, patch_size=SIDE, patch_nodata=0.95, patch_image_nodata=0.8)
+
+
+def _moved(name: str, src: str, band: str) -> str:
+    return _gather(src, GSD, 2, band)[2].replace("moved as", f"{name} as")
+
+
+def _coarse_sql(low: str, *low_tables: str) -> str:
+    """The stages of preprocessing on the resampled grid; ``meta`` and ``grid`` name the target."""
+    fine = s.META.replace("meta as", "meta0 as")
+    axes = [x.replace("from meta)", "from meta0)") for x in _gather("surface", GSD, 2, "1")[:2]]
+    burned = """burned as (select distinct g.raster_id, g.y, g.x from grid g join meta m using (raster_id) join good c
+      on g.raster_id = c.raster_id and abs((g.x + 0.5e0) * kx - c.cx) + abs((g.y + 0.5e0) * ky - c.cy) < c.r)"""
+    return sql(
+        s.CELLS, fine, s.SURFACE, s.TERRAIN, s.IMAGE, *axes,
+        "shots as (select raster_id, case band when 5 then 0 when 4 then 1 when 6 then 2 else 3 end as b, y, x, v from image where band in (4, 5, 6, 7))",
+        _moved("moved_s", "surface", "1"), _moved("moved_t", "terrain", "1"), _moved("moved_i", "shots", "b"),
+        f"""meta as (select raster_id, h as height, w as width, h0 * 1e0 / h as ky, w0 * 1e0 / w as kx from (
+          select raster_id, height as h0, width as w0, round_even(height * 1e0 / {GSD}, 0)::bigint as h, round_even(width * 1e0 / {GSD}, 0)::bigint as w from meta0))""",
+        s.GRID, s.CROWNS, s.GOOD, burned, *_SOFT[3:],
+        "dsm as (select g.raster_id, g.y, g.x, m.v from grid g left join moved_s m using (raster_id, y, x))",
+        *low_tables, "src as (select raster_id, y, x, coalesce(v, 0) as v from dsm)", *s.slope("sl", "src"), *s.blurred("sm", "sl", 1.0, 4),
+        "scale as (select raster_id, greatest(coalesce(quantile_cont(v, 0.95) filter (v > 0), 0), 1e-8) as c from sm group by raster_id)",
+        """mask0 as (select raster_id, y, x, case when b.v = 0 and s.v < 0.05 then 255 else s.v end as mask
+          from burn b join soft s using (raster_id, y, x))""",
+        f"h as (select d.raster_id, d.y, d.x, d.v as dsm, d.v - {low} as ndsm from dsm d {'join m5 using (raster_id, y, x) join m40 using (raster_id, y, x)' if low_tables else 'left join moved_t t using (raster_id, y, x)'})",
+        f"""conf as (select h.raster_id, h.y, h.x, least({s.confidence('h.ndsm', HT)},
+          case when h.dsm is null then 0 else 1 - least(greatest(sm.v / c, 0), 1) end) as conf from h join sm using (raster_id, y, x) join scale using (raster_id))""",
+        f"mask as (select raster_id, y, x, {s.blend('k.mask', 'conf', 0.6)} as mask from mask0 k join conf using (raster_id, y, x))",
+        "top as (select raster_id, least(coalesce(quantile_cont(ndsm, 0.95) filter (ndsm > 0), 50), 50) as c from h group by raster_id)",
+        "img as (select raster_id, y, x, band as channel, v / 65535 as v from moved_i)", "img_seen as (select * from img where v <> 0)",
+        _PGRID, _FRAC.replace("from image where", "from img_seen where"), f"""
+kept as (select *, raster_id || '/' || {_NAME} as patch_id from pgrid join frac using (raster_id, pr, pc)
+  where not mask_nodata > 0.95 and not image_zero > 0.8),
+ranked as (select patch_id, row_number() over (order by md5('42:' || patch_id), patch_id) as k, count(*) over () as n from kept),
+split as (select patch_id, case when k <= floor(n * 0.7e0) then 'train' when k <= floor(n * 0.7e0) + floor(n * 0.2e0) then 'val' else 'test' end as split from ranked),
+px as (select channel, patch_id, v from img join kept k on k.raster_id = img.raster_id and k.pr = y // 16 and k.pc = x // 16
+  union all select 4, patch_id, case when dsm is null then 0 else coalesce(least(greatest(ndsm, 0), c) / c, 0) end
+  from h join top using (raster_id) join kept k on k.raster_id = h.raster_id and k.pr = y // 16 and k.pc = x // 16),
+size as (select count(*) * 256 as n from split where split = 'train'),
+sums as (select channel, sum(v) as a, sum(v * v) as b from px join split using (patch_id) where split = 'train' group by channel),
+covered as (select split, count(*) as patches from split group by split)""",
+        body="""select channel::integer as channel, round(a / n, 6) as mean, round(sqrt(greatest(b / n - (a / n) * (a / n), 1e-12)), 6) as std,
+  (select patches from covered where split = 'train') as train_patches, (select count(*) from mask where mask = 255) as nodata_cells from sums, size""", once=True)
+
+
+def _coarse(spark, sf, **terrain):
+    m = t.meta(spark, sf)
+    out = preprocess(t.crowns(spark, sf), t.image(spark, sf), m, t.surface(spark, sf), m, PreprocessParams(**_COARSE), **terrain)
+    n = out.split.filter("split = 'train'").agg(F.count(F.lit(1)).alias("train_patches"))
+    lost = out.tiles.agg(F.sum("n_nodata").cast("bigint").alias("nodata_cells"))
+    totals = n.withColumn("k", F.lit(1)).join(lost.withColumn("k", F.lit(1)), "k")
+    return rounded(out.channel_stats, "mean", "std").withColumn("k", F.lit(1)).join(totals, "k").drop("k")
+
+
+@check("preprocess_both", _coarse_sql("(m5.v + m40.v) / 2", *_LOW))
+def _(spark, sf):
+    return _coarse(spark, sf)
+
+
+@check("preprocess_both_terrain", _coarse_sql("t.v"))
+def _(spark, sf):
+    return _coarse(spark, sf, dtm=t.terrain(spark, sf), dtm_meta=t.meta(spark, sf))

@@ -14,7 +14,7 @@ from rasterloom.functions.pointwise import mark_nodata
 from rasterloom.model import NODATA, densify, pixels_to_tiles, tiles_to_pixels
 from rasterloom.operators import focal, tiles
 from rasterloom.operators.overlay import CELL, overlay
-from rasterloom.runtime import lookup_join
+from rasterloom.runtime import freeze, lookup_join
 
 # The categories that become class 1.
 INCLUDED = ("son", "soff")
@@ -31,32 +31,91 @@ def _twice_area(ring: Column) -> Column:
     return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])
 
 
-def _side(px, py, e) -> Column:
-    return F.signum((e["bx"] - e["ax"]) * (py - e["ay"]) - (e["by"] - e["ay"]) * (px - e["ax"]))
-
-
-def _crosses(e, f) -> Column:
-    return (_side(f["ax"], f["ay"], e) * _side(f["bx"], f["by"], e) < 0) & (
-        _side(e["ax"], e["ay"], f) * _side(e["bx"], e["by"], f) < 0)
-
-
-def well_formed(rings: Column, crossings: bool = True) -> Column:
-    """Closed rings of at least four points with some area and no edges crossing each other."""
+def well_formed(rings: Column) -> Column:
+    """Closed rings of at least four points with some area."""
     def ring_ok(r):
         first, last = F.element_at(r, 1), F.element_at(r, -1)
         return F.when(F.size(r) < 4, False).otherwise(
             (first["x"] == last["x"]) & (first["y"] == last["y"]) & (F.abs(_twice_area(r)) > 0))
 
     ok = rings.isNotNull() & (F.size(rings) > 0) & F.forall(rings, ring_ok)
-    if crossings:
-        edges = F.flatten(F.transform(rings, _edges))
-        ok = F.when(ok, ~F.exists(edges, lambda e: F.exists(edges, lambda f: _crosses(e, f)))).otherwise(False)
     return F.coalesce(ok, F.lit(False))
 
 
+def _turn(a: tuple, b: tuple, c: tuple) -> Column:
+    """Sign of the turn a -> b -> c: 0 on a line."""
+    return F.signum((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+
+
+def _between(p: tuple, a: tuple, b: tuple) -> Column:
+    """Whether a point on the line through a and b lies between them, ends included."""
+    along = lambda k: (p[k] >= F.least(a[k], b[k])) & (p[k] <= F.greatest(a[k], b[k]))
+    return along(0) & along(1)
+
+
+def _meeting(e: tuple, f: tuple) -> tuple[Column, Column, Column]:
+    """How two edges meet: they cross in their insides, they touch somewhere, they share a stretch."""
+    (a, b), (c, d) = e, f
+    t1, t2, t3, t4 = _turn(a, b, c), _turn(a, b, d), _turn(c, d, a), _turn(c, d, b)
+    crosses = (t1 * t2 < 0) & (t3 * t4 < 0)
+    on = lambda t, p, x, y: (t == 0) & _between(p, x, y)
+    touches = on(t1, c, a, b) | on(t2, d, a, b) | on(t3, a, c, d) | on(t4, b, c, d)
+    longer = F.greatest(*[F.abs(F.least(F.greatest(a[k], b[k]), F.greatest(c[k], d[k])) - F.greatest(F.least(a[k], b[k]), F.least(c[k], d[k])))
+                          for k in (0, 1)])
+    shares = touches & (t1 == 0) & (t2 == 0) & (longer > 0)
+    return crosses, touches, shares
+
+
+def _numbered_edges(crowns: DataFrame) -> DataFrame:
+    """(shape, ring, i, n, a, b) for every edge with some length; shape is a digest of the rings."""
+    rings = crowns.select(F.xxhash64("rings").alias("shape"), "rings").distinct()
+    ring = rings.select("shape", F.posexplode("rings").alias("ring", "r"))
+    moved = lambda r: F.filter(_edges(r), lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"]))
+    edges = ring.select("shape", "ring", moved(F.col("r")).alias("edges")).select(
+        "shape", "ring", F.size("edges").alias("n"), F.posexplode("edges").alias("i", "e"))
+    return edges.select("shape", "ring", "i", "n", "e.*")
+
+
+def broken_shapes(crowns: DataFrame) -> DataFrame:
+    """(shape) of polygons whose rings cross, overlap, turn back on themselves or touch themselves, and
+    of those with a hole that leaves its shell. Different rings may touch in points.
+
+    Edges of a shape are dealt to bands of y, about as many as the shape has edges over eight, and
+    compared inside a band, so neither a row nor a task holds all pairs of a large outline.
+    """
+    edges = freeze(_numbered_edges(crowns))
+    box = edges.groupBy("shape").agg(F.min("ay").alias("low"), F.max("ay").alias("high"), F.ceil(F.count("*") / 8).alias("bands"))
+    placed = edges.join(box, "shape")
+    band = lambda y: F.least(F.floor((y - F.col("low")) / (F.col("high") - F.col("low")) * F.col("bands")), F.col("bands") - 1)
+    dealt = placed.withColumn("band", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by"))))).drop("low", "high", "bands")
+    e, f = dealt.alias("e"), dealt.alias("f")
+    point = lambda t, k: (F.col(f"{t}.{k}x"), F.col(f"{t}.{k}y"))
+    crosses, touches, shares = _meeting((point("e", "a"), point("e", "b")), (point("f", "a"), point("f", "b")))
+    pairs = e.join(f, (F.col("e.shape") == F.col("f.shape")) & (F.col("e.band") == F.col("f.band")) & (
+        (F.col("e.ring") < F.col("f.ring")) | ((F.col("e.ring") == F.col("f.ring")) & (F.col("e.i") < F.col("f.i")))))
+    same = F.col("e.ring") == F.col("f.ring")
+    step = F.col("f.i") - F.col("e.i")
+    neighbours = same & ((step == 1) | (step == F.col("e.n") - 1))
+    bad = pairs.filter(crosses | shares | (same & ~neighbours & touches)).select("e.shape")
+    shell, hole = placed.filter("ring = 0").alias("e"), edges.filter("ring > 0").select(
+        "shape", "ring", F.col("ax").alias("px"), F.col("ay").alias("py")).alias("h")
+    over = (F.least("e.ay", "e.by") <= F.col("py")) & (F.col("py") < F.greatest("e.ay", "e.by"))
+    at = F.col("e.ax") + (F.col("py") - F.col("e.ay")) / F.when(over, F.col("e.by") - F.col("e.ay")) * (F.col("e.bx") - F.col("e.ax"))
+    corner = (F.col("px"), F.col("py"))
+    edge_on = (_turn(point("e", "a"), point("e", "b"), corner) == 0) & _between(corner, point("e", "a"), point("e", "b"))
+    outside = (
+        hole.join(shell, F.col("h.shape") == F.col("e.shape")).groupBy(F.col("h.shape").alias("shape"), "h.ring", "px", "py")
+        .agg(F.count_if(over & (at <= F.col("px"))).alias("left"), F.max(edge_on).alias("edge"))
+        .filter("left % 2 = 0 and not edge").select("shape"))
+    return bad.unionByName(outside).distinct()
+
+
 def filter_crowns(crowns: DataFrame, categories: tuple[str, ...] = INCLUDED, crossings: bool = True) -> DataFrame:
     """Keep the listed categories (a NULL category is dropped) with a usable geometry."""
-    return crowns.filter(F.col("crown_category").isin(*categories)).filter(well_formed(F.col("rings"), crossings))
+    usable = crowns.filter(F.col("crown_category").isin(*categories)).filter(well_formed(F.col("rings")))
+    if not crossings:
+        return usable
+    return usable.join(freeze(broken_shapes(usable)), F.xxhash64("rings") == F.col("shape"), "left_anti")
 
 
 def concat_crowns(*tables: DataFrame) -> DataFrame:
@@ -67,13 +126,43 @@ def concat_crowns(*tables: DataFrame) -> DataFrame:
     return both
 
 
+def place_crowns(crowns: DataFrame, meta: DataFrame, cell: float = 256.0) -> DataFrame:
+    """Give polygons the rasters whose extent their bounding box overlaps (one row per pair).
+
+    Boxes and extents are dealt to squares of ``cell`` map units and meet on the square; a pair counts
+    in the one square that holds the lower corner of the common part, so nothing has to be made
+    distinct. Polygons in another coordinate system than the raster's are an error.
+    """
+    far = lambda o, n, p: F.col(o) + F.col(n) * F.col(p)
+    ends = {"x0": far("x0", "width", "px"), "y0": far("y0", "height", "py")}
+    extents = meta.select(
+        "raster_id", F.col("crs_epsg").alias("_crs"), F.least("x0", ends["x0"]).alias("_l"), F.greatest("x0", ends["x0"]).alias("_r"),
+        F.least("y0", ends["y0"]).alias("_b"), F.greatest("y0", ends["y0"]).alias("_t"))
+    points = F.flatten("rings")
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    boxes = crowns.select("*", F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"),
+                          F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"))
+    square = lambda v: F.floor(v / cell)
+    deal = lambda df, l, r, b, t: df.withColumn("_cx", F.explode(F.sequence(square(F.col(l)), square(F.col(r))))).withColumn(
+        "_cy", F.explode(F.sequence(square(F.col(b)), square(F.col(t)))))
+    met = deal(boxes, "_x0", "_x1", "_y0", "_y1").join(deal(extents, "_l", "_r", "_b", "_t"), ["_cx", "_cy"])
+    here = (F.col("_cx") == square(F.greatest("_x0", "_l"))) & (F.col("_cy") == square(F.greatest("_y0", "_b")))
+    overlap = (F.col("_x0") < F.col("_r")) & (F.col("_x1") > F.col("_l")) & (F.col("_y0") < F.col("_t")) & (F.col("_y1") > F.col("_b"))
+    differs = F.raise_error(F.lit("polygons and raster use different coordinate systems")).cast("string")
+    known = F.when(F.col("crs_epsg").eqNullSafe(F.col("_crs")), F.col("raster_id")).otherwise(differs)
+    return met.filter(here & overlap).select(*crowns.columns, known.alias("raster_id"))
+
+
 def burn(crowns: DataFrame, meta: DataFrame) -> DataFrame:
     """Cells whose centre lies inside a polygon, once each (``raster_id, y, x, v = 1``).
 
     Every edge is expanded to the pixel rows it crosses, the crossings of one polygon and row are
     paired from left to right, and the span of a pair is expanded to cells. The even-odd rule
-    leaves holes open; half-open comparisons keep touching polygons free of gaps and doubles.
+    leaves holes open; half-open comparisons keep touching polygons free of gaps and doubles. Polygons
+    without a ``raster_id`` are placed by their coordinates first.
     """
+    if "raster_id" not in crowns.columns:
+        crowns = place_crowns(crowns, meta)
     dims = meta.select("raster_id", "height", "width", "x0", "y0", "px", "py")
     placed = lookup_join(crowns.select("crown_id", "raster_id", "rings"), dims, "raster_id", "inner")
     edges = placed.select(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from helpers import grid_of, inside, meta_of, pixels_of
+from rasterloom.model import pixels_to_tiles, tiles_to_pixels
 from rasterloom.operators import rasterize as rz, resample
 
 SCHEMA = "crown_id bigint, raster_id string, crown_category string, crs_epsg int, rings array<array<struct<x:double,y:double>>>"
@@ -110,3 +111,39 @@ def test_resample_outside_is_missing(spark):
     target = meta_of(spark, {"r": (4, 8)})
     got = grid_of(resample.resample_bilinear(pixels_of(spark, {"r": g}), source, target), (4, 8))
     assert np.isnan(got[:, :2]).all() and np.isnan(got[:, 6:]).all() and (got[:, 2:6] == 1).all()
+
+
+SPIKE = [(0.0, 0.0), (8.0, 0.0), (8.0, 4.0), (12.0, 4.0), (8.0, 4.0), (8.0, 8.0), (0.0, 8.0), (0.0, 0.0)]
+PINCHED = [(0.0, 0.0), (4.0, 4.0), (8.0, 0.0), (8.0, 8.0), (4.0, 4.0), (0.0, 8.0), (0.0, 0.0)]
+ON_EDGE = [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (4.0, 0.0), (0.0, 8.0), (0.0, 0.0)]
+BOW = [(0.0, 0.0), (8.0, 8.0), (8.0, 0.0), (0.0, 9.0), (0.0, 0.0)]
+AWAY = [(20.0, 20.0), (22.0, 20.0), (22.0, 22.0), (20.0, 20.0)]
+DOUBLED = [(0.0, 0.0), (8.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0), (0.0, 0.0)]
+CORNER_HOLE = [(2.0, 2.0), (5.0, 3.0), (4.0, 6.0), (2.0, 2.0)]
+
+
+@pytest.mark.parametrize("rings,kept", [
+    ([SQUARE], True), ([CONCAVE], True), ([SQUARE, HOLE], True), ([SQUARE, CORNER_HOLE], True), ([DOUBLED], True),
+    ([SPIKE], False), ([PINCHED], False), ([ON_EDGE], False), ([BOW], False), ([SQUARE, AWAY], False), ([HOLE, SQUARE], False)])
+def test_usable_shapes(spark, rings, kept):
+    assert rz.filter_crowns(crowns(spark, [rings])).count() == kept
+
+
+def test_placing_by_extent(spark):
+    shapes = crowns(spark, [[SQUARE], [[(x + 30, y) for x, y in SQUARE]], [[(x + 14, y - 3) for x, y in SQUARE]]]).drop("raster_id")
+    meta = meta_of(spark, {"a": (20, 20)}).union(meta_of(spark, {"b": (20, 20)}, x0=15.0)).union(meta_of(spark, {"c": (5, 5)}, x0=200.0, py=-1.0))
+    got = {(r.crown_id, r.raster_id) for r in rz.place_crowns(shapes, meta, cell=7.0).collect()}
+    assert got == {(0, "a"), (1, "b"), (2, "a"), (2, "b")}
+    plan = rz.place_crowns(shapes, meta)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(Exception, match="coordinate systems"):
+        rz.place_crowns(shapes.withColumn("crs_epsg", shapes.crs_epsg + 1), meta).collect()
+
+
+def test_opposite_axes_resample(spark):
+    g = np.arange(12.0).reshape(3, 4)
+    src, dst = meta_of(spark, {"r": (3, 4)}), meta_of(spark, {"r": (3, 4)}, y0=3.0, py=-1.0)
+    px = pixels_of(spark, {"r": g})
+    np.testing.assert_allclose(grid_of(resample.resample_bilinear(px, src, dst), (3, 4)), g[::-1])
+    tiles = resample.resample_tiles(pixels_to_tiles(px, src, 2), src, dst, 2, 2)
+    np.testing.assert_allclose(grid_of(tiles_to_pixels(tiles, 2), (3, 4)), g[::-1])
