@@ -195,6 +195,22 @@ def _(spark, sf):
     return rounded(ms.latest(spark, f"{base}/table"), "abs_error")
 
 
+@check("stm1_running_loss", sql(*P, _BATCH.replace("split, batch_id", "run_id, epoch, split, batch_id"), body=f"""
+select k.run_id, k.epoch, k.split, coalesce(sum(n), 0)::bigint as n_valid, round(coalesce(sum(({_COMBINED}) * n) / sum(n), 0), 6) as loss
+from every k left join bt using (run_id, epoch, split, batch_id) group by 1, 2, 3"""))
+def _(spark, sf):
+    """A stream with a row per prediction batch; the state is the valid-weighted sum of batch losses."""
+    base = work_folder(spark, "loss-stream")
+    cell = F.struct("logit", "target")
+    rows = t.predictions(spark, sf).groupBy("run_id", "epoch", "split", "batch_id").agg(F.collect_list(cell).alias("c"))
+    arrivals = rows.select("run_id", "epoch", "split", F.col("c.logit").alias("logits"), F.col("c.target").alias("targets"))
+    arrivals.repartition(3).write.parquet(f"{base}/arrivals")
+    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrivals")
+    ms.start_upsert(ms.running_losses(stream, W), f"{base}/table", f"{base}/state").awaitTermination()
+    mean = F.when(F.col("n_valid") > 0, F.col("loss_sum") / F.col("n_valid")).otherwise(0.0)
+    return ms.latest(spark, f"{base}/table").select("run_id", "epoch", "split", F.col("n_valid").cast("bigint").alias("n_valid"), r6(mean).alias("loss"))
+
+
 @check("stm2_patch_ingest", """
 with e as (select vec_id, embedding as b from embeddings)
 select printf('%05d_%d_ms4', vec_id // 5, vec_id % 5) as name, cast(vec_id // 5 as integer) as pr, cast(vec_id % 5 as integer) as pc,

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.runtime import lookup_join, shuffle_width
+from rasterloom.runtime import freeze, shuffle_width
 
 NODATA = 255.0
 
@@ -133,9 +133,10 @@ def pixels_to_tiles(pixels: DataFrame, meta: DataFrame, size: int, fill: float |
         ids = dict(raster_id=[rid], band=[band], ty=[ty], tx=[tx], h=[h], w=[w], rh=[rh], rw=[rw])
         return tile_table(ids, [block])
 
+    meta = freeze(meta.select("raster_id", "height", "width"))  # read here and for the grid of a fill
     dims = meta.select("raster_id", F.col("height").cast("int").alias("rh"),
                        F.col("width").cast("int").alias("rw"))
-    placed = lookup_join(pixels, dims, "raster_id", "inner").select(
+    placed = pixels.join(dims, "raster_id").select(
         "raster_id",
         F.col("band").cast("int").alias("band"),
         F.expr(f"cast(y div {size} as int)").alias("ty"),

@@ -11,16 +11,17 @@ REGISTRY_SCHEMA = "run_id string, name string, params map<string,string>, mask_p
 
 
 def save_history(history: DataFrame, path: str, metrics: list[str]) -> None:
-    """Wide CSV with the epoch first, values rounded to eight decimals, one folder per run."""
+    """Wide CSV, values rounded to eight decimals, one folder per phase; runs are ranges of rows, so
+    the number of files does not follow the number of runs."""
     wide = wide_history(history, metrics).select("run_id", "phase", "epoch", *metrics)
-    order = ("run_id", "phase", "epoch")  # ranges, so a very long run is written by several tasks
+    order = ("phase", "run_id", "epoch")  # ranges, so a very long run is written by several tasks
     wide.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
-        "run_id", "phase").option("header", True).csv(path)
+        "phase").option("header", True).csv(path)
 
 
 def load_history(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
     """Back to long form."""
-    schema = "epoch bigint, " + ", ".join(f"{m} double" for m in metrics) + ", run_id bigint, phase string"
+    schema = "run_id bigint, epoch bigint, " + ", ".join(f"{m} double" for m in metrics) + ", phase string"
     wide = spark.read.schema(schema).option("header", True).csv(path)
     return long_history(wide.select("run_id", "phase", "epoch", *metrics))
 
@@ -38,10 +39,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def register_run(entry: DataFrame, path: str) -> None:
-    """Append runs to the registry, partitioned by run id."""
-    entry.write.mode("append").partitionBy("run_id").parquet(path)
+    """Append runs to the registry, sorted by run id so that a reader's filter skips row groups."""
+    entry.sortWithinPartitions("run_id").write.mode("append").parquet(path)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The run id stays text, whatever it looks like in the folder names."""
     return spark.read.schema(REGISTRY_SCHEMA).parquet(path)

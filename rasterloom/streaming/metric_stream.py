@@ -47,21 +47,39 @@ def running_losses(batches: DataFrame, weights: LossWeights) -> DataFrame:
 
 
 def start_upsert(totals: DataFrame, table: str, checkpoint: str, once: bool = True):
-    """Write every change of the totals as a version under ``table``.
+    """Keep the current totals under ``table``: every micro-batch writes a new version, the one before
+    with the changed keys replaced, and removes what is older than that.
 
-    A version is overwritten when its micro-batch is replayed, so a restart repeats nothing.
+    A version is overwritten when its micro-batch is replayed, so a restart repeats nothing, and
+    counts only when its write is complete. Readers always find at least one complete version.
     """
 
     def save(changed: DataFrame, version: int) -> None:
+        spark = changed.sparkSession
+        done = [v for v in _versions(spark, table) if v < version]
+        if done:
+            before = spark.read.schema(changed.schema).parquet(f"{table}/version={done[-1]}")
+            changed = before.join(changed.select(*RUNNING_KEYS), RUNNING_KEYS, "left_anti").unionByName(changed)
         changed.write.mode("overwrite").parquet(f"{table}/version={version}")
+        for old in done[:-1]:
+            _folder(spark, f"{table}/version={old}", lambda files, path: files.delete(path, True))
 
     writer = totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def latest(spark: SparkSession, table: str, keys: list[str] = RUNNING_KEYS) -> DataFrame:
-    """The current totals: the newest version of every key."""
-    rows = spark.read.option("basePath", table).parquet(f"{table}/version=*")
-    values = [c for c in rows.columns if c not in (*keys, "version")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("version")).alias("r"))
-    return newest.select(*keys, "r.*")
+def _folder(spark: SparkSession, name: str, act):
+    """``act`` on the file system of a folder and its path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return act(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+
+
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """Complete versions, ascending."""
+    found = _folder(spark, f"{table}/version=*/_SUCCESS", lambda files, path: files.globStatus(path))
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def latest(spark: SparkSession, table: str) -> DataFrame:
+    """The current totals: the newest complete version."""
+    return spark.read.parquet(f"{table}/version={_versions(spark, table)[-1]}")

@@ -22,6 +22,7 @@ def test_pixel_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows(i), SCHEMA).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     ms.start_upsert(ms.running_metrics(stream, 0.5, 0.5), out, str(tmp_path / "state")).awaitTermination()
+    assert len(list((tmp_path / "out").glob("version=*"))) == 2
     got = {(r.epoch, r.split): (r.tp, r.fp, r.fn, r.tn, r.n_valid) for r in ms.latest(spark, out).collect()}
     want = mt.confusion(spark.read.parquet(src), [0.5], [0.5], ("epoch", "split")).collect()
     assert got == {(r.epoch, r.split): (r.tp, r.fp, r.fn, r.tn, r.tp + r.fp + r.fn + r.tn) for r in want}
