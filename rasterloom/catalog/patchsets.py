@@ -288,13 +288,59 @@ def _(spark, sf):
     return _arrays(aug.augment(both, EPOCH, SEED, only))
 
 
-@check("aug10_compose")
+def _radiometric(out, src, op, prob, new):
+    return f"""{out} as (select patch_id, channel, y, x, case when {_IMG} and {_u(op)} < {prob} then {new} else v end as v from {src})"""
+
+
+#: The whole chain on ``alls``; the last table is ``a9``.
+_CHAIN = (
+    f"""a1 as (select patch_id, channel, case when {_u('flip_v')} < 0.5 then 7 - y else y end as y,
+  case when {_u('flip_h')} < 0.5 then 7 - x else x end as x, v from alls)""",
+    f"""k2 as (select *, case when {_u('rotate')} < 0.5 then floor({_b(0, 4, 'turns')}) else 0 end as k, {_u('transpose')} < 0.5 as tr from a1)""",
+    """r2 as (select patch_id, channel, tr, v, case k when 0 then y when 1 then 7 - x when 2 then 7 - y else x end as ry,
+  case k when 0 then x when 1 then y when 2 then 7 - x else 7 - y end as rx from k2)""",
+    "a2 as (select patch_id, channel, case when tr then rx else ry end as y, case when tr then ry else rx end as x, v from r2)",
+    _warped("y"), _warped("x"), """pos as (select a.patch_id, a.p as y, b.p as x, a.s as sy, b.s as sx, a.on_ from wy a join wx b using (patch_id))""",
+    "near as (select pos.*, floor(sy) as y0, floor(sx) as x0, sy - floor(sy) as fy, sx - floor(sx) as fx from pos where on_)",
+    """image3 as (select n.patch_id, i.channel, n.y, n.x, sum(i.v * (case when i.y = y0 then 1 - fy else fy end) * (case when i.x = x0 then 1 - fx else fx end)) as v
+  from near n join a2 i on i.patch_id = n.patch_id and i.channel <> -1 and i.y between y0 and y0 + 1 and i.x between x0 and x0 + 1 group by all)""",
+    """a3 as (select patch_id, channel, y, x, v from image3
+  union all select n.patch_id, -1, n.y, n.x, m.v from near n
+    join a2 m on m.patch_id = n.patch_id and m.channel = -1 and m.y = floor(sy + 0.5) and m.x = floor(sx + 0.5)
+  union all select patch_id, channel, a.y, a.x, v from a2 a join pos using (patch_id, y, x) where not on_)""",
+    _radiometric("a4", "a3", "tone", 0.4, f"least(greatest(v * (1 + {_b(-0.15, 0.15, 'contrast')}) + {_b(-0.15, 0.15, 'brightness')}, 0), 1)"),
+    _radiometric("a5", "a4", "gamma", 0.3, f"power(greatest(v, 0), {_b(0.85, 1.15, 'gamma_value')})"),
+    _radiometric("a6", "a5", "gain", 0.3, f"v * {_b(0.92, 1.08, 'gain_value', True)}"),
+    f"""k7 as (select *, ('0x' || substr(md5('{SEED}:{EPOCH}:' || patch_id || ':noise_key:' || channel), 1, 8))::bigint % 2147483647 as key from a6)""",
+    f"""m7 as (select *, {_lehmer('(key + (y * 8 + x)::bigint * 40014) % 2147483646 + 1', 3)} as s1 from k7)""",
+    f"n7 as (select *, {_lehmer('s1', 3)} as s2 from m7)",
+    _radiometric("a7", "n7", "noise", 0.3, f"v + {_b(0.005, 0.02, 'noise_sd')} * sqrt(-2 * ln(s1 / 2147483647)) * cos(2 * pi() * (s2 / 2147483647))"),
+    _TAPS, f"""k8 as (select *, case when {_IMG} and {_u('blur')} < 0.2 then case when {_u('blur_size')} < 0.5 then 1 else 2 end else 0 end as r from a7)""",
+    f"""down as (select k.patch_id, k.channel, k.r, k.y, k.x, sum(t.w * o.v) as v from k8 k join taps t using (r)
+  join k8 o on o.patch_id = k.patch_id and o.channel = k.channel and o.x = k.x and o.y = {s.mirrored('k.y + t.d', '8')} group by all)""",
+    f"""across as (select k.patch_id, k.channel, k.y, k.x, sum(t.w * o.v) as v from down k join taps t using (r)
+  join down o on o.patch_id = k.patch_id and o.channel = k.channel and o.y = k.y and o.x = {s.mirrored('k.x + t.d', '8')} group by all)""",
+    "a8 as (select patch_id, channel, y, x, v from across union all select patch_id, channel, y, x, v from k8 where r = 0)",
+    f"k9 as (select *, 1 + floor({_b(0, 4, 'hole_count')}) as n from a8)",
+    _radiometric("a9", "k9", "dropout", 0.2, f"case when {' or '.join(_hole(i) for i in range(4))} then 0 else v end"),
+)
+
+
+@check("aug10_compose", sql(s.PATCHES, s.PATCH_MASK, _ALL, *_CHAIN, once=True, body="""
+select patch_id, channel::integer as channel, y::bigint as y, x::bigint as x, round(v, 6) + 0.0 as v from a9"""))
 def _(spark, sf):
     both = t.patches(spark, sf).unionByName(t.patch_masks(spark, sf))
     return _arrays(aug.augment(both, EPOCH, SEED, RANGES))
 
 
-@check("training_feed")
+@check("training_feed", sql(s.PATCHES, s.PATCH_MASK, _ALL, _SPLIT, *_CHAIN, f"""
+place as (select patch_id, split, (row_number() over (partition by split order by case when split = 'train' then md5('{SEED}:{EPOCH}:' || patch_id) else patch_id end, patch_id) - 1) // 8 as batch_id from split),
+fed as (select patch_id, channel, v from a9 join split using (patch_id) where split = 'train'
+  union all select patch_id, channel, v from alls join split using (patch_id) where split <> 'train'),
+st as (select channel, avg(v) as mean, greatest(stddev_pop(v), 1e-6) as std from patches group by channel)""", once=True, body="""
+select split, batch_id, patch_id, f.channel::integer as channel, count(*)::integer as cells,
+  round(max(case when st.mean is null then v else (v - st.mean) / st.std end), 6) + 0.0 as top
+from fed f join place using (patch_id) left join st on st.channel = f.channel group by 1, 2, 3, 4"""))
 def _(spark, sf):
     both = t.patches(spark, sf).unionByName(t.patch_masks(spark, sf))
     st = stats.channel_stats(_pixels(spark, sf))
