@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
 #: Text bytes handled at once inside a batch; a longer text is handled on its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _ALNUM = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
@@ -31,25 +32,33 @@ def alnum_words(text: bytes) -> list[bytes]:
 
 
 def steps(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batch with at most ``STEP_BYTES`` of text (or one row), and their texts."""
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or b"")
-        if held >= STEP_BYTES:
-            yield batch.slice(start, i + 1 - start), texts[start:i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+    """Slices of the batch that end with the row in which a multiple of ``STEP_BYTES`` of text is
+    passed, and their texts. ``column`` may name a field of a struct column (``row.text``).
+
+    Only a slice's texts become Python objects; the memory of finished slices is given back.
+    """
+    name, *fields = column.split(".")
+    texts = batch.column(batch.schema.get_field_index(name))
+    for field in fields:
+        texts = pc.struct_field(texts, field)
+    texts = texts.cast(pa.binary())
+    passed = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // STEP_BYTES
+    ends = np.flatnonzero(np.diff(passed)) + 1 if len(passed) else []
+    for start, end in zip([0, *ends], [*ends, len(texts)]):
+        if start < end:
+            yield batch.slice(start, end - start), texts.slice(start, end - start).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def map_text(df: DataFrame, column: str, fn: Callable[[list[bytes | None]], dict[str, pa.Array]], schema: str,
              keep: list[str]) -> DataFrame:
-    """Add columns computed from a text column; of the input only ``keep`` stays, in this order.
+    """Add columns computed from a text column (or struct field); of the input only ``keep`` stays, in
+    this order.
 
     ``schema`` is the DDL of the added columns in the order in which ``fn`` returns them.
     """
-    source = df.select(*dict.fromkeys([*keep, column]))
+    inside = column.partition(".")[0] in keep  # a field of a struct that is kept anyway
+    source = df.select(*dict.fromkeys(keep if inside else [*keep, column]))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (source.schema[c] for c in keep))
 
     def run(batches):
