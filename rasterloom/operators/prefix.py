@@ -113,8 +113,9 @@ def hash_rank(df: DataFrame, keys: list[str], digest: Column, tie: str, out: str
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per key, one column per name in ``probs``.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], extremes: bool = False) -> DataFrame:
+    """Linear-interpolation quantiles per key, one column per name in ``probs``; with ``extremes`` also
+    ``min`` and ``max``, from the same pass.
 
     Values are counted first (map-side), the counts get a distributed running total, and a
     quantile is the smallest value whose total passes the wanted rank. Missing values count 0, so a
@@ -130,4 +131,5 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         cols.append(F.max(rank - F.floor(rank)).alias(f"_{name}_f"))
         lo, hi, f = (F.col(f"_{name}_{t}") for t in ("lo", "hi", "f"))
         final.append((lo + (hi - lo) * f).alias(name))
-    return ranked.groupBy(*keys).agg(*cols).select(*keys, *final)
+    ends = [F.min("_v").alias("min"), F.max("_v").alias("max")] if extremes else []
+    return ranked.groupBy(*keys).agg(*cols, *ends).select(*keys, *final, *(["min", "max"] if extremes else []))

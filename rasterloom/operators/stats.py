@@ -38,12 +38,12 @@ def blend_audit(blended: DataFrame, keys: list[str] = RASTER) -> DataFrame:
 def height_summary(raster: DataFrame, keys: list[str] = RASTER, approximate: bool = False) -> DataFrame:
     """Extremes and percentiles of the non-missing values."""
     probs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    ends = raster.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"))
     if approximate:
-        q = raster.groupBy(*keys).agg(*[F.percentile_approx("v", p, 10000).alias(n) for n, p in probs.items()])
+        q = raster.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"),
+                                      *[F.percentile_approx("v", p, 10000).alias(n) for n, p in probs.items()])
     else:
-        q = exact_quantiles(raster, keys, "v", probs)
-    return ends.join(q, keys).select(*keys, "min", *probs, "max")
+        q = exact_quantiles(raster, keys, "v", probs, extremes=True)
+    return q.select(*keys, "min", *probs, "max")
 
 
 def upper_height(raster: DataFrame, keys: list[str] = RASTER, p: float = 0.95, out: str = "p95") -> DataFrame:
