@@ -154,17 +154,16 @@ def dropout(px: DataFrame) -> DataFrame:
 
 
 def blur(px: DataFrame) -> DataFrame:
-    """One branch per kernel size; untouched patches pass through."""
+    """Both kernel sizes in one pair of passes, the row's own one taken at the end; untouched patches
+    pass through."""
     keep = [c for c in px.columns if c != "draw"]
     marked = px.withColumn("_r", F.when(F.col("channel") == MASK_CHANNEL, 0).otherwise(F.col("draw.blur")))
-    out = marked.filter("_r = 0").select(*keep)
-    keys = ["patch_id", "channel", "size"]
-    for radius in (1, 2):
-        w = {"v": kernels.gaussian_weights(blur_sigma(radius), radius)}
-        part = marked.filter(F.col("_r") == radius).select(
-            *keys, F.col("size").alias("height"), F.col("size").alias("width"), "y", "x", "v")
-        both = spread(spread(part, "y", "height", w, keys), "x", "width", w, keys)
-        out = out.unionByName(both.select(*keep))
+    keys = ["patch_id", "channel", "size", "_r"]
+    weights = {f"_v{r}": [0.0] * (2 - r) + list(kernels.gaussian_weights(blur_sigma(r), r)) + [0.0] * (2 - r) for r in (1, 2)}
+    part = marked.filter("_r > 0").select(*keys, F.col("size").alias("height"), F.col("size").alias("width"), "y", "x", "v")
+    both = spread(spread(part, "y", "height", weights, keys), "x", "width", weights, keys)
+    chosen = both.withColumn("v", F.when(F.col("_r") == 1, F.col("_v1")).otherwise(F.col("_v2")))
+    out = marked.filter("_r = 0").select(*keep).unionByName(chosen.select(*keep))
     return out
 
 
