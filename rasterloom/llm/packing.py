@@ -113,6 +113,45 @@ _MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
 _MET: dict[str, tuple] = {}
 
 
+class _Words:
+    """Ids of single pieces from the library.
+
+    Pieces of letters only are encoded many at a time, joined by spaces, and told apart by the tokens
+    that end a word. That holds only if each piece has one such token; since none has fewer, equal
+    numbers prove it, and other groups are encoded piece by piece.
+    """
+
+    def __init__(self, path: str, together: int = 1024):
+        from tokenizers import Tokenizer
+
+        self.tok, self.together = Tokenizer.from_file(path), together
+        self.tok.encode_special_tokens = True
+        vocabulary = self.tok.get_vocab()
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, known: dict[bytes, bytes], new: list[bytes]) -> None:
+        texts = [w.decode() for w in new]
+        letters = [w for w, t in zip(new, texts) if t.isalpha()]
+        alone = [w for w, t in zip(new, texts) if not t.isalpha()]
+        groups = [letters[s:s + self.together] for s in range(0, len(letters), self.together)]
+        for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups])):
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(group):
+                alone += group
+                continue
+            raw = ids.tobytes()
+            known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        for s in range(0, len(alone), 8192):
+            some = alone[s:s + 8192]
+            known.update(zip(some, [ids.tobytes() for ids in self._ids([w.decode() for w in some])]))
+
+
 def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[np.ndarray]]:
     """Encode texts with a lower-casing tokenizer file whose pre-tokenizer drops white space and never
     joins a letter or digit with a mark.
@@ -124,21 +163,14 @@ def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[
 
     def run(texts):
         if path not in _MET:
-            from tokenizers import Tokenizer
-
-            _MET[path] = (Tokenizer.from_file(path), {})
-            _MET[path][0].encode_special_tokens = True
-        tok, known = _MET[path]
+            _MET[path] = (_Words(path), {})
+        words, known = _MET[path]
         if len(known) > REMEMBERED:
             short = {w: ids for w, ids in known.items() if len(w) < 10}
             known.clear()
             known.update(short if len(short) < REMEMBERED // 2 else {})
         parts = [_MARK.sub(b" ", (t or b"").lower()).split() for t in texts]
-        new = list({w for ws in parts for w in ws}.difference(known))
-        for s in range(0, len(new), 8192):
-            some = new[s:s + 8192]
-            for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        words.learn(known, list({w for ws in parts for w in ws}.difference(known)))
         close = np.array([end], "<u4").tobytes()
         return [np.frombuffer(b"".join([known[w] for w in ws]) + close, "<u4") for ws in parts]
 
