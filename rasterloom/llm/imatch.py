@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.ranges import range_ends, range_part
-from rasterloom.llm.text import alnum_words, coded, mix64, steps, word_hashes
+from rasterloom.llm.text import alnum_words, coded, mix64, small_batches, steps, word_hashes
 from rasterloom.runtime import shuffle_width
 
 #: Band of the share of documents that a lexicon term occurs in. At most (mean distinct terms of a
@@ -46,7 +46,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(word_hashes(distinct).view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(text_col)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, text_col: str, low: float = LOW, high: float = HIGH) -> np.ndarray:
@@ -190,6 +190,6 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if len(held) > 1:
             yield flush(held)
 
-    return neighbours(docs, id_col, text_col).select("part", "id", "text", "ghost").mapInArrow(
+    return small_batches(neighbours(docs, id_col, text_col).select("part", "id", "text", "ghost")).mapInArrow(
         run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
              "near_edited double, near_next double")

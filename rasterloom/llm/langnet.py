@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.text import map_text
+from rasterloom.llm.text import map_text, small_batches
 
 WINDOW = 192
 WIDTHS, FILTERS, DIM = (2, 3, 4), 16, 8
@@ -75,7 +75,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def probabilities(net: Net, win: np.ndarray, batch: int = 512) -> np.ndarray:
+def probabilities(net: Net, win: np.ndarray, batch: int = 128) -> np.ndarray:
     out = np.zeros((len(win), len(net.labels)))
     for s in range(0, len(win), batch):
         p, _ = _pooled(net, net.emb[win[s:s + batch]])
@@ -158,7 +158,7 @@ def training_windows(labelled: DataFrame, text_col: str, lang_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), cut(texts, b.column(2).to_pylist()), b.column(2)],
                                              names=["lang", "cut", "draw"])
 
-    return chosen.mapInArrow(run, "lang string, cut binary, draw bigint")
+    return small_batches(chosen).mapInArrow(run, "lang string, cut binary, draw bigint")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Net | None:

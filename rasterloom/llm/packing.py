@@ -36,7 +36,7 @@ SHARD_TOKENS = 4 << 20
 #: Id ranges per output partition, so that hashed ranges fill the partitions evenly.
 RANGES = 4
 #: Distinct pieces whose ids a worker process remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -170,9 +170,9 @@ def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[
             known.clear()
             known.update(short if len(short) < REMEMBERED // 2 else {})
         parts = [_MARK.sub(b" ", (t or b"").lower()).split() for t in texts]
-        words.learn(known, list({w for ws in parts for w in ws}.difference(known)))
+        words.learn(known, list(set().union(*parts).difference(known)))
         close = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]) + close, "<u4") for ws in parts]
+        return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + close, "<u4") for ws in parts]
 
     return run
 

@@ -7,7 +7,9 @@ separators are single ASCII bytes, so a character is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,9 @@ from pyspark.sql import DataFrame
 #: Text bytes handled at once inside a batch; a longer text is handled on its own.
 STEP_BYTES = 2 << 20
 
+#: Rows per Arrow batch at most: documents are long, and a batch exists in the JVM and in Python.
+BATCH_ROWS = 1000
+
 _ALNUM = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
     for b in range(256))
@@ -47,7 +52,22 @@ def steps(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
     for start, end in zip([0, *ends], [*ends, len(texts)]):
         if start < end:
             yield batch.slice(start, end - start), texts.slice(start, end - start).to_pylist()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers live on between tasks and would keep it."""
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger; the frame is returned."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def map_text(df: DataFrame, column: str, fn: Callable[[list[bytes | None]], dict[str, pa.Array]], schema: str,
@@ -69,7 +89,7 @@ def map_text(df: DataFrame, column: str, fn: Callable[[list[bytes | None]], dict
                     [part.column(part.schema.get_field_index(k)) for k in keep] + list(added.values()),
                     names=[*keep, *added])
 
-    return source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+    return small_batches(source).mapInArrow(run, f"{kept}, {schema}" if kept else schema)
 
 
 def coded(word_lists: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.files import open_folder, output_folder, put, read_files
+from rasterloom.llm.text import small_batches
 from rasterloom.runtime import freeze
 
 #: Bytes of record blocks after which a file is closed.
@@ -155,7 +156,7 @@ def write_derivatives(pages: DataFrame, key_col: str = "page_id", url_col: str =
         if held:
             yield close()
 
-    return folder, freeze(rows.mapInArrow(run, "file string, n_records bigint"))
+    return folder, freeze(small_batches(rows).mapInArrow(run, "file string, n_records bigint"))
 
 
 def read_records(spark: SparkSession, folder: str, manifest: DataFrame, with_text: bool = False) -> DataFrame:
