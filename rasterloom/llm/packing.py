@@ -15,6 +15,7 @@ start and end fall into.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable
@@ -122,6 +123,7 @@ class _Words:
     """
 
     def __init__(self, path: str, together: int = 1024):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would spin
         from tokenizers import Tokenizer
 
         self.tok, self.together = Tokenizer.from_file(path), together
