@@ -4,6 +4,10 @@ A text is lower-cased and cut into windows of ``WINDOW`` bytes, the last one pad
 several widths slide over them, each filter's largest response in the window is kept, and a softmax
 over those gives the window's probabilities. A text's probabilities are the mean over its windows,
 weighted by their bytes, so the whole text counts.
+
+Probabilities compare the learned languages with each other only. Whether a text is in its language at
+all is told by ``fits``: the share of its letter trigrams (of bytes, the middle one in a word) that the
+language's sample has, against the share usual among the sample's own windows, each told by the others.
 """
 
 from __future__ import annotations
@@ -23,11 +27,15 @@ WIDTHS, FILTERS, DIM = (2, 3, 4), 16, 8
 #: Bounds of the training sample: windows per language, languages.
 PER_LANGUAGE, LANGUAGES = 1500, 64
 UNKNOWN = "und"
+#: Trigrams are hashed to this many bits; a text fits its language with at least this part of the
+#: share of known trigrams that the median window of the language's sample has.
+TRIGRAM_BITS, FIT = 18, 0.5
 
 
 @dataclass
 class Net:
-    """Weights; ``labels`` are ascending."""
+    """Weights; ``labels`` are ascending. ``seen`` has a bit per trigram and ``least`` the share of known
+    trigrams that a text needs, by label."""
 
     labels: list[str]
     emb: np.ndarray
@@ -35,6 +43,8 @@ class Net:
     bias: dict[int, np.ndarray]
     out: np.ndarray
     out_bias: np.ndarray
+    seen: np.ndarray | None = None
+    least: np.ndarray | None = None
 
 
 def lowered(text: bytes) -> bytes:
@@ -128,6 +138,46 @@ def train(win: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 8, ba
     return net
 
 
+_LETTER = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
+_FOLDED = np.where(_LETTER, np.arange(256), 0x20).astype(np.uint32)
+
+
+def trigrams(win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the byte trigrams of each window, whether they count: those with a letter in the middle)."""
+    b = _FOLDED[win]
+    whole = b[:, :-2] << np.uint32(16) | b[:, 1:-1] << np.uint32(8) | b[:, 2:]
+    return whole * np.uint32(0x9E3779B1) >> np.uint32(32 - TRIGRAM_BITS), _LETTER[win[:, 1:-1]]
+
+
+def learn_trigrams(win: np.ndarray, y: np.ndarray, n_labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """``seen`` and ``least`` of a net. A window's share is counted without itself, so that rows not in
+    the sample reach it too; a language with one distinct window has no such share and turns nothing away."""
+    seen, least = np.zeros((n_labels, 1 << (TRIGRAM_BITS - 3)), np.uint8), np.zeros(n_labels)
+    for k in range(n_labels):
+        codes, counts = trigrams(np.unique(win[y == k], axis=0))
+        row = np.nonzero(counts)[0]
+        pairs = np.unique(row << TRIGRAM_BITS | codes[counts])
+        windows_with = np.bincount(pairs & ((1 << TRIGRAM_BITS) - 1), minlength=1 << TRIGRAM_BITS)
+        seen[k] = np.packbits(windows_with > 0, bitorder="little")
+        n = np.bincount(row, minlength=len(codes))
+        known = np.bincount(row, windows_with[codes[counts]] > 1, len(codes))
+        if n.any():
+            least[k] = FIT * np.median(known[n > 0] / n[n > 0])
+    return seen, least
+
+
+def fits(net: Net, win: np.ndarray, row: np.ndarray, label: np.ndarray, batch: int = 4096) -> np.ndarray:
+    """Whether each row has the share of known trigrams that its label asks for; one without trigrams does."""
+    known, n = np.zeros(len(label)), np.zeros(len(label))
+    for s in range(0, len(win), batch):
+        codes, counts = trigrams(win[s:s + batch])
+        rows = row[s:s + batch]
+        bit = net.seen[label[rows][:, None], codes >> np.uint32(3)] >> (codes & np.uint32(7)).astype(np.uint8) & 1
+        known += np.bincount(rows, (bit & counts).sum(axis=1), len(label))
+        n += np.bincount(rows, counts.sum(axis=1), len(label))
+    return known >= net.least[label] * n
+
+
 def _sample_window(text: bytes, draw: int) -> bytes:
     """One window of the text, at a place chosen by ``draw``, without breaking a character at its start."""
     room = max(0, len(text) - WINDOW)
@@ -171,12 +221,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     labels = sorted({r["lang"] for r in rows})
     place = {v: i for i, v in enumerate(labels)}
     win = np.frombuffer(b"".join(bytes(r["cut"]).ljust(WINDOW, b"\0") for r in rows), np.uint8).reshape(-1, WINDOW)
-    return train(win, np.array([place[r["lang"]] for r in rows]), labels)
+    y = np.array([place[r["lang"]] for r in rows])
+    net = train(win, y, labels)
+    net.seen, net.least = learn_trigrams(win, y, len(labels))
+    return net
 
 
 def predict(docs: DataFrame, net: Net | None, text_col: str, keep: list[str], lang_out: str = "lang_pred",
-            score_out: str = "score") -> DataFrame:
-    """``keep`` and the predicted language with its probability, one row per input row.
+            score_out: str = "score", fits_out: str | None = None) -> DataFrame:
+    """``keep`` and the predicted language with its probability, one row per input row; with ``fits_out``
+    also whether the text fits that language (see :func:`fits`; false for ``und``).
 
     A text that is null or has no letter (of any script) is ``und`` with score 0, as is everything
     when nothing was learned. Ties go to the first label. The score is rounded to 6 places.
@@ -187,7 +241,7 @@ def predict(docs: DataFrame, net: Net | None, text_col: str, keep: list[str], la
         n = len(texts)
         letters = np.asarray(pc.fill_null(pc.match_substring_regex(pa.array(texts, pa.binary()).cast(pa.string()), r"\p{L}"),
                                           False))
-        best, score = np.full(n, len(labels) - 1), np.zeros(n)
+        best, score, fit_in = np.full(n, len(labels) - 1), np.zeros(n), np.zeros(n, bool)
         rows = np.flatnonzero(letters) if net else np.zeros(0, int)
         if len(rows):
             total = np.zeros((len(rows), len(net.labels)))
@@ -197,9 +251,13 @@ def predict(docs: DataFrame, net: Net | None, text_col: str, keep: list[str], la
                 total[:, k] = np.bincount(row, p[:, k], len(rows))
             total /= total.sum(axis=1, keepdims=True)
             best[rows], score[rows] = total.argmax(axis=1), total.max(axis=1).round(6)
-        return {lang_out: labels.take(pa.array(best)), score_out: pa.array(score, pa.float64())}
+            if fits_out:
+                fit_in[rows] = fits(net, win, row, best[rows])
+        added = {lang_out: labels.take(pa.array(best)), score_out: pa.array(score, pa.float64())}
+        return added | ({fits_out: pa.array(fit_in)} if fits_out else {})
 
-    return map_text(docs, text_col, run, f"`{lang_out}` string, `{score_out}` double", keep)
+    schema = f"`{lang_out}` string, `{score_out}` double" + (f", `{fits_out}` boolean" if fits_out else "")
+    return map_text(docs, text_col, run, schema, keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
