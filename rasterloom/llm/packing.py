@@ -7,7 +7,8 @@ File layout, little-endian, one shard per range of ids and at most about ``SHARD
     document start (tokens, within the shard) u8 * (n documents + 1);
     document id i8 * n documents; document id present u1 * n documents;
     block offset (bytes, within the payload) u8 * (n blocks + 1);
-    payload: every block of ids packed with ``width`` bits each, lowest bit first, padded to a byte.
+    payload: every block of ids packed with ``width`` bits each, lowest bit first, padded to a byte;
+    with magic "TOKPACK2" only: position of each document in the training stream i8 * n documents.
 
 A block is unpacked with a few numpy operations; a document is read by unpacking the blocks that its
 start and end fall into.
@@ -22,6 +23,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +33,8 @@ from rasterloom.llm.ranges import range_ends, range_part
 from rasterloom.llm.text import map_text
 from rasterloom.runtime import freeze, shuffle_width
 
-MAGIC = b"TOKPACK1"
+#: Without and with positions.
+MAGIC, MAGIC_ORDER = b"TOKPACK1", b"TOKPACK2"
 BLOCK = 4096
 SHARD_TOKENS = 4 << 20
 #: Id ranges per output partition, so that hashed ranges fill the partitions evenly.
@@ -56,7 +59,8 @@ def unpack_block(raw, count: int, width: int) -> np.ndarray:
     return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
 
-def encode_shard(ids: list[int | None], documents: list[np.ndarray], width: int, block: int = BLOCK) -> bytes:
+def encode_shard(ids: list[int | None], documents: list[np.ndarray], width: int, block: int = BLOCK,
+                 positions: list[int] | None = None) -> bytes:
     starts = np.zeros(len(documents) + 1, "<u8")
     np.cumsum([len(d) for d in documents], out=starts[1:])
     tokens = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
@@ -71,17 +75,17 @@ def encode_shard(ids: list[int | None], documents: list[np.ndarray], width: int,
     offsets = np.zeros(len(blocks) + 1, "<u8")
     np.cumsum([len(b) for b in blocks], out=offsets[1:])
     return b"".join([
-        MAGIC, np.array([width, block], "<u4").tobytes(),
+        MAGIC if positions is None else MAGIC_ORDER, np.array([width, block], "<u4").tobytes(),
         np.array([len(documents), len(tokens), len(blocks)], "<u8").tobytes(), starts.tobytes(),
         np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], "u1").tobytes(),
-        offsets.tobytes(), *blocks])
+        offsets.tobytes(), *blocks, b"" if positions is None else np.array(positions, "<i8").tobytes()])
 
 
 class Shard:
     """Random access to one shard held as bytes (or a memory map)."""
 
     def __init__(self, raw):
-        if bytes(raw[:8]) != MAGIC:
+        if bytes(raw[:8]) not in (MAGIC, MAGIC_ORDER):
             raise ValueError("not a packed token file")
         self.width, self.block = (int(x) for x in np.frombuffer(raw, "<u4", 2, 8))
         self.n, self.n_tokens, blocks = (int(x) for x in np.frombuffer(raw, "<u8", 3, 16))
@@ -94,6 +98,8 @@ class Shard:
         at += self.n
         self.offsets = np.frombuffer(raw, "<u8", blocks + 1, at).astype(np.int64)
         self.payload = memoryview(raw)[at + 8 * (blocks + 1):]
+        ordered = bytes(raw[:8]) == MAGIC_ORDER
+        self.positions = np.frombuffer(self.payload, "<i8", self.n, int(self.offsets[-1])) if ordered else None
 
     def _blocks(self, first: int, last: int) -> np.ndarray:
         return np.concatenate([
@@ -180,13 +186,14 @@ def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[
 
 
 def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id", text_col: str = "text",
-                 folder: str | None = None) -> tuple[str, DataFrame]:
+                 folder: str | None = None, order_col: str | None = None) -> tuple[str, DataFrame]:
     """Write the ids of all texts in ascending id order; (folder, manifest of shards).
 
     ``encode`` maps texts (bytes, null kept) to id arrays. Rows are dealt by ranges of ids whose ends
     are known beforehand (a range exchange would sample, and so encode, twice), so that a shard holds
     neighbouring ids; equal ids are ordered by text, null ids come first. A null
-    text is encoded as the empty text. Shards are named by partition and number, so a retried task
+    text is encoded as the empty text. With ``order_col`` (a number, not null) each document's position
+    in the training stream is stored beside it; equal rows follow it. Shards are named by partition and number, so a retried task
     replaces its own files. The manifest has (shard, part, seq, n_docs, n_tokens, start), where start
     counts the tokens of all shards before.
     """
@@ -195,39 +202,42 @@ def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id
     open_folder(folder)  # also there when no task has a row
     width = bits_for(vocabulary)
     kind = "<u2" if width <= 16 else "<u4"  # how ids travel to their shard
+    order = [F.col(order_col).cast("bigint").alias("position")] if order_col else []
+    kept = ["position"] if order_col else []
     encoded = map_text(
-        docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "text",
+        docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *order), "text",
         lambda texts: {"tokens": pa.array([narrow(a, kind).tobytes() for a in encode(texts)], pa.binary()),
                        "text_hash": pa.array([zlib.crc32(t or b"") for t in texts], pa.int64())},
-        "tokens binary, text_hash bigint", ["id"])
+        "tokens binary, text_hash bigint", ["id", *kept])
     width_out = shuffle_width(spark)
     ends = range_ends(docs.select(F.col(id_col).cast("bigint").alias("id")), "id", RANGES * width_out)
     placed = encoded.withColumn("part", range_part(F.col("id"), ends))
-    ordered = placed.repartition(width_out, "part").sortWithinPartitions("part", "id", "text_hash", "tokens")
+    ordered = placed.repartition(width_out, "part").sortWithinPartitions("part", "id", "text_hash", "tokens", *kept)
 
     def run(batches):
         found, path = open_folder(folder)
-        part, seq, ids, held, count = None, 0, [], [], 0
+        part, seq, ids, held, at, count = None, 0, [], [], [], 0
 
         def close():
             name = f"shard-{part:06d}-{seq:05d}.tok"
-            put(found, path, name, encode_shard(ids, held, width))
+            put(found, path, name, encode_shard(ids, held, width, positions=at if order_col else None))
             return pa.RecordBatch.from_pydict({"shard": [name], "part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [count]})
 
         for b in batches:
-            for i, tokens, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for i, tokens, p, *position in zip(*(c.to_pylist() for c in b.columns)):
                 if ids and (p != part or count >= SHARD_TOKENS):
                     yield close()
                     seq = seq + 1 if p == part else 0
-                    ids, held, count = [], [], 0
+                    ids, held, at, count = [], [], [], 0
                 part = p
                 ids.append(i)
+                at += position
                 held.append(np.frombuffer(tokens, kind).astype("<u4"))
                 count += len(held[-1])
         if ids:
             yield close()
 
-    manifest = freeze(ordered.select("id", "tokens", "part").mapInArrow(
+    manifest = freeze(ordered.select("id", "tokens", "part", *kept).mapInArrow(
         run, "shard string, part bigint, seq bigint, n_docs bigint, n_tokens bigint"))
     return folder, _starts(manifest)
 
@@ -248,10 +258,13 @@ def _starts(manifest: DataFrame) -> DataFrame:
         "shard", "part", "seq", "n_docs", "n_tokens", (F.col("range_start") + F.col("within")).alias("start"))
 
 
-def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32[, ids]) per document, from the files alone but for the shards'
-    starts; a shard is unpacked document by document through its block offsets."""
-    schema = "id bigint, n_tokens bigint, within bigint, ids_crc32 bigint, shard string" + (", ids array<int>" if with_ids else "")
+def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False,
+                with_position: bool = False) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32[, ids][, position]) per document, from the files alone but for the
+    shards' starts; a shard is unpacked document by document through its block offsets. The training
+    stream is the documents by position (null in files written without)."""
+    schema = ("id bigint, n_tokens bigint, within bigint, ids_crc32 bigint, shard string"
+              + (", ids array<int>" if with_ids else "") + (", position bigint" if with_position else ""))
 
     def run(batches):
         for b in batches:
@@ -269,10 +282,31 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
                     }
                     if with_ids:
                         out["ids"] = pa.array([d.astype(np.int32) for d in docs], pa.list_(pa.int32()))
+                    if with_position:
+                        out["position"] = pa.array([None if shard.positions is None else int(shard.positions[i]) for i in rows], pa.int64())
                     yield pa.RecordBatch.from_pydict(out)
 
     rows = read_files(spark, folder, "shard-*.tok").mapInArrow(run, schema)
     return (
         rows.join(freeze(manifest.select("shard", F.col("start").alias("shard_start"))), "shard")
         .select("id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32",
-                *(["ids"] if with_ids else [])))
+                *(["ids"] if with_ids else []), *(["position"] if with_position else [])))
+
+
+def stream_positions(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and ``position``, the place of each row in a table that Spark wrote as Parquet from an
+    ordered frame: 0, 1, ... by number of the written part and row inside it.
+
+    Rows of a frame that is not read from such files get ascending numbers as they come.
+    """
+    own = [F.col(f"`{c}`") for c in columns]
+    try:
+        rows = docs.select(*own, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
+                           F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # no such files
+        return docs.select(*own, F.monotonically_increasing_id().alias("position"))
+    files = rows.groupBy("_file", "_name").agg((F.max("_row") + 1).alias("n"))
+    part = F.regexp_extract("_name", r"^part-(\d+)", 1).try_cast("bigint")
+    before = W.orderBy(part, "_file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
+    starts = freeze(files.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")))
+    return rows.join(F.broadcast(starts), "_file").select(*own, (F.col("_start") + F.col("_row")).alias("position"))
