@@ -35,3 +35,9 @@ def test_odd_texts_go_and_clean_held_out_ones_stay(spark, labels):
     kept = {r["doc_id"] for r in pipeline.language(spark, table, SF).select("doc_id").collect()}
     assert not [odd[-1 - i][:40] for i in kept if i < 0]
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= kept
+
+
+def test_unlabelled_table_keeps_texts_with_letters(spark):
+    rows = [(r[0], r[1], None, *r[3:]) for r in cases.awkward()]
+    kept = pipeline.language(spark, cases.table(spark, rows), SF).collect()
+    assert sorted(str(r["text"]) for r in kept) == sorted(r[1] for r in rows if any(c.isalpha() for c in r[1] or ""))
