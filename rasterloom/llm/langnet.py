@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.llm.text import map_text, small_batches
+from rasterloom.runtime import freeze
 
 WINDOW = 192
 WIDTHS, FILTERS, DIM = (2, 3, 4), 16, 8
-#: Bounds of the training sample: windows per language, languages.
+#: Bounds of the training sample: windows per language, and languages that may have so many.
 PER_LANGUAGE, LANGUAGES = 1500, 64
 UNKNOWN = "und"
 #: Trigrams are hashed to this many bits; a text fits its language with at least this part of the
@@ -188,16 +190,18 @@ def _sample_window(text: bytes, draw: int) -> bytes:
 
 
 def training_windows(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, cut): a bounded sample, at most about ``PER_LANGUAGE`` windows of each of the
-    ``LANGUAGES`` most frequent languages, one per document, chosen by a digest of the text."""
+    """(lang, cut, draw): the sample of every language, one window per distinct text, chosen by a digest
+    of the text: ``PER_LANGUAGE`` windows, or all of a language with fewer texts. With more than
+    ``LANGUAGES`` languages each gives an equal share of ``PER_LANGUAGE * LANGUAGES``, at least one."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
         (F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1))).alias("draw"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return rows.filter(F.lit(False)).select("lang", F.col("text").cast("binary").alias("cut"), "draw")
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
-    chosen = rows.filter(F.pmod(F.xxhash64("draw"), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
+    counts = freeze(rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")))
+    quota = max(1, PER_LANGUAGE * min(LANGUAGES, n := counts.count()) // max(1, n))
+    # at least the quota passes for certain (twice as many and 50 are expected), then the exact rank cuts
+    share = counts.select("lang", (F.lit(2.0 * quota + 50) / F.col("n")).alias("share"))
+    turn = F.pmod(F.xxhash64("draw"), F.lit(1 << 30))
+    chosen = rows.join(share, "lang").filter(turn < F.col("share") * float(1 << 30)).select("lang", "text", "draw")
 
     def cut(texts, draws):
         return pa.array([_sample_window(lowered(t), int(d)) for t, d in zip(texts, draws)], pa.binary())
@@ -208,14 +212,17 @@ def training_windows(labelled: DataFrame, text_col: str, lang_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), cut(texts, b.column(2).to_pylist()), b.column(2)],
                                              names=["lang", "cut", "draw"])
 
-    return small_batches(chosen).mapInArrow(run, "lang string, cut binary, draw bigint")
+    distinct = small_batches(chosen).mapInArrow(run, "lang string, cut binary, draw bigint").dropDuplicates()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(turn, "draw", "cut"))
+    return distinct.withColumn("rank", rank).filter(F.col("rank") <= quota).drop("rank")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Net | None:
     """The network trained on a bounded sample of the rows with text and language, or None without
-    such rows. At most ``PER_LANGUAGE * LANGUAGES`` windows of ``WINDOW`` bytes reach the driver."""
+    such rows. At most ``PER_LANGUAGE * LANGUAGES`` windows of ``WINDOW`` bytes, or one for each language if
+    these are more, reach the driver."""
     sample = training_windows(labelled, text_col, lang_col)
-    rows = sample.orderBy("draw", "lang", "cut").limit(PER_LANGUAGE * LANGUAGES).collect()
+    rows = sorted(sample.collect(), key=lambda r: (r["draw"], r["lang"], bytes(r["cut"])))
     if not rows:
         return None
     labels = sorted({r["lang"] for r in rows})
