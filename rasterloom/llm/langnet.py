@@ -5,7 +5,7 @@ several widths slide over them, each filter's largest response in the window is
 over those gives the window's probabilities. A text's probabilities are the mean over its windows,
 weighted by their bytes, so the whole text counts.
 
-Probabilities compare the learned languages with each other only. Whether a text is in its language at
+Probabilities compare the learned languages with each other only. Whether a text is in one of them at
 all is told by ``fits``: the share of its letter trigrams (of bytes, the middle one in a word) that the
 language's sample has, against the share usual among the sample's own windows, each told by the others.
 """
@@ -168,8 +168,20 @@ def learn_trigrams(win: np.ndarray, y: np.ndarray, n_labels: int) -> tuple[np.nd
     return seen, least
 
 
-def fits(net: Net, win: np.ndarray, row: np.ndarray, label: np.ndarray, batch: int = 4096) -> np.ndarray:
-    """Whether each row has the share of known trigrams that its label asks for; one without trigrams does."""
+def fits(net: Net, win: np.ndarray, row: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Whether each row has the share of known trigrams that its label asks for or, as a short text is
+    easily told wrong, that another label asks for. One without trigrams fits."""
+    found = _reaches(net, win, row, label)
+    for k in range(len(net.labels)):
+        if found.all():
+            break
+        left = ~found
+        inside = left[row]
+        found[left] = _reaches(net, win[inside], (np.cumsum(left) - 1)[row[inside]], np.full(left.sum(), k))
+    return found
+
+
+def _reaches(net: Net, win: np.ndarray, row: np.ndarray, label: np.ndarray, batch: int = 4096) -> np.ndarray:
     known, n = np.zeros(len(label)), np.zeros(len(label))
     for s in range(0, len(win), batch):
         codes, counts = trigrams(win[s:s + batch])
@@ -237,7 +249,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 def predict(docs: DataFrame, net: Net | None, text_col: str, keep: list[str], lang_out: str = "lang_pred",
             score_out: str = "score", fits_out: str | None = None) -> DataFrame:
     """``keep`` and the predicted language with its probability, one row per input row; with ``fits_out``
-    also whether the text fits that language (see :func:`fits`; false for ``und``).
+    also whether the text fits a learned language (see :func:`fits`; false for ``und``).
 
     A text that is null or has no letter (of any script) is ``und`` with score 0, as is everything
     when nothing was learned. Ties go to the first label. The score is rounded to 6 places.
