@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontaminate, imatch, langnet, licenses, linespread, mixing, neardup, packing, warc, wordpiece
+from rasterloom.llm import (
+    bestposition, decontaminate, imatch, langnet, licenses, linespread, mixing, neardup, packing, sortedlists, warc, whiten, wordpiece,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -147,3 +149,54 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langnet.fit(docs.filter(~langnet.held_out()))
     return langnet.predict(docs, net, "text", ["doc_id"]).select(
         "doc_id", langnet.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(embeddings(spark, sf_dir)).select(
+        F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"),
+        "whitened", "explained", "identity_error")
+
+
+SEARCH_SQL = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+d as (select doc_id, count(*) as n from t group by doc_id),
+g as (select count(*) as n_docs, cast(sum(n) as bigint) as total from d),
+f as (select doc_id, term, count(*) as tf from t group by doc_id, term),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) as weight
+      from f, g group by term, n_docs),
+q as (select item_id, term, count(*) as times from (
+        select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by item_id, term),
+s as (select q.item_id, f.doc_id, cast(sum(q.times * w.weight * ((1000000000 * f.tf)
+               // (1000 * f.tf + 8 * (100 - 75 + ((75 * d.n * g.n_docs) // g.total))))) as bigint) as score
+      from q join f on q.term = f.term join w on q.term = w.term join d on f.doc_id = d.doc_id, g group by q.item_id, f.doc_id),
+r as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+
+
+@query("op12_best_position", SEARCH_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return bestposition.search(documents(spark, sf_dir), items).withColumnRenamed("id", "doc_id")
+
+
+PRODUCTS_SQL = """
+with e as (select vec_id, [floor(256 * c::double) for c in embedding]::double[] as x from embeddings
+           where embedding is not null and len([c for c in embedding if c is null or not isfinite(c)]) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score
+      from e q join e c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query("op13_sorted_lists", PRODUCTS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortedlists.top_products(embeddings(spark, sf_dir)).withColumnRenamed("id", "vec_id")
