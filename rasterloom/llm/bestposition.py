@@ -24,11 +24,11 @@ from rasterloom.llm.text import alnum_words, map_text
 from rasterloom.llm.vectors import BEST_SCHEMA, Best, best_rows, merge_top, pieces
 from rasterloom.runtime import freeze, work_folder
 
-#: Documents of a block; a block's direct-access table has this many columns.
-BLOCK_DOCS = 4096
-#: Distinct terms of the queries that are asked at once, as a bound for what is sent to the tasks and
-#: for the rows of the direct-access table (one query more may fit in).
-PIECE_TERMS = 4096
+#: Documents of a block at most, and cells of its direct-access table (terms x documents) at most.
+BLOCK_DOCS, BLOCK_CELLS = 4096, 1 << 24
+#: Distinct terms per query, summed over the queries that are asked at once: a bound for what is sent
+#: to the tasks (one query more may fit in).
+PIECE_TERMS = 1 << 15
 #: Positions of every list read in the first round; each round reads twice as many.
 FIRST_READ = 16
 #: Positions looked at in one step when a best position moves on.
@@ -163,8 +163,9 @@ def _document_frequencies(table: DataFrame, terms: int) -> np.ndarray:
 
 
 def _blocks(batches, weight: np.ndarray, n_docs: int, total: int) -> Iterator[Block]:
-    """Blocks of ``BLOCK_DOCS`` documents from however large batches come."""
+    """Blocks of equal numbers of documents from however large batches come."""
     held: list[list] = [[], [], [], []]
+    docs = max(1, min(BLOCK_DOCS, BLOCK_CELLS // max(1, len(weight))))
 
     def block():
         ids, length, codes, tfs = held
@@ -178,11 +179,11 @@ def _blocks(batches, weight: np.ndarray, n_docs: int, total: int) -> Iterator[Bl
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            part = batch.slice(at, BLOCK_DOCS - len(held[0]))
+            part = batch.slice(at, docs - len(held[0]))
             at += part.num_rows
             for h, c in zip(held, part.columns):
                 h += c.to_pylist()
-            if len(held[0]) == BLOCK_DOCS:
+            if len(held[0]) == docs:
                 yield block()
     if held[0]:
         yield block()
