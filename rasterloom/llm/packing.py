@@ -16,6 +16,7 @@ start and end fall into.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,6 +24,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,7 +42,7 @@ SHARD_TOKENS = 4 << 20
 #: Id ranges per output partition, so that hashed ranges fill the partitions evenly.
 RANGES = 4
 #: Distinct pieces whose ids a worker process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -114,59 +116,98 @@ class Shard:
         return self._blocks(first, -(-b // self.block))[a - first * self.block:b - first * self.block]
 
 
-#: Between an ASCII letter or digit and a closing mark the pre-tokenizer always cuts.
-_MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: Letters below U+0250: composed, each with a lower case of its own. Words of them, ASCII digits and
+#: ASCII marks are cut here as the pre-tokenizer cuts them.
+_LETTERS = "a-zA-Z" + "".join(chr(c) for c in range(0x80, 0x250) if chr(c).isalpha())
+_PLAIN = re.compile(rf"[!-~{_LETTERS}]+")
+_ATOM = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 #: Per worker process and tokenizer file: the tokenizer and the ids of the words met so far.
 _MET: dict[str, tuple] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary; the space stays, to part words."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)} | {0x20: " "}
+
+
 class _Words:
-    """Ids of single pieces from the library.
+    """Ids of single words from the library.
 
-    Pieces of letters only are encoded many at a time, joined by spaces, and told apart by the tokens
-    that end a word. That holds only if each piece has one such token; since none has fewer, equal
-    numbers prove it, and other groups are encoded piece by piece.
+    A plain word is cut into letters, digits and marks, and such atoms are encoded by the file's BPE
+    model many at a time, parted by spaces, and told apart by the tokens that end an atom. That holds
+    only if each atom has one such token; since none has fewer, equal numbers prove it. Other words go
+    one by one through the whole tokenizer.
     """
 
     def __init__(self, path: str, together: int = 1024):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would spin
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.tok, self.together = Tokenizer.from_file(path), together
+        self.whole, self.tok, self.together = Tokenizer.from_file(path), Tokenizer.from_file(path), together
         self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        self.literals = [t["content"].encode() for t in stated["added_tokens"]]
         vocabulary = self.tok.get_vocab()
-        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        model = stated["model"]
+        suffix = model.get("end_of_word_suffix")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        if suffix:
+        self.model, self.letters = None, _byte_letters()
+        if model.get("type") == "BPE" and suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, known: dict[bytes, bytes], new: list[bytes]) -> None:
-        texts = [w.decode() for w in new]
-        letters = [w for w, t in zip(new, texts) if t.isalpha()]
-        alone = [w for w, t in zip(new, texts) if not t.isalpha()]
-        groups = [letters[s:s + self.together] for s in range(0, len(letters), self.together)]
-        for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups])):
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(group):
-                alone += group
-                continue
-            raw = ids.tobytes()
-            known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops)]))
-        for s in range(0, len(alone), 8192):
-            some = alone[s:s + 8192]
-            known.update(zip(some, [ids.tobytes() for ids in self._ids([w.decode() for w in some])]))
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.model = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=suffix, cache_capacity=0))  # words come once
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _one_by_one(self, known: dict[str, bytes], words: list[str]) -> None:
+        for s in range(0, len(words), 8192):
+            some = words[s:s + 8192]
+            found = self.tok.encode_batch_fast(some, add_special_tokens=False)
+            known.update(zip(some, [self._raw(e.ids) for e in found]))
+
+    def learn(self, known: dict[str, bytes], new: list[str]) -> None:
+        """Put the ids of words, whose ASCII letters are in lower case, into ``known``, as bytes."""
+        rest, joined, missing, width = [], [], set(), np.dtype(self.kind).itemsize
+        for w in new:
+            if not w:  # beside white space at a text's ends
+                known[w] = b""
+            elif self.model is None or not _PLAIN.fullmatch(w):
+                rest.append(w)
+            elif w.isalpha() and w.isascii():  # one atom, itself
+                missing.add(w)
+            else:
+                parts = _ATOM.findall(w.lower())
+                joined.append((w, parts))
+                missing.update(parts)
+        atoms = sorted(a for a in missing if a not in known)  # neighbours share merges, which then stay in the cache
+        for s in range(0, len(atoms), self.together):
+            group = atoms[s:s + self.together]
+            ids = np.array(self.model.encode(" ".join(group).encode().decode("latin-1").translate(self.letters), add_special_tokens=False).ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            if len(stops) == len(group):
+                raw = ids.tobytes()
+                known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+            else:
+                self._one_by_one(known, group)
+        for w, parts in joined:
+            known[w] = b"".join([known[p] for p in parts])
+        self._one_by_one(known, rest)
 
 
 def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[np.ndarray]]:
-    """Encode texts with a lower-casing tokenizer file whose pre-tokenizer drops white space and never
-    joins a letter or digit with a mark.
+    """Encode texts as the library's plain call does, with a lower-casing BPE file whose pre-tokenizer
+    drops white space and parts letters, single digits, runs of marks and English contractions.
 
-    Pieces between ASCII white space, cut again before closing marks, are encoded by the library once
-    and remembered by the worker process, which gives the ids of the whole text. ``end`` closes each
-    document. Special tokens in a text are ordinary text.
+    Words between ASCII white space are encoded once and remembered by the worker process, which
+    gives the ids of the whole text. A text that holds an added token of the file literally (such as
+    an end mark) is encoded whole. ``end`` closes each document. Ids come as 16-bit numbers if all of
+    the file's fit.
     """
 
     def run(texts):
@@ -177,10 +218,28 @@ def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[
             short = {w: ids for w, ids in known.items() if len(w) < 10}
             known.clear()
             known.update(short if len(short) < REMEMBERED // 2 else {})
-        parts = [_MARK.sub(b" ", (t or b"").lower()).split() for t in texts]
-        words.learn(known, list(set().union(*parts).difference(known)))
-        close = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + close, "<u4") for ws in parts]
+        marked = {i for i, t in enumerate(texts) if t and any(mark in t for mark in words.literals)}
+        plain = pa.array([b"" if t is None or i in marked else t for i, t in enumerate(texts)], pa.binary()).cast(pa.string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(known.get, distinct))
+        gaps = [i for i, found in enumerate(ids) if found is None]
+        words.learn(known, [distinct[i] for i in gaps])
+        for i in gaps:
+            ids[i] = known[distinct[i]]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(words.kind).itemsize
+        codes = coded.indices.to_numpy()
+        n = size[codes]
+        before = np.concatenate(([0], np.cumsum(n)))
+        where = np.repeat((np.cumsum(size) - size)[codes] - before[:-1], n) + np.arange(before[-1])
+        stream = np.frombuffer(b"".join(ids), words.kind)[where]
+        stops = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        close = np.array([end], words.kind)
+        out = [np.concatenate((stream[a:b], close)) for a, b in zip(stops[:-1], stops[1:])]
+        for i in marked:
+            out[i] = np.array([*words.whole.encode(texts[i].decode(), add_special_tokens=False).ids, end], words.kind)
+        return out
 
     return run
 
@@ -243,6 +302,8 @@ def write_tokens(docs: DataFrame, encode, vocabulary: int, id_col: str = "doc_id
 
 
 def narrow(ids: np.ndarray, kind: str) -> np.ndarray:
+    if ids.dtype == kind:
+        return ids
     if len(ids) and int(ids.max()) > np.iinfo(kind).max:
         raise ValueError("a token id does not fit the vocabulary")
     return ids.astype(kind)

@@ -126,11 +126,13 @@ def test_pieces_give_the_ids_of_whole_texts():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     rng = np.random.default_rng(3)
-    parts = ["a", "B", "don't", "it's.", "x,y", "3.14", "...", "!?", "\"Quote.\"", "É", "e\u0301.", "Σ", "ΑΣ,", "<|endoftext|>", " ", "\n",
-             "\u00a0", "\u2028", "”.", "’s", "'ll:", "½;", "日本", "\U0001f600!", "ǅ.", "İ"]
-    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(800)]
+    parts = ["a", "B", "don't", "it's.", "x,y", "3.14", "...", "!?", "\"Quote.\"", "É", "e\u0301.", "Σ", "ΑΣ,", " ", "\n",
+             "\u00a0", "\u2028", "”.", "’s", "'ll:", "½;", "日本", "\U0001f600!", "ǅ.", "İ", "DON'T", "'sam", "''s", "ñandú$$$", "ß", "ſ", "ŉ",
+             "×", "÷2", "ª", "a_b", "12345", "x²", "\x00", "\x7f", "\x85", "\u0301", "ǰ", "naïve,", "<|", "|>", "<|ENDOFTEXT|>"]
+    marks = ["<|endoftext|>", "x<|startoftext|>y", "<|endoftext|><|endoftext|>"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(4000)]
+    texts += ["".join(rng.choice(parts + 5 * marks, rng.integers(1, 12))) for _ in range(400)] + ["end <|endoftext|> next", "<|startoftext|> hi"]
     got = packing.library_encoder(tokenizer_path(), END_ID)([t.encode() for t in texts])
     for t, ids in zip(texts, got):
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids + [END_ID]
