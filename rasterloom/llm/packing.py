@@ -120,6 +120,8 @@ class Shard:
 #: ASCII marks are cut here as the pre-tokenizer cuts them.
 _LETTERS = "a-zA-Z" + "".join(chr(c) for c in range(0x80, 0x250) if chr(c).isalpha())
 _PLAIN = re.compile(rf"[!-~{_LETTERS}]+")
+#: Between a letter or digit and one of these marks the pre-tokenizer always cuts.
+_CLOSING = r"([\pL0-9])([.,;:!?])"
 _ATOM = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 #: Per worker process and tokenizer file: the tokenizer and the ids of the words met so far.
 _MET: dict[str, tuple] = {}
@@ -220,7 +222,7 @@ def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[
             known.update(short if len(short) < REMEMBERED // 2 else {})
         marked = {i for i, t in enumerate(texts) if t and any(mark in t for mark in words.literals)}
         plain = pa.array([b"" if t is None or i in marked else t for i, t in enumerate(texts)], pa.binary()).cast(pa.string())
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(plain), _CLOSING, r"\1 \2"))
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(known.get, distinct))
