@@ -120,11 +120,11 @@ class Shard:
 #: ASCII marks are cut here as the pre-tokenizer cuts them.
 _LETTERS = "a-zA-Z" + "".join(chr(c) for c in range(0x80, 0x250) if chr(c).isalpha())
 _PLAIN = re.compile(rf"[!-~{_LETTERS}]+")
-#: Between a letter or digit and one of these marks the pre-tokenizer always cuts.
-_CLOSING = r"([\pL0-9])([.,;:!?])"
+#: Between one of these letters or digits and one of these marks the pre-tokenizer always cuts.
+_CLOSING = r"([a-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?])"
 _ATOM = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 #: Per worker process and tokenizer file: the tokenizer and the ids of the words met so far.
-_MET: dict[str, tuple] = {}
+_MET: dict[str, _Words] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -135,7 +135,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words:
-    """Ids of single words from the library.
+    """Ids of single words from the library, remembered in one array: ``known`` gives a word's row in
+    ``start`` and ``size``, which point into ``tokens``.
 
     A plain word is cut into letters, digits and marks, and such atoms are encoded by the file's BPE
     model many at a time, parted by spaces, and told apart by the tokens that end an atom. That holds
@@ -163,43 +164,73 @@ class _Words:
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
             self.model = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=suffix, cache_capacity=0))  # words come once
             self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-
-    def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _one_by_one(self, known: dict[str, bytes], words: list[str]) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start, self.size, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Rows of words whose ASCII letters are in lower case."""
+        get = self.known.get
+        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        gaps = np.flatnonzero(found < 0)
+        if len(gaps):
+            new = [words[i] for i in gaps.tolist()]
+            self._learn(new)
+            found[gaps] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return found
+
+    def _put(self, words: list[str], sizes: list[np.ndarray], parts: list[np.ndarray]) -> None:
+        """Remember words, whose ids stand one after the other in ``parts``."""
+        size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.start = np.concatenate((self.start, len(self.tokens) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.tokens = np.concatenate((self.tokens, *parts)).astype(self.kind)
+
+    def _one_by_one(self, words: list[str]) -> None:
         for s in range(0, len(words), 8192):
-            some = words[s:s + 8192]
-            found = self.tok.encode_batch_fast(some, add_special_tokens=False)
-            known.update(zip(some, [self._raw(e.ids) for e in found]))
+            found = [e.ids for e in self.tok.encode_batch_fast(words[s:s + 8192], add_special_tokens=False)]
+            self._put(words[s:s + 8192], [np.array([len(f) for f in found])], [np.array(f, self.kind) for f in found])
 
-    def learn(self, known: dict[str, bytes], new: list[str]) -> None:
-        """Put the ids of words, whose ASCII letters are in lower case, into ``known``, as bytes."""
-        rest, joined, missing, width = [], [], set(), np.dtype(self.kind).itemsize
+    def _learn(self, new: list[str]) -> None:
+        rest, joined, missing = [], [], set()
         for w in new:
-            if not w:  # beside white space at a text's ends
-                known[w] = b""
-            elif self.model is None or not _PLAIN.fullmatch(w):
+            if self.model is None or not w or not _PLAIN.fullmatch(w):  # '' stands beside white space at a text's ends
                 rest.append(w)
             elif w.isalpha() and w.isascii():  # one atom, itself
                 missing.add(w)
             else:
                 parts = _ATOM.findall(w.lower())
-                joined.append((w, parts))
+                if parts != [w]:
+                    joined.append((w, parts))
                 missing.update(parts)
-        atoms = sorted(a for a in missing if a not in known)  # neighbours share merges, which then stay in the cache
+        atoms = sorted(a for a in missing if a not in self.known)  # neighbours share merges, which then stay in the cache
+        words, sizes, found = [], [], []
         for s in range(0, len(atoms), self.together):
             group = atoms[s:s + self.together]
             ids = np.array(self.model.encode(" ".join(group).encode().decode("latin-1").translate(self.letters), add_special_tokens=False).ids, self.kind)
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(group):
-                raw = ids.tobytes()
-                known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+                words += group
+                sizes.append(np.diff(stops, prepend=0))
+                found.append(ids)
             else:
-                self._one_by_one(known, group)
-        for w, parts in joined:
-            known[w] = b"".join([known[p] for p in parts])
-        self._one_by_one(known, rest)
+                rest += group
+        self._put(words, sizes, found)
+        self._one_by_one(rest)
+        if joined:
+            rows = [[self.known[p] for p in parts] for _, parts in joined]
+            flat = np.array([r for each in rows for r in each])
+            size, ends = self.size[flat], np.cumsum([len(each) for each in rows])
+            total = np.diff(np.cumsum(size)[ends - 1], prepend=0)
+            self._put([w for w, _ in joined], [total], [self.ids(flat)])
+
+    def ids(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of words one after the other."""
+        size = self.size[rows]
+        return self.tokens[np.repeat(self.start[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[np.ndarray]]:
@@ -214,29 +245,17 @@ def library_encoder(path: str, end: int) -> Callable[[list[bytes | None]], list[
 
     def run(texts):
         if path not in _MET:
-            _MET[path] = (_Words(path), {})
-        words, known = _MET[path]
-        if len(known) > REMEMBERED:
-            short = {w: ids for w, ids in known.items() if len(w) < 10}
-            known.clear()
-            known.update(short if len(short) < REMEMBERED // 2 else {})
+            _MET[path] = _Words(path)
+        words = _MET[path]
+        if len(words.known) > REMEMBERED:
+            words.forget()
         marked = {i for i, t in enumerate(texts) if t and any(mark in t for mark in words.literals)}
         plain = pa.array([b"" if t is None or i in marked else t for i, t in enumerate(texts)], pa.binary()).cast(pa.string())
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(plain), _CLOSING, r"\1 \2"))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(known.get, distinct))
-        gaps = [i for i, found in enumerate(ids) if found is None]
-        words.learn(known, [distinct[i] for i in gaps])
-        for i in gaps:
-            ids[i] = known[distinct[i]]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(words.kind).itemsize
-        codes = coded.indices.to_numpy()
-        n = size[codes]
-        before = np.concatenate(([0], np.cumsum(n)))
-        where = np.repeat((np.cumsum(size) - size)[codes] - before[:-1], n) + np.arange(before[-1])
-        stream = np.frombuffer(b"".join(ids), words.kind)[where]
-        stops = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        rows = words.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        stream = words.ids(rows)
+        stops = np.concatenate(([0], np.cumsum(words.size[rows])))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         close = np.array([end], words.kind)
         out = [np.concatenate((stream[a:b], close)) for a, b in zip(stops[:-1], stops[1:])]
         for i in marked:
