@@ -1,4 +1,4 @@
-"""Running sums, ranks and quantiles that never sort one whole group inside one task."""
+"""Running sums and ranks that never sort one whole group inside one task."""
 
 from __future__ import annotations
 
@@ -111,25 +111,3 @@ def hash_rank(df: DataFrame, keys: list[str], digest: Column, tie: str, out: str
         .withColumn(out, F.row_number().over(inside) + F.col("_off"))
         .drop("_h", "_b", "_off")
     )
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], extremes: bool = False) -> DataFrame:
-    """Linear-interpolation quantiles per key, one column per name in ``probs``; with ``extremes`` also
-    ``min`` and ``max``, from the same pass.
-
-    Values are counted first (map-side), the counts get a distributed running total, and a
-    quantile is the smallest value whose total passes the wanted rank. Missing values count 0, so a
-    key without values keeps its row, with NULL quantiles, and no extra pass looks for keys.
-    """
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
-    ranked = prefix_sum(counts, keys, "_v", ["_c"])
-    cols, final = [], []
-    for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("all__c") - 1)
-        for tag, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            cols.append(F.min(F.when(F.col("cum__c") > r, F.col("_v"))).alias(f"_{name}_{tag}"))
-        cols.append(F.max(rank - F.floor(rank)).alias(f"_{name}_f"))
-        lo, hi, f = (F.col(f"_{name}_{t}") for t in ("lo", "hi", "f"))
-        final.append((lo + (hi - lo) * f).alias(name))
-    ends = [F.min("_v").alias("min"), F.max("_v").alias("max")] if extremes else []
-    return ranked.groupBy(*keys).agg(*cols, *ends).select(*keys, *final, *(["min", "max"] if extremes else []))

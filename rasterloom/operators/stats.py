@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.pointwise import fill_missing, is_labelled
 from rasterloom.model import NODATA
-from rasterloom.operators.prefix import exact_quantiles
+from rasterloom.operators.selection import exact_quantiles
 from rasterloom.runtime import freeze, lookup_join
 
 RASTER = ["raster_id"]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions.hashing import digest
-from rasterloom.operators import prefix, stats
+from rasterloom.operators import prefix, selection, stats
 
 
 @pytest.fixture(scope="module")
@@ -34,11 +34,46 @@ def test_prefix_sum_descending_without_keys(spark):
 def test_quantiles_equal_numpy(spark, skewed):
     keys, vals, df = skewed
     probs = {"lo": 0.05, "mid": 0.5, "hi": 0.95, "end": 1.0}
-    for r in prefix.exact_quantiles(df, ["k"], "v", probs).collect():
+    for r in selection.exact_quantiles(df, ["k"], "v", probs).collect():
         for name, p in probs.items():
             assert r[name] == pytest.approx(np.percentile(vals[keys == r.k], 100 * p))
 
 
+def test_sortable_orders_doubles(spark):
+    """Neighbouring doubles around powers of two, subnormal, huge and infinite ones, both zeros, NaN."""
+    rng = np.random.default_rng(4)
+    v = [0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 1.0, 3.0]
+    v += [2.0**e for e in range(-1074, 1024, 7)] + rng.normal(0, 1, 500).tolist() + (10.0 ** rng.uniform(-300, 300, 500)).tolist()
+    with np.errstate(over="ignore"):
+        v += np.nextafter(v, np.inf).tolist() + np.nextafter(v, -np.inf).tolist()
+    v = sorted({x for x in [*v, *[-x for x in v]]})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v double")
+    got = [r["s"] for r in df.select("i", selection.sortable(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert all(a < b for a, b in zip(got, got[1:]))
+    odd = spark.createDataFrame([(0, -0.0), (1, 0.0), (2, float("nan")), (3, None)], "i int, v double")
+    zero, same, nan, none = [r["s"] for r in odd.select("i", selection.sortable(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert zero == same == 0 and nan > max(got) and none is None
+
+
+@pytest.mark.parametrize("few", [selection.FEW, 0])
+@pytest.mark.parametrize("values", [[7.5], [1.0, 2.0], [3.0] * 9 + [1e300, -1e300], [1 + i * 2.0**-50 for i in range(101)]])
+def test_quantiles_of_close_and_far_values(spark, monkeypatch, values, few):
+    monkeypatch.setattr(selection, "FEW", few)
+    df = spark.createDataFrame([("a", x) for x in values] + [("none", None), (None, 4.0), (None, -2.0)], "k string, v double")
+    probs = {"low": 0.0, "p5": 0.05, "mid": 0.5, "p95": 0.95, "top": 1.0}
+    got = {r["k"]: r for r in selection.exact_quantiles(df, ["k"], "v", probs, extremes=True).collect()}
+    assert len(got) == 3 and [got["none"][n] for n in [*probs, "min", "max"]] == [None] * 7
+    for name, p in probs.items():
+        assert got["a"][name] == pytest.approx(np.percentile(values, 100 * p), rel=1e-15)
+        assert got[None][name] == pytest.approx(np.percentile([4.0, -2.0], 100 * p))
+    assert (got["a"]["min"], got["a"]["max"]) == (min(values), max(values))
+
+
+def test_quantiles_sort_and_copy_no_values(spark, skewed):
+    plan = selection.exact_quantiles(skewed[2], ["k"], "v", {"mid": 0.5})._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_running_over_blocks(spark):
     rng = np.random.default_rng(1)
     v = rng.permutation(300).astype(float)
