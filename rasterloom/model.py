@@ -146,8 +146,11 @@ def pixels_to_tiles(pixels: DataFrame, meta: DataFrame, size: int, fill: float |
         F.col("v").cast("double").alias("v"),
     )
     tiles = placed.groupBy("raster_id", "band", "ty", "tx", "rh", "rw").applyInArrow(pack, TILE_SCHEMA)
-    if fill is None:
-        return tiles
+    return tiles if fill is None else fill_grid(tiles, meta, size, fill, bands)
+
+
+def fill_grid(tiles: DataFrame, meta: DataFrame, size: int, fill: float, bands: tuple[int, ...] = (1,)) -> DataFrame:
+    """The tiles with the grid's other tiles of ``bands`` added, all of one value (NaN: missing)."""
     blank = F.lit(None).cast("double") if np.isnan(fill) else F.lit(float(fill))
     h = F.expr(f"least({size}, rh - ty * {size})")
     w = F.expr(f"least({size}, rw - tx * {size})")

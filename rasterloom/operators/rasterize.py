@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels
 from rasterloom.functions.pointwise import mark_nodata
-from rasterloom.model import NODATA, densify, pixels_to_tiles, tiles_to_pixels
+from rasterloom.model import NODATA, TILE_SCHEMA, densify, fill_grid, tile_table, tiles_to_pixels
 from rasterloom.operators import focal, tiles
 from rasterloom.operators.overlay import CELL, overlay
 from rasterloom.runtime import freeze, lookup_join
@@ -153,18 +154,22 @@ def place_crowns(crowns: DataFrame, meta: DataFrame, cell: float = 256.0) -> Dat
     return met.filter(here & overlap).select(*crowns.columns, known.alias("raster_id"))
 
 
-def burn(crowns: DataFrame, meta: DataFrame) -> DataFrame:
-    """Cells whose centre lies inside a polygon, once each (``raster_id, y, x, v = 1``).
+def spans(crowns: DataFrame, meta: DataFrame) -> DataFrame:
+    """(raster_id, rh, rw, y, _c0, _c1): the runs of cells of a row whose centres lie inside a polygon.
 
-    Every edge is expanded to the pixel rows it crosses, the crossings of one polygon and row are
-    paired from left to right, and the span of a pair is expanded to cells. The even-odd rule
-    leaves holes open; half-open comparisons keep touching polygons free of gaps and doubles. Polygons
-    without a ``raster_id`` are placed by their coordinates first.
+    Every edge is expanded to the pixel rows it crosses, and the crossings of one polygon and row are
+    paired from left to right. The even-odd rule leaves holes open; half-open comparisons keep touching
+    polygons free of gaps and doubles. Polygons without a ``raster_id`` are placed by their coordinates
+    first. A polygon whose known coordinate system is not its raster's is an error.
     """
     if "raster_id" not in crowns.columns:
         crowns = place_crowns(crowns, meta)
-    dims = meta.select("raster_id", "height", "width", "x0", "y0", "px", "py")
-    placed = lookup_join(crowns.select("crown_id", "raster_id", "rings"), dims, "raster_id", "inner")
+    codes = "crs_epsg" in crowns.columns and "crs_epsg" in meta.columns
+    dims = meta.select("raster_id", "height", "width", "x0", "y0", "px", "py", *([F.col("crs_epsg").alias("_crs")] if codes else []))
+    placed = lookup_join(crowns.select("crown_id", "raster_id", "rings", *(["crs_epsg"] if codes else [])), dims, "raster_id", "inner")
+    if codes:
+        differs = F.raise_error(F.lit("polygons and raster use different coordinate systems")).cast("string")
+        placed = placed.withColumn("raster_id", F.when(F.col("crs_epsg") != F.col("_crs"), differs).otherwise(F.col("raster_id")))
     edges = placed.select(
         "raster_id", "crown_id", "height", "width", "x0", "y0", "px", "py",
         F.explode(F.flatten(F.transform("rings", _edges))).alias("e"))
@@ -179,17 +184,49 @@ def burn(crowns: DataFrame, meta: DataFrame) -> DataFrame:
         "y", F.explode(F.sequence("_a", "_z")))
     at = F.col("ua") + (F.col("y") + 0.5 - F.col("va")) / (F.col("vb") - F.col("va")) * (F.col("ub") - F.col("ua"))
     order = W.partitionBy("raster_id", "crown_id", "y").orderBy("u")
-    spans = (
-        lines.select("raster_id", "crown_id", "width", "y", at.alias("u"))
+    return (
+        lines.select("raster_id", "crown_id", "height", "width", "y", at.alias("u"))
         .withColumns({"_i": F.row_number().over(order), "_next": F.lead("u").over(order)})
         .filter("_i % 2 = 1 and _next is not null")
-        .select("raster_id", F.col("y").cast("bigint").alias("y"),
+        .select("raster_id", F.col("height").cast("int").alias("rh"), F.col("width").cast("int").alias("rw"), F.col("y").cast("bigint").alias("y"),
                 F.greatest(F.ceil(F.col("u") - 0.5), F.lit(0)).alias("_c0"),
                 F.least(F.ceil(F.col("_next") - 0.5) - 1, F.col("width") - 1).alias("_c1"))
         .filter("_c0 <= _c1")
     )
-    covered = spans.select("raster_id", "y", F.explode(F.sequence("_c0", "_c1")).alias("x"))
-    return covered.distinct().withColumn("v", F.lit(1.0))
+
+
+def burn_tiles(crowns: DataFrame, meta: DataFrame, tile: int) -> DataFrame:
+    """Tiles of 0 and 1 that hold a covered cell: 1 where the centre lies inside a polygon.
+
+    Runs are cut at tile edges and become a rise at their first and a fall after their last cell. Rises
+    and falls of one place are summed map-side, so a tile's group has at most ``tile * (tile + 1)`` rows
+    however many polygons lie over it; a running sum along its rows paints it. Cells are never rows.
+    """
+    tx = F.explode(F.expr(f"sequence(cast(_c0 div {tile} as int), cast(_c1 div {tile} as int))"))
+    cut = spans(crowns, meta).select("raster_id", "rh", "rw", F.expr(f"cast(y div {tile} as int)").alias("ty"), tx.alias("tx"),
+                                     F.expr(f"y % {tile} * {tile + 1}").alias("_line"), "_c0", "_c1")
+    first = F.greatest(F.col("_c0") - F.col("tx") * tile, F.lit(0))
+    after = F.least(F.col("_c1") - F.col("tx") * tile, F.lit(tile - 1)) + 1
+    step = lambda at, d: F.struct((F.col("_line") + at).cast("int").alias("pos"), F.lit(d).alias("d"))
+    key = ["raster_id", "ty", "tx", "rh", "rw"]
+    ends = cut.select(*key, F.explode(F.array(step(first, 1), step(after, -1))).alias("e"))
+    steps = ends.groupBy(*key, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
+
+    def paint(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rid, ty, tx, rh, rw = (k.as_py() for k in key)
+        line = np.zeros(tile * (tile + 1), np.int64)
+        line[table.column("pos").to_numpy()] = table.column("d").to_numpy()
+        h, w = min(tile, rh - ty * tile), min(tile, rw - tx * tile)
+        block = np.cumsum(line.reshape(tile, tile + 1), axis=1)[:h, :w] > 0
+        return tile_table(dict(raster_id=[rid], band=[1], ty=[ty], tx=[tx], h=[h], w=[w], rh=[rh], rw=[rw]), [block.astype(np.float64).ravel()])
+
+    return steps.groupBy(*key).applyInArrow(paint, TILE_SCHEMA)
+
+
+def burn(crowns: DataFrame, meta: DataFrame, tile: int = 256) -> DataFrame:
+    """Covered cells, once each (``raster_id, y, x, v = 1``), unpacked from painted tiles."""
+    painted = tiles_to_pixels(burn_tiles(crowns, meta, tile), tile)
+    return painted.filter("v = 1").select("raster_id", "y", "x", "v")
 
 
 def target_grid(meta: DataFrame, gsd: float) -> DataFrame:
@@ -203,7 +240,7 @@ def target_grid(meta: DataFrame, gsd: float) -> DataFrame:
 
 
 def mask_tiles(crowns: DataFrame, meta: DataFrame, sigma: float, nodata_threshold: float, tile: int) -> DataFrame:
-    """The soft mask as tiles: burned cells are packed once, and one haloed kernel softens and marks."""
+    """The soft mask as tiles: runs are painted into tiles, and one haloed kernel softens and marks."""
     weights, r = kernels.gaussian_weights(sigma), kernels.gaussian_radius(sigma)
 
     def soften(block: np.ndarray) -> np.ndarray:
@@ -211,7 +248,7 @@ def mask_tiles(crowns: DataFrame, meta: DataFrame, sigma: float, nodata_threshol
         inner = block[r:block.shape[0] - r, r:block.shape[1] - r]
         return np.where((inner == 0) & (soft < nodata_threshold), NODATA, soft)
 
-    packed = pixels_to_tiles(burn(filter_crowns(crowns), meta).withColumn("band", F.lit(1)), meta, tile, fill=0.0)
+    packed = fill_grid(burn_tiles(filter_crowns(crowns), meta, tile), meta, tile, 0.0)
     return tiles.map_tiles(packed, soften, tile, (r, r), (r, r))
 
 

@@ -42,6 +42,32 @@ def test_random_polygons(spark):
     np.testing.assert_array_equal(burned(spark, shapes), want)
 
 
+def test_painting_over_tile_edges(spark):
+    """Many copies and overlapping polygons, runs longer than a tile and on its edges."""
+    rng = np.random.default_rng(9)
+    shapes = [[CONCAVE]] * 40 + [[SQUARE, HOLE]] * 3
+    for _ in range(20):
+        x, y, w, h = rng.integers(-3, 14, 2).tolist() + rng.integers(1, 12, 2).tolist()
+        shapes.append([[(float(x), float(y)), (float(x + w), float(y)), (float(x + w), float(y + h)), (float(x), float(y + h)), (float(x), float(y))]])
+    want = np.array([[any(inside(s, x + 0.5, y + 0.5) for s in shapes) for x in range(15)] for y in range(14)], float)
+    meta = meta_of(spark, {"r": (14, 15)})
+    for tile in (1, 4, 15, 64):
+        painted = rz.burn_tiles(crowns(spark, shapes), meta, tile)
+        np.testing.assert_array_equal(grid_of(tiles_to_pixels(painted, tile), (14, 15), fill=0.0), want)
+        assert all(r["data"].count(1.0) for r in painted.select("data").collect())
+    plan = rz.burn(crowns(spark, shapes), meta)._jdf.queryExecution().executedPlan().toString()
+    assert "y#" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning(raster_id" in line and "crown_id" not in line)
+
+
+def test_known_differing_crs_is_an_error(spark):
+    meta = meta_of(spark, {"r": (6, 9)}).drop("crs_epsg")
+    from pyspark.sql import functions as F
+    table = crowns(spark, [[SQUARE]])
+    assert rz.burn(table, meta.withColumn("crs_epsg", F.lit(32736))).count() > 0
+    with pytest.raises(Exception, match="coordinate systems"):
+        rz.burn(table, meta.withColumn("crs_epsg", F.lit(4326))).collect()
+
+
 def test_shared_edge_covers_once_without_gap(spark):
     left = [(0.0, 0.0), (5.5, 0.0), (5.5, 6.0), (0.0, 6.0), (0.0, 0.0)]
     right = [(5.5, 0.0), (9.0, 0.0), (9.0, 6.0), (5.5, 6.0), (5.5, 0.0)]
