@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterloom.llm.text import whole_row
 from rasterloom.operators.prefix import prefix_sum
 from rasterloom.runtime import freeze, lookup_join, shuffle_width
 
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sums give the words before it.
     """
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    row = [whole_row(docs)] if carry else []
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("row_hash"), *row,

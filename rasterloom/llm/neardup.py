@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.components import connected_components
-from rasterloom.llm.text import digest128, map_text, mix64, plain_words, shingles
+from rasterloom.llm.text import digest128, map_text, mix64, plain_words, shingles, whole_row
 from rasterloom.runtime import freeze
 
 #: Minima per band, and the chance of missing a link that lies at the threshold.
@@ -273,7 +273,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows = freeze(found.groupBy("root", key).agg(F.count(F.lit(1)).alias("n")))
     best = freeze(rows.groupBy("root").agg(F.min("k").alias("best")))
     judged = freeze(rows.join(best, "root").select("k.id", "k.row_hash", (F.col("k") == F.col("best")).alias("stays"), "n"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    packed = docs.select(whole_row(docs),
                          F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash")).alias("d")
 
     def same(side: DataFrame, how: str, frame: DataFrame) -> DataFrame:

@@ -375,20 +375,21 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
                 *(["ids"] if with_ids else []), *(["position"] if with_position else [])))
 
 
-def stream_positions(docs: DataFrame, columns: list[str]) -> DataFrame:
+def stream_positions(docs: DataFrame, columns: list[str]) -> DataFrame | None:
     """``columns`` and ``position``, the place of each row in a table that Spark wrote as Parquet from an
     ordered frame: 0, 1, ... by number of the written part and row inside it.
 
-    Rows of a frame that is not read from such files get ascending numbers as they come.
+    File and row stay with a row through filters and exchanges, but not through another write. None
+    for a frame that is not read from files: it has no such order.
     """
     own = [F.col(f"`{c}`") for c in columns]
     try:
-        rows = docs.select(*own, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
-                           F.col("_metadata.row_index").alias("_row"))
-    except AnalysisException:  # no such files
-        return docs.select(*own, F.monotonically_increasing_id().alias("position"))
+        source = docs.metadataColumn("_metadata")  # also where a column has that name
+        rows = docs.select(*own, source["file_path"].alias("_file"), source["file_name"].alias("_name"), source["row_index"].alias("_row"))
+    except AnalysisException:
+        return None
     files = rows.groupBy("_file", "_name").agg((F.max("_row") + 1).alias("n"))
     part = F.regexp_extract("_name", r"^part-(\d+)", 1).try_cast("bigint")
     before = W.orderBy(part, "_file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     starts = freeze(files.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")))
-    return rows.join(F.broadcast(starts), "_file").select(*own, (F.col("_start") + F.col("_row")).alias("position"))
+    return rows.join(starts, "_file").select(*own, (F.col("_start") + F.col("_row")).alias("position"))

@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a batch; a longer text is handled on its own.
 STEP_BYTES = 2 << 20
@@ -70,6 +72,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 def map_text(df: DataFrame, column: str, fn: Callable[[list[bytes | None]], dict[str, pa.Array]], schema: str,
              keep: list[str]) -> DataFrame:
     """Add columns computed from a text column (or struct field); of the input only ``keep`` stays, in
@@ -79,7 +86,7 @@ def map_text(df: DataFrame, column: str, fn: Callable[[list[bytes | None]], dict
     """
     inside = column.partition(".")[0] in keep  # a field of a struct that is kept anyway
     source = df.select(*dict.fromkeys(keep if inside else [*keep, column]))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (source.schema[c] for c in keep))
+    out = StructType([source.schema[c] for c in keep] + StructType.fromDDL(schema).fields)  # names as they are, nested ones too
 
     def run(batches):
         for batch in batches:
@@ -89,7 +96,7 @@ def map_text(df: DataFrame, column: str, fn: Callable[[list[bytes | None]], dict
                     [part.column(part.schema.get_field_index(k)) for k in keep] + list(added.values()),
                     names=[*keep, *added])
 
-    return small_batches(source).mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+    return small_batches(source).mapInArrow(run, out)
 
 
 def coded(word_lists: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:

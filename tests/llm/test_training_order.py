@@ -47,3 +47,12 @@ def test_positions_follow_the_written_parts(spark, tmp_path, partition_bytes):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["doc_id"] for r in sorted(out, key=lambda r: r["position"])] == ids
+
+
+def test_positions_stay_when_rows_move(spark, tmp_path):
+    """File and row go with a row, so an exchange after reading changes nothing."""
+    frame = spark.createDataFrame([(n, (n * 7919) % 300, f"text {n}") for n in range(300)], "n int, doc_id bigint, text string")
+    frame.repartitionByRange(5, "n").sortWithinPartitions("n").drop("n").write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    first, moved = ({r["doc_id"]: r["position"] for r in pipeline.tokens(spark, t, SF).collect()} for t in (read, read.repartition(7, "text")))
+    assert first == moved == {(n * 7919) % 300: n for n in range(300)}
