@@ -9,7 +9,7 @@ from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions import naming, pointwise as pw
 from rasterloom.model import densify, pixels_to_tiles, tiles_to_pixels
-from rasterloom.operators import focal, ground, overlay as ov, resample, scoring, stats, tiles
+from rasterloom.operators import focal, ground, mosaic, overlay as ov, resample, scoring, stats, tiles
 from rasterloom.operators.prefix import prefix_sum
 from rasterloom.operators.rasterize import target_grid
 from rasterloom.plans.preprocess import soften_with_ground
@@ -283,6 +283,59 @@ def _(spark, sf):
     return out.select("raster_id", "band", "y", "x", r6("v").alias("v"))
 
 
+# three overlapping flights; each is half a pixel or more off the reference, which comes last in the order
+_FLIGHTS = {"A": (-20.5, 7.5, 2), "N": (30.5, -11.5, 1), "R": (0.0, 0.0, None)}
+_REFERENCE = "scan_R_OM_field.tif"
+
+
+def flights(spark, sf):
+    """(image, headers) of overlapping orthomosaics named like files, with origins and an order."""
+    named = lambda df: df.withColumn("raster_id", F.format_string("scan_%s_OM_field.tif", "raster_id"))
+    at = lambda k: F.create_map(*[F.lit(x) for n, v in _FLIGHTS.items() for x in (n, v[k])])[F.col("raster_id")]
+    headers = t.meta(spark, sf).withColumns({"x0": at(0), "y0": at(1), "priority": at(2)})
+    return named(t.image(spark, sf)), named(headers)
+
+
+_FLIGHT_VALUES = ", ".join(f"('{n}', {x}::double, {y}::double, {'null' if p is None else p})" for n, (x, y, p) in _FLIGHTS.items())
+
+
+def _flight_axis(name: str, size: str, origin: str, reach: int) -> str:
+    """Weights of every image's cells on the reference's target cells along one axis."""
+    return f"""{name} as (
+  select raster_id, t, j as s, 1 - abs(j - c) / greatest(k, 1) as w
+  from (select *, cast(floor(c) as bigint) + o as j
+        from (select raster_id, {size} as ns, t, k, (t + 0.5) * k - {origin} - 0.5 as c
+              from meta join shift using (raster_id),
+                   (select n * 1e0 / nt as k, unnest(range(nt)) as t
+                    from (select {size} as n, round_even({size} * 1e0 / 1.5, 0)::bigint as nt from meta where raster_id = 'R'))),
+             (select unnest(range(-{reach}, {reach + 2})) as o))
+  where j >= 0 and j < ns and 1 - abs(j - c) / greatest(k, 1) > 1e-9 and c >= -0.5 and c <= ns - 0.5)"""
+
+
+_MOSAIC = (
+    f"shift as (select * from (values {_FLIGHT_VALUES}) as f(raster_id, x0, y0, priority))",
+    "picked as (select raster_id, case band when 5 then 1 when 4 then 2 when 6 then 3 else 4 end as b, y, x, v from image where band in (4, 5, 6, 7))",
+    _flight_axis("ly", "height", "y0", 3), _flight_axis("lx", "width", "x0", 3),
+    """moved as (select raster_id, b as band, ly.t as y, lx.t as x, sum(ly.w * lx.w * q.v) / sum(ly.w * lx.w) as v
+  from picked q join ly using (raster_id) join lx using (raster_id) where q.y = ly.s and q.x = lx.s group by 1, 2, 3, 4)""",
+    """mosaic as (select band, y, x, arg_min(v, (coalesce(priority, 99), raster_id)) as v
+  from moved join shift using (raster_id) group by band, y, x)""")
+
+
+@check("src5_mosaic_on_reference", sql(s.CELLS, s.META, s.IMAGE, *_MOSAIC, """full_grid as (
+  select b::integer as band, y, unnest(range(w)) as x from (
+    select w, b, unnest(range(h)) as y from (
+      select round_even(height * 1e0 / 1.5, 0)::bigint as h, round_even(width * 1e0 / 1.5, 0)::bigint as w,
+             unnest([1, 2, 3, 4]) as b from meta where raster_id = 'R')))""",
+    body=f"""select '{_REFERENCE}' as raster_id, g.band, g.y, g.x, round(coalesce(v / 65535, 0), 6) as v
+from full_grid g left join mosaic using (band, y, x)"""))
+def _(spark, sf):
+    image, headers = flights(spark, sf)
+    images, frame = rasters.images_for(headers, _REFERENCE)
+    out = mosaic.mosaic_image_tiles(pixels_to_tiles(image, headers, TILE), [5, 4, 6, 7], images, target_grid(frame, 1.5), TILE, TILE)
+    return tiles_to_pixels(out, TILE).select("raster_id", "band", "y", "x", r6("v").alias("v"))
+
+
 @check("join8_halo_exchange", sql(*BASE, s.SURFACE, s.DSM, f"""
 own as (select *, y // {TILE} as ty, x // {TILE} as tx from dsm join meta using (raster_id))""", body=f"""
 select raster_id, cast(o.ty + dy as integer) as ty, cast(o.tx + dx as integer) as tx, count(*) as cells, count(v) as present,

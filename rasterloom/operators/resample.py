@@ -108,12 +108,13 @@ def _axes(a: dict) -> tuple[_Axis, _Axis]:
 
 
 def resample_tiles(tiles: DataFrame, source: DataFrame, target: DataFrame, size: int, out_size: int,
-                   wanted: DataFrame | None = None, seen: bool = False) -> DataFrame:
+                   wanted: DataFrame | None = None, seen: bool = False, home: DataFrame | None = None) -> DataFrame:
     """Tiles of side ``size`` on the source grid as tiles of side ``out_size`` on the target grid.
 
     Every source tile sends each target tile the part of it that weighs there; a target tile is two
     matrix products. Cells are never rows. Values equal :func:`resample_bilinear`; target tiles that
-    receive nothing are absent. ``wanted`` (raster_id, ty, tx) keeps other targets from being sent to.
+    receive nothing are absent. ``wanted`` (raster_id, ty, tx) keeps other targets from being sent to; with
+    ``home`` (raster_id, grid_id) its ids are those of the grids that the rasters go to.
     With ``seen``, a column counts the tile's cells that are neither missing nor 0 in some band.
     """
     names = ["height", "width", "x0", "y0", "px", "py"]
@@ -167,7 +168,11 @@ def resample_tiles(tiles: DataFrame, source: DataFrame, target: DataFrame, size:
         return tile_table(ids, [out.ravel()]), out
 
     windows = placed.select("raster_id", "band", "ty", "tx", "h", "w", *_AXES, "data").mapInArrow(cut, _WINDOW_SCHEMA)
-    if wanted is not None:
+    if wanted is not None and home is not None:
+        to = lookup_join(windows, home.select("raster_id", "grid_id"), "raster_id", "inner")
+        listed = wanted.select(F.col("raster_id").alias("grid_id"), "ty", "tx")
+        windows = to.join(listed, ["grid_id", "ty", "tx"], "left_semi").select(*_WINDOW.names)
+    elif wanted is not None:
         windows = windows.join(wanted.select("raster_id", "ty", "tx"), ["raster_id", "ty", "tx"], "left_semi").select(*_WINDOW.names)
     return windows.groupBy("raster_id", "ty", "tx").applyInArrow(assemble, TILE_SCHEMA + (", seen bigint" if seen else ""))
 
@@ -188,7 +193,13 @@ def resample_image_tiles(tiles: DataFrame, bands: list[int], source: DataFrame,
     """The tile form of :func:`resample_image`, with the column ``seen``; with ``wanted``, only the
     tiles listed there."""
     moved = resample_tiles(select_bands(tiles, bands), source, target, size, out_size, wanted, seen=True)
-    full = complete(moved, target, out_size, tuple(range(1, len(bands) + 1)))
+    return unit_image(moved, target, len(bands), out_size, top, wanted)
+
+
+def unit_image(moved: DataFrame, target: DataFrame, n_bands: int, out_size: int, top: float = 65535.0,
+               wanted: DataFrame | None = None) -> DataFrame:
+    """Image tiles with the column ``seen`` on all tiles of the grid (or those wanted), scaled to [0, 1]; missing is 0."""
+    full = complete(moved, target, out_size, tuple(range(1, n_bands + 1)))
     if wanted is not None:
         full = full.join(wanted.select("raster_id", "ty", "tx"), ["raster_id", "ty", "tx"], "left_semi")
     names = [c.split()[0] for c in TILE_SCHEMA.split(", ")]

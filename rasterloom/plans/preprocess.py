@@ -15,9 +15,11 @@ from rasterloom.model import NODATA, list_column, list_rows, pixels_to_tiles, ti
 from rasterloom.operators import patches as pt, rasterize, resample, stats, tiles
 from rasterloom.operators.augment import MASK_CHANNEL
 from rasterloom.operators.ground import METHODS
+from rasterloom.operators.mosaic import mosaic_image_tiles
 from rasterloom.operators.overlay import CELL
 from rasterloom.operators.patches import PATCH
 from rasterloom.runtime import freeze, lookup_join
+from rasterloom.sources.rasters import images_for
 
 TILE_KEY = ["raster_id", "ty", "tx"]
 
@@ -154,16 +156,21 @@ def _scaled_heights(blended: DataFrame, size: int, cap: float) -> DataFrame:
 
 
 def preprocess(crowns: DataFrame, image: DataFrame, image_meta: DataFrame, dsm: DataFrame, dsm_meta: DataFrame,
-               params: PreprocessParams, dtm: DataFrame | None = None, dtm_meta: DataFrame | None = None) -> Preprocessed:
+               params: PreprocessParams, dtm: DataFrame | None = None, dtm_meta: DataFrame | None = None,
+               reference: str | None = None) -> Preprocessed:
     """Tiles of the patch size from end to end: cells are rows only while polygons are burned and
     pixel inputs are packed (inputs in tile form of that size are taken as they are).
 
+    With ``reference``, the orthomosaics among the images become one mosaic on that raster's grid, the first
+    valid cell in the order of their ``priority`` and name; polygons, surface and terrain carry its id.
+
     Written once, because several later stages read them: the surface on the target grid, the slope
     surface, the blended tiles, the image tiles of patches that pass the mask test, the features.
     """
     p, size = params, params.patch_size
     require_same_crs(crowns, image_meta, dsm_meta, dtm_meta)
-    grid = freeze(rasterize.target_grid(image_meta, p.target_gsd))
+    images, frame = (None, image_meta) if reference is None else images_for(image_meta, reference)
+    grid = freeze(rasterize.target_grid(frame, p.target_gsd))
     packed = lambda raster, meta: raster if "data" in raster.columns else pixels_to_tiles(
         raster if "band" in raster.columns else raster.withColumn("band", F.lit(1)), meta, size)
     onto_grid = lambda raster, meta: resample.complete(resample.resample_tiles(packed(raster, meta), meta, grid, size, size), grid, size)
@@ -174,7 +181,9 @@ def preprocess(crowns: DataFrame, image: DataFrame, image_meta: DataFrame, dsm:
     area = float(size * size)
     shares = blended.select(*TILE_KEY, (F.col("n_nodata") / area).alias("mask_nodata"))
     gate = freeze(shares.filter(F.col("mask_nodata") <= p.patch_nodata))
-    bands = freeze(resample.resample_image_tiles(packed(image, image_meta), p.bands, image_meta, grid, size, size, wanted=gate))
+    shots = packed(image, image_meta)
+    bands = freeze(resample.resample_image_tiles(shots, p.bands, image_meta, grid, size, size, wanted=gate) if images is None
+                   else mosaic_image_tiles(shots, p.bands, images, grid, size, size, wanted=gate))
     seen = bands.filter("band = 1").select(*TILE_KEY, ((F.lit(int(area)) - F.col("seen")) / area).alias("image_zero"))
     fractions = shares.join(seen, TILE_KEY, "left").select(
         "raster_id", F.col("ty").cast("bigint").alias("pr"), F.col("tx").cast("bigint").alias("pc"), "mask_nodata",

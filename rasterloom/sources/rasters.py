@@ -80,6 +80,11 @@ def select_images(meta: DataFrame, reference: str | None = None) -> DataFrame:
     return meta.filter(name.contains(MOSAIC_TAG) & name.endswith(RASTER_EXT))
 
 
+def images_for(meta: DataFrame, reference: str) -> tuple[DataFrame, DataFrame]:
+    """The orthomosaics with the grid they go to (``grid_id``), and the reference's own header."""
+    return select_images(meta).withColumn("grid_id", F.lit(reference)), select_images(meta, reference)
+
+
 def write_mask(tiles: DataFrame, path: str, size: int) -> None:
     write_raster(tiles, path, size, nodata=NODATA)
 
