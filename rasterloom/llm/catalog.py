@@ -88,7 +88,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_license_automaton")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir), "text", ["doc_id"]).drop("spans")
+    found = licenses.scan(documents(spark, sf_dir), "text", ["doc_id"])
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
 @query("op4_minhash_neardup")

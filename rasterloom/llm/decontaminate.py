@@ -102,7 +102,7 @@ def _tables(items: DataFrame, item_col: str, text_col: str, size: int, table_wor
     task hold one table of bounded size at a time, however many items there are."""
     spark = items.sparkSession
     chosen = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    total = chosen.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+    total = chosen.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     parts = max(1, math.ceil(total / table_words))
     out = []
     for k in range(parts):

@@ -1,9 +1,10 @@
 """Licence texts in documents by matching statistics over a generalised suffix automaton.
 
 The automaton holds every run of words of every template. A document's words are streamed through it:
-after each word it knows the longest run of words ending there that stands in some template. Long
-maximal matches of one template whose places in document and template both advance are chained; the
-chain's covered template words, relative to the template, are its score. Short phrases are templates
+after each word it knows the longest run of words ending there that stands in some template, and, along
+suffix links, the longest run at every place of every template. Long runs that the next word ends are
+matches; those of one template whose ends in document and template both advance are chained, each to its
+best predecessor. A chain's covered template words, relative to the template, are its cover. Short phrases are templates
 of their own: a phrase occurs where its state is the current state or an ancestor on suffix links.
 """
 
@@ -62,17 +63,20 @@ class Automaton:
                 last = self._extend(last, c)
         n = len(self.next)
         deep = sorted(range(1, n), key=self.len.__getitem__)
-        #: by state: template -> last word of its first place
-        self.place: list[dict[int, int]] = [{} for _ in range(n)]
+        #: by state: (longest run, template, last word, word after it or 0) for every place whose longest
+        #: common run with the state ends there, of at least ``MIN_MATCH`` words, nearest state first
+        self.places: list[list[tuple[int, int, int, int]]] = [[] for _ in range(n)]
         for k, words in enumerate(texts):
             at = 0
             for i, c in enumerate(words):
                 at = self.next[at][c]
-                self.place[at].setdefault(k, i)
-        for s in reversed(deep):
-            for k, i in self.place[s].items():
-                up = self.place[self.link[s]]
-                up[k] = min(i, up.get(k, i))
+                s, after = at, words[i + 1] if i + 1 < len(words) else 0
+                while self.len[s] >= MIN_MATCH:
+                    self.places[s].append((self.len[s], k, i, after))
+                    s = self.link[s]
+        for s in deep:
+            own = {(k, i) for _, k, i, _ in self.places[s]}
+            self.places[s] += [p for p in self.places[self.link[s]] if (p[1], p[2]) not in own]
         #: by state: phrases that end every run of the state's longest length
         self.ends: list[list[int]] = [[] for _ in range(n)]
         for p, (words, _) in enumerate(self.phrases):
@@ -115,13 +119,15 @@ class Automaton:
             self.link[fresh] = q if self.len[q] == self.len[p] + 1 else self._split(p, c, q)
         return fresh
 
-    def stream(self, codes, offset: int, phrase, match) -> None:
+    def stream(self, codes, offset: int, phrase, match=None, ended=None) -> None:
         """``phrase(p, start)`` for every phrase place, ``match(end, length, state)`` for every maximal
-        match of at least ``MIN_MATCH`` words (end exclusive)."""
+        match of at least ``MIN_MATCH`` words (end exclusive), ``ended(end, length, template, last)`` for every
+        place of a template (its last word) up to which at least ``MIN_MATCH`` words agree and no further one."""
         state = length = 0
         follow, link, size, ends, phrases = self.next, self.link, self.len, self.ends, self.phrases
-        i = offset
-        for i, c in enumerate(codes, offset):
+        places, n = self.places, len(codes)
+        for j, c in enumerate(codes):
+            i = offset + j
             before, held = state, length
             while state and c not in follow[state]:
                 state = link[state]
@@ -129,35 +135,60 @@ class Automaton:
             if c in follow[state]:
                 state = follow[state][c]
                 length += 1
-            if held >= MIN_MATCH and length <= held:
+            if match and held >= MIN_MATCH and length <= held:
                 match(i, held, before)
+            if ended and length >= MIN_MATCH:
+                coming = codes[j + 1] if j + 1 < n else -1
+                for run, k, last, after in places[state]:
+                    if after != coming:
+                        ended(i + 1, min(run, length), k, last)
             for p in ends[state]:
-                n = len(phrases[p][0])
-                if length >= n:
-                    phrase(p, i - n + 1)
-        if length >= MIN_MATCH:
-            match(i + 1, length, state)
+                m = len(phrases[p][0])
+                if length >= m:
+                    phrase(p, i - m + 1)
+        if match and length >= MIN_MATCH:
+            match(offset + n, length, state)
 
 
-def chained(matches: list[tuple[int, int, int]], size: int) -> tuple[float, int, int]:
-    """Best chain of one template's matches (document end, length, template end), in document order:
-    (share of the template covered, document start, document end).
+def best_chain(matches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """(covered template words, document start, document end) of the best chain of one template's matches
+    (document end, length, last template word), which are in order of their document ends.
 
-    A match joins the open chain if it starts at most ``MAX_GAP`` words after the chain's end and ends
-    later in the template; overlapping template words count once.
+    A match follows any other whose ends in document and template both lie before its own, if it starts
+    at most ``MAX_GAP`` words after that one's end; words that overlap in either count once. Equal covers:
+    the shortest in the document, of these the middle one.
     """
-    best, open_, reach = (0.0, 0, 0), None, 0
-    for end, length, at in matches:
-        first, last = at - length + 1, at
-        if open_ and end - length - open_[2] <= MAX_GAP and last > reach:
-            covered = open_[0] + last - max(first - 1, reach)
-            open_ = (covered, open_[1], end)
-        else:
-            open_ = (length, end - length, end)
-        reach = last
-        if open_[0] / size > best[0]:
-            best = (open_[0] / size, open_[1], open_[2])
-    return best
+    held: list[tuple[int, int]] = []  # covered words and document start of the best chain up to each match
+    for j, (end, length, last) in enumerate(matches):
+        best = (length, end - length)
+        i = j - 1
+        while i >= 0 and matches[i][0] >= end - length - MAX_GAP:
+            fresh = min(length, last - matches[i][2], end - matches[i][0])
+            if fresh > 0:
+                best = max(best, (held[i][0] + fresh, held[i][1]))
+            i -= 1
+        held.append(best)
+    top = max((c, start - m[0]) for (c, start), m in zip(held, matches))
+    tied = [(c, start, m[0]) for (c, start), m in zip(held, matches) if (c, start - m[0]) == top]
+    return tied[len(tied) // 2]
+
+
+def chained(matches: list[tuple[int, int, int]], size: int) -> tuple[float, list[tuple[float, int, int]]]:
+    """The best cover of a template of ``size`` words, and all spans (cover, document start, document end) by
+    start: the best chain, then the best ones of what stands wholly before and wholly after it, and so on,
+    as long as they cover at least ``MIN_COVER``."""
+    spans, highest, open_ = [], 0.0, [sorted(matches)]
+    while open_:
+        part = open_.pop()
+        if not part:
+            continue
+        covered, start, end = best_chain(part)
+        highest = max(highest, covered / size)
+        if covered >= MIN_COVER * size:
+            spans.append((covered / size, start, end))
+            open_.append([m for m in part if m[0] <= start])
+            open_.append([m for m in part if m[0] - m[1] >= end])
+    return highest, sorted(spans, key=lambda s: s[1])
 
 
 @cache
@@ -170,7 +201,7 @@ def scan(docs: DataFrame, text_col: str, keep: list[str], automaton=standard) ->
 
     Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. The base columns
     count the phrases' places (all of them) and their smallest and largest start, null without any.
-    ``spans`` lists, per template, the best chain that covers at least ``MIN_COVER`` of it; ``labels``
+    ``spans`` lists, per template, all separate chains that cover at least ``MIN_COVER`` of it; ``labels``
     adds those templates to the phrases' labels; ``score`` is 1 with a phrase, else the best cover.
     Null and empty texts have no words, no labels and score 0. Repeated rows repeat their result.
     """
@@ -190,22 +221,20 @@ def scan(docs: DataFrame, text_col: str, keep: list[str], automaton=standard) ->
                 starts.append(start)
                 base.add(auto.phrases[p][1])
 
-            def match(end, length, state):
-                for k, at in auto.place[state].items():
-                    matches.setdefault(k, []).append((end, length, at))
+            def ended(end, length, k, last):
+                matches.setdefault(k, []).append((end, length, last))
 
             for lo, hi in _runs(codes[a:b]):
-                auto.stream(codes[a + lo:a + hi].tolist(), lo, phrase, match)
+                auto.stream(codes[a + lo:a + hi].tolist(), lo, phrase, ended=ended)
             best = {auto.names[k]: chained(m, auto.sizes[k]) for k, m in matches.items()}
-            spans = [{"label": k, "start": s, "end": e, "cover": round(c, 6)}
-                     for k, (c, s, e) in sorted(best.items()) if c >= MIN_COVER]
+            spans = [{"label": k, "start": s, "end": e, "cover": round(c, 6)} for k, (_, each) in sorted(best.items()) for c, s, e in each]
             out["n_words"].append(int(b - a))
             out["n_base"].append(len(starts))
             out["first_word"].append(min(starts, default=None))
             out["last_word"].append(max(starts, default=None))
             out["base_labels"].append(",".join(sorted(base)))
             out["labels"].append(",".join(sorted(base | {s["label"] for s in spans})))
-            out["score"].append(1.0 if starts else round(max((c for c, _, _ in best.values()), default=0.0), 6))
+            out["score"].append(1.0 if starts else round(max((c for c, _ in best.values()), default=0.0), 6))
             out["spans"].append(spans)
         kinds = {"base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(span)}
         return {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}

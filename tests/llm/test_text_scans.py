@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -92,6 +93,69 @@ def test_matching_statistics_equal_brute_force():
     assert [(e, n) for e, n, _ in longest] == maximal
 
 
+def test_ended_matches_equal_all_diagonals():
+    """Every place of every template, also where a longer run of another template goes on."""
+    rng = random.Random(3)
+    for _ in range(40):
+        templates = {k: " ".join(rng.choice("abc") for _ in range(rng.randint(6, 30))) for k in "xyz"}
+        auto = licenses.Automaton(templates, {})
+        doc = [rng.choice("abcd") for _ in range(40)] + templates["x"].split()[2:] + templates["y"].split()[:9]
+        got = set()
+        auto.stream([auto.code.get(w.encode(), 0) for w in doc], 0, None, ended=lambda *m: got.add(m))
+        want = set()
+        for k, t in enumerate(templates.values()):
+            t = t.split()
+            for i in range(len(doc)):
+                for e in range(len(t)):
+                    n = next((n for n in range(min(i, e) + 1) if doc[i - n] != t[e - n]), min(i, e) + 1)
+                    if n >= licenses.MIN_MATCH and (doc[i + 1:i + 2] != t[e + 1:e + 2] or e + 1 == len(t)):
+                        want.add((i + 1, n, k, e))
+        assert got == want
+
+
+def test_best_chain_equals_all_chains():
+    rng = random.Random(6)
+    for _ in range(150):
+        matches = sorted({(rng.randint(9, 50), rng.randint(5, 9), rng.randint(8, 40)) for _ in range(rng.randint(1, 9))})
+        best = 0
+
+        def grow(covered, at):
+            nonlocal best
+            best = max(best, covered)
+            end, _, last = matches[at]
+            for j in range(at + 1, len(matches)):
+                e, n, t = matches[j]
+                if e > end and t > last and e - n - end <= licenses.MAX_GAP:
+                    grow(covered + min(n, e - end, t - last), j)
+
+        for k, m in enumerate(matches):
+            grow(m[1], k)
+        covered, start, end = licenses.best_chain(matches)
+        assert covered == best and start < end
+        cover, spans = licenses.chained(matches, 20)
+        assert cover == best / 20 and all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_quotes_and_repeated_notices(spark):
+    mit = licenses.TEMPLATES["mit"].split()
+    quote = " ".join(mit[:7])
+    parts = [" ".join(mit[i:i + 11]) for i in range(0, len(mit), 11)]  # no piece below MIN_MATCH words
+    texts = [f" {quote} ".join(parts), " and also ".join([" ".join(mit)] * 3), " ".join(mit * 3), " ".join(mit[:20]),
+             " ".join(mit) + " " + licenses.TEMPLATES["bsd"] + " far away " * 20 + " ".join(mit)]
+    got = {r["doc_id"]: r for r in licenses.scan(cases.table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "text", ["doc_id"]).collect()}
+    n = len(cases.alnum(" ".join(mit)))
+    assert got[0]["labels"] == "mit" and got[0]["score"] == 1.0
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(k * (n + 2), k * (n + 2) + n) for k in range(3)]
+    assert [(s["start"], s["end"]) for s in got[2]["spans"]] == [(k * n, k * n + n) for k in range(3)]
+    assert got[3]["spans"] == [] and 0 < got[3]["score"] < 0.5
+    assert [s["label"] for s in got[4]["spans"]] == ["bsd", "mit", "mit"] and {s["cover"] for s in got[4]["spans"]} == {1.0}
+
+
+def test_capitals_count_for_the_table_bound(spark):
+    items = spark.createDataFrame([(f"i{k}", " ".join(f"WORD{k}X{j}" for j in range(100))) for k in range(10)], "item_id string, text string")
+    assert len(decontaminate._tables(items, "item_id", "text", 10, 100)) > 3
+
+
 def greedy(word, initial, continuing):
     at = n = 0
     while at < len(word):
