@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from rasterloom.operators.prefix import running
-
 RUN = ["run_id"]
 
 
-def early_stop(history: DataFrame, patience: int, keys: list[str] = RUN) -> DataFrame:
+def early_stop(history: DataFrame, patience: int, keys: list[str] = RUN, block: int = 4096) -> DataFrame:
     """Per run: the epoch training stops at and whether patience ran out.
 
     An epoch improves when its ``val_loss`` is strictly below every earlier one and below infinity; a
     missing or NaN loss never does. The run stops at the first epoch that is the ``patience``-th one
     recorded after the latest improvement; numbers left out between epochs do not count as waiting.
+
+    Runs are cut into blocks of epochs. A block's rows, its lowest loss and the first place of that are all
+    that later blocks need: its last improvement is there, if anywhere. Rows are dealt by block once.
     """
-    loss = F.coalesce(F.nanvl("val_loss", F.lit(float("inf"))), F.lit(float("inf")))
-    counted = running(history.withColumns({"_loss": loss, "_one": F.lit(1)}), keys, "epoch", "_one", "sum", "_nth")
-    best = running(counted, keys, "epoch", "_loss", "min", "_best", inclusive=False)
-    earlier = F.coalesce("_best", F.lit(float("inf")))
-    marked = best.withColumn("_hit", F.when(F.col("_loss") < earlier, F.col("_nth")))
-    since = running(marked, keys, "epoch", "_hit", "max", "_last")
-    waited = F.col("_nth") - F.coalesce("_last", F.lit(0))
-    return since.groupBy(*keys).agg(
-        F.coalesce(F.min(F.when(waited >= patience, F.col("epoch"))), F.max("epoch")).alias("stop_epoch"),
-        F.max(waited >= patience).alias("stopped_early"))
+    top = F.lit(float("inf"))
+    scope = [*keys, "_blk"]
+    inside = W.partitionBy(*scope).orderBy("epoch")
+    earlier = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    rows = history.select(
+        *keys, "epoch", F.floor(F.col("epoch") / block).alias("_blk"), F.coalesce(F.nanvl("val_loss", top), top).alias("_loss")
+    ).withColumns({"_at": F.row_number().over(inside),
+                   "_low": F.min("_loss").over(inside.rowsBetween(W.unboundedPreceding, -1))})
+    blocks = rows.groupBy(*scope).agg(
+        F.max("_at").alias("_n"), F.min("_loss").alias("_least"), F.min(F.struct("_loss", "_at"))["_at"].alias("_first"))
+    carry = blocks.withColumns({
+        "_past": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_best": F.coalesce(F.min("_least").over(earlier), top),
+    }).withColumn("_hit", F.when(F.col("_least") < F.col("_best"), F.col("_past") + F.col("_first")))
+    carry = carry.select(*scope, "_past", "_best", F.coalesce(F.max("_hit").over(earlier), F.lit(0)).alias("_seen"))
+    placed = rows.join(carry, scope)
+    better = F.col("_loss") < F.least(F.coalesce("_low", top), F.col("_best"))
+    here = F.max(F.when(better, F.col("_past") + F.col("_at"))).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    waited = F.col("_past") + F.col("_at") - F.coalesce(here, F.col("_seen"))
+    return placed.withColumn("_waited", waited).groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("_waited") >= patience, F.col("epoch"))), F.max("epoch")).alias("stop_epoch"),
+        F.max(F.col("_waited") >= patience).alias("stopped_early"))
 
 
 def best_epoch(history: DataFrame, patience: int, keys: list[str] = RUN) -> DataFrame:

@@ -234,3 +234,28 @@ def test_names(spark):
     d = spark.createDataFrame([("a/b.c/mask.tif",), ("mask.tar.gz",), ("noext",), (".hidden",)], "p string")
     got = [r.o for r in d.select(naming.with_suffix(F.col("p"), F.lit("_x")).alias("o")).collect()]
     assert got == ["a/b.c/mask_x.tif", "mask.tar_x.gz", "noext_x", ".hidden_x"]
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 4096])
+def test_early_stop_across_blocks(spark, block):
+    """Against a loop over the epochs: ties, missing, NaN and infinite losses, gaps, runs without any loss."""
+    rng = np.random.default_rng(block)
+    rows, want = [], {}
+    for run in range(25):
+        epochs = sorted(rng.choice(60, rng.integers(1, 40), replace=False).tolist())
+        best, wait, stop = float("inf"), 0, None
+        for e in epochs:
+            loss = [float(rng.integers(0, 30) - e // 4), None, float("nan"), float("inf")][rng.choice(4, p=[0.85, 0.05, 0.05, 0.05])]
+            loss = None if run == 0 else loss
+            rows.append((run, e, loss))
+            if loss is not None and loss < best:
+                best, wait = loss, 0
+            else:
+                wait += 1
+            if wait >= 4 and stop is None:
+                stop = e
+        want[run] = (epochs[-1] if stop is None else stop, stop is not None)
+    d = spark.createDataFrame(rows, "run_id bigint, epoch bigint, val_loss double")
+    got = hi.early_stop(d, 4, block=block)
+    assert {r.run_id: (r.stop_epoch, r.stopped_early) for r in got.collect()} == want
+    assert hi.early_stop(d.limit(0), 4, block=block).count() == 0
