@@ -67,9 +67,14 @@ def _meeting(e: tuple, f: tuple) -> tuple[Column, Column, Column]:
     return crosses, touches, shares
 
 
+def _shape() -> Column:
+    """128 bits of the rings, by two hashes of different seeds: different outlines stay apart."""
+    return F.struct(F.xxhash64("rings").alias("a"), F.xxhash64(F.lit("second"), "rings").alias("b"))
+
+
 def _numbered_edges(crowns: DataFrame) -> DataFrame:
-    """(shape, ring, i, n, a, b) for every edge with some length; shape is a digest of the rings."""
-    rings = crowns.select(F.xxhash64("rings").alias("shape"), "rings").distinct()
+    """(shape, ring, i, n, a, b) for every edge with some length; shape tells the rings apart."""
+    rings = crowns.select(_shape().alias("shape"), "rings").distinct()
     ring = rings.select("shape", F.posexplode("rings").alias("ring", "r"))
     moved = lambda r: F.filter(_edges(r), lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"]))
     edges = ring.select("shape", "ring", moved(F.col("r")).alias("edges")).select(
@@ -116,7 +121,7 @@ def filter_crowns(crowns: DataFrame, categories: tuple[str, ...] = INCLUDED, cro
     usable = crowns.filter(F.col("crown_category").isin(*categories)).filter(well_formed(F.col("rings")))
     if not crossings:
         return usable
-    return usable.join(freeze(broken_shapes(usable)), F.xxhash64("rings") == F.col("shape"), "left_anti")
+    return usable.join(freeze(broken_shapes(usable)), _shape() == F.col("shape"), "left_anti")
 
 
 def concat_crowns(*tables: DataFrame) -> DataFrame:
