@@ -183,11 +183,14 @@ def _stream(spark, sf, name):
         "pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-@check("stm1_metric_stream", sql(*P, body="""
+_LIVE_SQL = sql(*P, body="""
 select run_id, epoch, split, count(*) filter (valid) as n_valid, count(*) filter (valid and p >= 0.61 and target > 0.65) as tp,
   count(*) filter (valid and p >= 0.61 and not target > 0.65) as fp, count(*) filter (valid and not p >= 0.61 and target > 0.65) as fn,
   count(*) filter (valid and not p >= 0.61 and not target > 0.65) as tn, round(coalesce(sum(abs(p - target)) filter (valid), 0), 6) as abs_error
-from probs group by 1, 2, 3"""))
+from probs group by 1, 2, 3""")
+
+
+@check("stm1_metric_stream", _LIVE_SQL)
 def _(spark, sf):
     base = work_folder(spark, "metric-stream")
     live = ms.running_metrics(t.as_predictions(_stream(spark, sf, "events")), 0.61, 0.65)
@@ -195,6 +198,14 @@ def _(spark, sf):
     return rounded(ms.latest(spark, f"{base}/table"), "abs_error")
 
 
+@check("stm1_metric_log", _LIVE_SQL)
+def _(spark, sf):
+    base = work_folder(spark, "metric-log")
+    sums = lambda batch: ms.running_metrics(batch, 0.61, 0.65)
+    ms.start_log(t.as_predictions(_stream(spark, sf, "events")), sums, f"{base}/table", f"{base}/state").awaitTermination()
+    return rounded(ms.logged(spark, f"{base}/table"), "abs_error")
+
+
 @check("stm1_running_loss", sql(*P, _BATCH.replace("split, batch_id", "run_id, epoch, split, batch_id"), body=f"""
 select k.run_id, k.epoch, k.split, coalesce(sum(n), 0)::bigint as n_valid, round(coalesce(sum(({_COMBINED}) * n) / sum(n), 0), 6) as loss
 from every k left join bt using (run_id, epoch, split, batch_id) group by 1, 2, 3"""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,15 +70,48 @@ def start_upsert(totals: DataFrame, table: str, checkpoint: str, once: bool = Tr
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def start_log(rows: DataFrame, sums: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, once: bool = True,
+              merge_every: int = 16):
+    """Totals as a log: every micro-batch adds one part with the sums of its own rows by key, ``sums(batch)``.
+
+    Nothing is held between micro-batches, so finished runs and epochs cost nothing, and the work of a micro-batch
+    follows its rows and keys, not all keys seen. Every ``merge_every`` parts become a new base, the sum of
+    the base before and all parts since; the base before and its parts stay until the next one, for readers. A replayed
+    micro-batch writes its part anew, and a base counts only parts above it, so nothing counts twice.
+    """
+
+    def save(batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        sums(batch).write.mode("overwrite").parquet(f"{table}/part={version}")
+        bases, parts = _versions(spark, table, "base"), _versions(spark, table, "part")
+        if sum(p > (bases[-1] if bases else -1) for p in parts) < merge_every:
+            return
+        logged(spark, table).write.mode("overwrite").parquet(f"{table}/base={version}")
+        old = bases[-1] if bases else -1
+        for name in [f"base={b}" for b in bases if b < old] + [f"part={p}" for p in parts if p <= old]:
+            _folder(spark, f"{table}/{name}", lambda files, path: files.delete(path, True))
+
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def logged(spark: SparkSession, table: str) -> DataFrame:
+    """The current totals of a log: the newest complete base and the complete parts after it, summed by key."""
+    bases = _versions(spark, table, "base")[-1:]
+    names = [f"base={b}" for b in bases] + [f"part={p}" for p in _versions(spark, table, "part") if not bases or p > bases[0]]
+    read = spark.read.parquet(*[f"{table}/{n}" for n in names])
+    return read.groupBy(*RUNNING_KEYS).agg(*[F.sum(c).alias(c) for c in read.columns if c not in RUNNING_KEYS])
+
+
 def _folder(spark: SparkSession, name: str, act):
     """``act`` on the file system of a folder and its path."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return act(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
 
 
-def _versions(spark: SparkSession, table: str) -> list[int]:
-    """Complete versions, ascending."""
-    found = _folder(spark, f"{table}/version=*/_SUCCESS", lambda files, path: files.globStatus(path))
+def _versions(spark: SparkSession, table: str, kind: str = "version") -> list[int]:
+    """Complete versions of a kind, ascending."""
+    found = _folder(spark, f"{table}/{kind}=*/_SUCCESS", lambda files, path: files.globStatus(path))
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
 

@@ -41,3 +41,26 @@ def test_batch_stream_loss_equals_batch_loss(spark, tmp_path):
     for r in epoch_history(pixels, w).collect():
         assert abs(got[r.epoch, "train"] - r.loss) < 1e-9
         assert abs(got[r.epoch, "val"] - r.val_loss) < 1e-9
+
+
+def test_log_of_sums_equals_batch_over_restarts(spark, tmp_path):
+    """Parts merge into bases, a replayed micro-batch counts once, an unfinished base is not read."""
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    sums = lambda batch: ms.running_metrics(batch, 0.5, 0.5)
+    for stage in range(3):
+        for i in range(4):
+            spark.createDataFrame(rows(stage * 4 + i, 120), SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        ms.start_log(stream, sums, out, state, merge_every=3).awaitTermination()
+        want = sorted(map(tuple, sums(spark.read.parquet(src)).drop("abs_error").collect()))
+        assert sorted(map(tuple, ms.logged(spark, out).drop("abs_error").collect())) == want
+    folders = {p.name for p in (tmp_path / "out").iterdir()}
+    assert {"base=11", "base=8"} <= folders and len(folders) <= 5
+    last = spark.read.parquet(f"{out}/part=11") if "part=11" in folders else None
+    assert last is not None
+    (tmp_path / "out" / "base=12").mkdir()  # begun, never completed
+    (tmp_path / "state" / "commits" / "11").unlink()  # the last micro-batch runs again
+    (tmp_path / "state" / "commits" / ".11.crc").unlink(missing_ok=True)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    ms.start_log(stream, sums, out, state, merge_every=3).awaitTermination()
+    assert sorted(map(tuple, ms.logged(spark, out).drop("abs_error").collect())) == want
