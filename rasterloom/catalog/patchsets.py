@@ -9,7 +9,7 @@ from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.scores import _AP, _BATCH, _CLS, _COMBINED, _CONF
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions import naming
-from rasterloom.operators import augment as aug, metrics as mt, overlay as ov, patches as pt, scoring, stats
+from rasterloom.operators import augment as aug, metrics as mt, overlay as ov, patches as pt, scoring, stats, tilestats
 from rasterloom.plans.evaluation import evaluate_model
 from rasterloom.plans.training_feed import training_feed
 from rasterloom.runtime import work_folder
@@ -62,11 +62,19 @@ def _pixels(spark, sf):
     return pt.unpack_patches(t.patches(spark, sf))
 
 
-@check("agg21_channel_stats", sql(s.PATCHES, _STATS, body="select channel, round(mean, 6) as mean, round(std, 6) as std from st"))
+_STATS_SQL = sql(s.PATCHES, _STATS, body="select channel, round(mean, 6) as mean, round(std, 6) as std from st")
+
+
+@check("agg21_channel_stats", _STATS_SQL)
 def _(spark, sf):
     return rounded(stats.channel_stats(_pixels(spark, sf)), "mean", "std")
 
 
+@check("agg21_channel_stats_tiles", _STATS_SQL)
+def _(spark, sf):
+    return rounded(tilestats.channel_stats(t.patches(spark, sf)), "mean", "std")
+
+
 _Z = sql(s.PATCHES, _STATS, body="""
 select patch_id, channel, y, x, round((v - mean) / std, 6) as v from patches join st using (channel)""")
 

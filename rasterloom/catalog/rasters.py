@@ -9,7 +9,7 @@ from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions import naming, pointwise as pw
 from rasterloom.model import densify, pixels_to_tiles, tiles_to_pixels
-from rasterloom.operators import focal, ground, mosaic, overlay as ov, resample, scoring, stats, tiles
+from rasterloom.operators import focal, ground, mosaic, overlay as ov, resample, scoring, stats, tiles, tilestats
 from rasterloom.operators.prefix import prefix_sum
 from rasterloom.operators.rasterize import target_grid
 from rasterloom.plans.preprocess import soften_with_ground
@@ -353,32 +353,67 @@ def _(spark, sf):
 
 
 # statistics -------------------------------------------------------------------------------------
-@check("agg1_mask_counts", sql(s.CELLS, s.MASK, body="""
+def _layer_tiles(spark, sf, **layers):
+    """Tiles with one array per pixel table; a tile that one of the tables lacks is left out."""
+    pack = lambda name, px: pixels_to_tiles(px.withColumn("band", F.lit(1)), t.meta(spark, sf), TILE).select(
+        "raster_id", "ty", "tx", F.col("data").alias(name))
+    first, *rest = [pack(name, px) for name, px in layers.items()]
+    for side in rest:
+        first = first.join(side, ["raster_id", "ty", "tx"])
+    return first
+
+
+_COUNTS = sql(s.CELLS, s.MASK, body="""
 select raster_id, count(*) filter (mask > 0 and mask < 255) as crown, count(*) filter (mask = 0) as zero,
-       count(*) filter (mask = 255) as nodata from mask group by raster_id"""))
+       count(*) filter (mask = 255) as nodata from mask group by raster_id""")
+
+
+@check("agg1_mask_counts", _COUNTS)
 def _(spark, sf):
     return stats.mask_counts(t.soft_mask(spark, sf))
 
 
-@check("agg2_blend_audit", sql(s.CELLS, s.SURFACE, s.TERRAIN, s.MASK, _BLEND, body="""
+@check("agg1_mask_counts_tiles", _COUNTS)
+def _(spark, sf):
+    return tilestats.mask_counts(_layer_tiles(spark, sf, mask=t.soft_mask(spark, sf).withColumn("v", F.col("mask"))), column="mask")
+
+
+_AUDIT = sql(s.CELLS, s.SURFACE, s.TERRAIN, s.MASK, _BLEND, body="""
 select raster_id, count(*) filter (mask >= 0 and mask < 255 and conf > 0) as dampened,
        count(*) filter (mask = 255) - count(*) filter (final = 255) as resolved,
        count(*) filter (final > 0 and final < 255) as crown, count(*) filter (final = 0) as ground,
        count(*) filter (final = 255) as nodata
-from blended group by raster_id"""))
+from blended group by raster_id""")
+
+
+@check("agg2_blend_audit", _AUDIT)
 def _(spark, sf):
     return stats.blend_audit(_blended(spark, sf))
 
 
+@check("agg2_blend_audit_tiles", _AUDIT)
+def _(spark, sf):
+    b = _blended(spark, sf)
+    return tilestats.blend_audit(_layer_tiles(spark, sf, **{n: b.withColumn("v", F.col(n)) for n in ("mask", "conf", "final")}))
+
+
 _Q = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
-@check("agg3_ndsm_summary", sql(s.CELLS, s.SURFACE, body="select raster_id, min(v) as min, "
-    + ", ".join(f"round(quantile_cont(v, {p}), 6) as {n}" for n, p in _Q.items()) + ", max(v) as max from surface group by raster_id"))
+_SUMMARY = sql(s.CELLS, s.SURFACE, body="select raster_id, min(v) as min, "
+    + ", ".join(f"round(quantile_cont(v, {p}), 6) as {n}" for n, p in _Q.items()) + ", max(v) as max from surface group by raster_id")
+
+
+@check("agg3_ndsm_summary", _SUMMARY)
 def _(spark, sf):
     return rounded(stats.height_summary(t.surface(spark, sf)), *_Q)
 
 
+@check("agg3_ndsm_summary_tiles", _SUMMARY)
+def _(spark, sf):
+    return rounded(tilestats.height_summary(_dsm_tiles(spark, sf)), *_Q)
+
+
 _ROOT = "root as (select raster_id, y, x, sqrt(v) as v from surface)"
 _HIST = _ROOT + """, h as (select raster_id, lo, hi, cast(least(floor((v - lo) / (hi - lo) * 64), 63) as integer) as bin, count(*) as n
   from root join (select raster_id, min(v) as lo, max(v) as hi from root group by raster_id) using (raster_id)
@@ -386,13 +421,22 @@ _HIST = _ROOT + """, h as (select raster_id, lo, hi, cast(least(floor((v - lo) /
 e as (select raster_id, lo, hi, unnest(range(64))::integer as bin from (select distinct raster_id, lo, hi from h))"""
 
 
-@check("agg4_histogram", sql(s.CELLS, s.SURFACE, _HIST, body="""
+_HISTOGRAM = sql(s.CELLS, s.SURFACE, _HIST, body="""
 select raster_id, bin, round(lo + bin * ((hi - lo) / 64), 6) as "left", round(lo + (bin + 1) * ((hi - lo) / 64), 6) as "right",
-       coalesce(n, 0) as n from e left join h using (raster_id, lo, hi, bin)"""))
+       coalesce(n, 0) as n from e left join h using (raster_id, lo, hi, bin)""")
+
+
+@check("agg4_histogram", _HISTOGRAM)
 def _(spark, sf):
     return rounded(stats.histogram(_roots(spark, sf), bins=64), "left", "right")
 
 
+@check("agg4_histogram_tiles", _HISTOGRAM)
+def _(spark, sf):
+    packed = pixels_to_tiles(_roots(spark, sf).withColumn("band", F.lit(1)), t.meta(spark, sf), TILE)
+    return rounded(tilestats.histogram(packed, bins=64), "left", "right")
+
+
 def _otsu(src: str, bins: int = 256) -> str:
     return f"""otsu_h as (select raster_id, lo, hi, cast(least(floor((v - lo) / (hi - lo) * {bins}), {bins - 1}) as bigint) as b, count(*) as n
   from {src} join (select raster_id, min(v) as lo, max(v) as hi from {src} group by raster_id) using (raster_id) group by 1, 2, 3, 4),
@@ -403,17 +447,33 @@ otsu_s as (select raster_id, b, m, c / t * (1 - c / t) * power(cm / c - (tm / t
 otsu as (select raster_id, arg_max(m, (g, -b)) as threshold from otsu_s group by raster_id)"""
 
 
-@check("agg5_otsu_threshold", sql(s.CELLS, s.SURFACE, _otsu("surface"), body="select raster_id, round(threshold, 6) as threshold from otsu"))
+_OTSU = sql(s.CELLS, s.SURFACE, _otsu("surface"), body="select raster_id, round(threshold, 6) as threshold from otsu")
+
+
+@check("agg5_otsu_threshold", _OTSU)
 def _(spark, sf):
     return rounded(stats.otsu_threshold(t.surface(spark, sf)), "threshold")
 
 
-@check("agg6_p95_positive", sql(s.CELLS, s.SURFACE, body="""
-select raster_id, round(quantile_cont(v, 0.95), 6) as p95 from surface where v > 0 group by raster_id"""))
+@check("agg5_otsu_threshold_tiles", _OTSU)
+def _(spark, sf):
+    return rounded(tilestats.otsu_threshold(_dsm_tiles(spark, sf)), "threshold")
+
+
+_P95 = sql(s.CELLS, s.SURFACE, body="""
+select raster_id, round(quantile_cont(v, 0.95), 6) as p95 from surface where v > 0 group by raster_id""")
+
+
+@check("agg6_p95_positive", _P95)
 def _(spark, sf):
     return rounded(stats.upper_height(t.surface(spark, sf)), "p95")
 
 
+@check("agg6_p95_positive_tiles", _P95)
+def _(spark, sf):
+    return rounded(tilestats.upper_height(_dsm_tiles(spark, sf)), "p95")
+
+
 _VALLEY = f"""h as (select raster_id, least(floor((v - 1.0) / 69.0 * 300), 299)::bigint as b, count(*) as n
   from surface where v >= 1.0 and v <= 70.0 group by 1, 2),
 e as (select raster_id, b, coalesce(n, 0) as n from (
@@ -422,12 +482,20 @@ sm as (select e.raster_id, e.b, sum(f.n) as total from e cross join (select unne
   join e f on f.raster_id = e.raster_id and f.b = {s.mirrored('e.b + k.d', '300')} group by 1, 2)"""
 
 
-@check("agg7_valley_threshold", sql(s.CELLS, s.SURFACE, _VALLEY, body="""
-select raster_id, round(1.0 + (arg_min(b, (total, b)) + 0.5) * (69.0e0 / 300), 6) as valley from sm group by raster_id"""))
+_VALLEY_SQL = sql(s.CELLS, s.SURFACE, _VALLEY, body="""
+select raster_id, round(1.0 + (arg_min(b, (total, b)) + 0.5) * (69.0e0 / 300), 6) as valley from sm group by raster_id""")
+
+
+@check("agg7_valley_threshold", _VALLEY_SQL)
 def _(spark, sf):
     return rounded(stats.valley_threshold(t.surface(spark, sf), lo=1.0, hi=70.0), "valley")
 
 
+@check("agg7_valley_threshold_tiles", _VALLEY_SQL)
+def _(spark, sf):
+    return rounded(tilestats.valley_threshold(_dsm_tiles(spark, sf), lo=1.0, hi=70.0), "valley")
+
+
 @check("agg23_diag_table", sql(s.CELLS, s.SURFACE, _HIST.replace("64", "300").replace("63", "299"), body="""
 select raster_id, bin, round(lo + bin * ((hi - lo) / 300), 6) as "left", round(lo + (bin + 1) * ((hi - lo) / 300), 6) as "right",
        coalesce(n, 0) as n, 10.0e0 as used, 12.5e0 as suggested from e left join h using (raster_id, lo, hi, bin)"""))

@@ -10,7 +10,7 @@ from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions.pointwise import height_confidence, soft_blend
 from rasterloom.model import densify, pixels_to_tiles, zip_tiles
-from rasterloom.operators import focal, overlay as ov, patches as pt, rasterize as rz, stats, tiles
+from rasterloom.operators import focal, overlay as ov, patches as pt, rasterize as rz, stats, tiles, tilestats
 from rasterloom.plans.preprocess import PreprocessParams, preprocess
 from rasterloom.sources import tables as t
 
@@ -159,18 +159,40 @@ def _fractions(spark, sf):
     return pt.nodata_fractions(t.soft_mask(spark, sf), t.image(spark, sf), t.meta(spark, sf), SIDE)
 
 
-@check("agg8_patch_nodata", sql(s.CELLS, s.META, s.MASK, s.IMAGE, _PGRID, _FRAC, body="select * from frac"))
+def _tile_fractions(spark, sf):
+    m = t.meta(spark, sf)
+    mask = t.soft_mask(spark, sf).select("raster_id", F.lit(1).alias("band"), "y", "x", F.col("mask").alias("v"))
+    return tilestats.nodata_fractions(pixels_to_tiles(mask, m, SIDE), pixels_to_tiles(t.image(spark, sf), m, SIDE), m, SIDE)
+
+
+_FRAC_SQL = sql(s.CELLS, s.META, s.MASK, s.IMAGE, _PGRID, _FRAC, body="select * from frac")
+
+
+@check("agg8_patch_nodata", _FRAC_SQL)
 def _(spark, sf):
     return _fractions(spark, sf)
 
 
-@check("geo4_qc_filter", sql(s.CELLS, s.META, s.MASK, s.IMAGE, _PGRID, _FRAC, body="""
+@check("agg8_patch_nodata_tiles", _FRAC_SQL)
+def _(spark, sf):
+    return _tile_fractions(spark, sf)
+
+
+_QC_SQL = sql(s.CELLS, s.META, s.MASK, s.IMAGE, _PGRID, _FRAC, body="""
 select raster_id, pr, pc, case when mask_nodata > 0.18 then 'skipped_mask' when image_zero > 0.36 then 'skipped_img' else 'kept' end as status
-from frac"""))
+from frac""")
+
+
+@check("geo4_qc_filter", _QC_SQL)
 def _(spark, sf):
     return pt.qc_filter(_fractions(spark, sf), 0.18, 0.36).select("raster_id", "pr", "pc", "status")
 
 
+@check("geo4_qc_filter_tiles", _QC_SQL)
+def _(spark, sf):
+    return pt.qc_filter(_tile_fractions(spark, sf), 0.18, 0.36).select("raster_id", "pr", "pc", "status")
+
+
 # composed ---------------------------------------------------------------------------------------
 FLAGSHIP_SQL = sql(*BASE, s.SURFACE, s.DSM, s.MASK, *s.min_filtered("m", "dsm", 7), f"""
 final as (select d.raster_id, {s.blend('coalesce(k.mask, 255)', s.confidence('d.v - m.v', HT), 0.6)} as f

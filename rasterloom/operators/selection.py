@@ -8,6 +8,8 @@ occupied group, at most ``2 ** 22`` per key however many values there are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,6 +61,26 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     group = lambda level: F.shiftright("_s", LEVELS[level])
     first = values.groupBy(*keys, group(0).alias("_g")).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+    def inside(side: DataFrame, before: int, level: int) -> DataFrame:
+        same = group(before) == side["_p"]
+        for k in keys:
+            same = same & values[k].eqNullSafe(side[f"_k_{k}"])
+        return values.join(side, same).groupBy(*keys, "name", "tag", "rank", group(level).alias("_g")).agg(
+            F.count("_v").alias("_n"), F.min("_v").alias("_value"))
+
+    return narrowed(keys, probs, first, inside, extremes)
+
+
+def narrowed(keys: list[str], probs: dict[str, float], first: DataFrame, inside: Callable[[DataFrame, int, int], DataFrame],
+             extremes: bool) -> DataFrame:
+    """Quantiles from counts however they are taken.
+
+    ``first`` has per key and upper group ``_g`` the number ``_n`` of values and their extremes ``_lo``, ``_hi``;
+    a key without values has a group of count 0. ``inside(side, before, level)`` counts, for every row of
+    ``side`` (``_k_<key>``, name, tag, rank, and the group ``_p`` of bits ``LEVELS[before]``), the values
+    of that group by the bits ``LEVELS[level]``, with their smallest one as ``_value``.
+    """
     whole = W.partitionBy(*keys)
     upto = F.sum("_n").over(whole.orderBy("_g").rowsBetween(W.unboundedPreceding, 0))
     counted = first.select("*", upto.alias("_upto"), F.sum("_n").over(whole).alias("_all"),
@@ -74,12 +96,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     few = (found.agg(F.max("_n")).first()[0] or 0) <= FEW
     for before, level in ((0, 2),) if few else ((0, 1), (1, 2)):
         side = place.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "name", "tag", "rank", "_p")
-        same = (group(before) == side["_p"])
-        for k in keys:
-            same = same & values[k].eqNullSafe(side[f"_k_{k}"])
-        inside = values.join(side, same).groupBy(*scope, "rank", group(level).alias("_g")).agg(
-            F.count("_v").alias("_n"), F.min("_v").alias("_value"))
-        held = _holding(inside, scope, "_g", F.col("rank"))
+        held = _holding(inside(side, before, level), scope, "_g", F.col("rank"))
         place = held.select(*scope, F.col("_g").alias("_p"), F.col("at").alias("rank"), F.col("_value").alias("v"))
         if level == 1:
             place = freeze(place)

@@ -12,6 +12,8 @@ from rasterloom.operators.selection import exact_quantiles
 from rasterloom.runtime import freeze, lookup_join
 
 RASTER = ["raster_id"]
+#: Percentiles of the height summary.
+SUMMARY = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 def mask_counts(mask: DataFrame, keys: list[str] = RASTER, column: str = "mask") -> DataFrame:
@@ -37,7 +39,7 @@ def blend_audit(blended: DataFrame, keys: list[str] = RASTER) -> DataFrame:
 
 def height_summary(raster: DataFrame, keys: list[str] = RASTER, approximate: bool = False) -> DataFrame:
     """Extremes and percentiles of the non-missing values."""
-    probs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    probs = SUMMARY
     if approximate:
         q = raster.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"),
                                       *[F.percentile_approx("v", p, 10000).alias(n) for n, p in probs.items()])
@@ -61,10 +63,10 @@ def minmax_normalise(raster: DataFrame, keys: list[str] = RASTER, out: str = "v"
 def value_range(raster: DataFrame, keys: list[str] = RASTER) -> DataFrame:
     """Histogram range per key; an empty range is widened by half a unit on both sides."""
     r = raster.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")).filter("_lo is not null")
-    return _widened(r, keys)
+    return widened(r, keys)
 
 
-def _widened(ends: DataFrame, keys: list[str], instead: Column | None = None) -> DataFrame:
+def widened(ends: DataFrame, keys: list[str], instead: Column | None = None) -> DataFrame:
     pad = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
     lo = F.col("_lo") - pad
     return ends.select(*keys, (lo if instead is None else F.coalesce(lo, instead)).alias("lo"), (F.col("_hi") + pad).alias("hi"))
@@ -84,7 +86,11 @@ def histogram_arrays(raster: DataFrame, keys: list[str] = RASTER, bins: int = 25
         ranged = raster.withColumns({"lo": F.lit(float(limits[0])), "hi": F.lit(float(limits[1]))})
     inside = F.col("v").between(F.col("lo"), F.col("hi"))
     index = F.when(inside, bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins))
-    per_bin = ranged.groupBy(*keys, "lo", "hi", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return dense_counts(ranged.groupBy(*keys, "lo", "hi", index.alias("bin")).agg(F.count(F.lit(1)).alias("n")), keys, bins)
+
+
+def dense_counts(per_bin: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Counted bins, one row each, as one array per key; a NULL bin only keeps its key."""
     entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))  # values outside keep their key only
     packed = per_bin.groupBy(*keys, "lo", "hi").agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)),
@@ -95,7 +101,12 @@ def histogram_arrays(raster: DataFrame, keys: list[str] = RASTER, bins: int = 25
 def histogram(raster: DataFrame, keys: list[str] = RASTER, bins: int = 256,
               limits: tuple[float, float] | None = None) -> DataFrame:
     """Long histogram with empty bins: bin, left, right, n."""
-    h = histogram_arrays(raster, keys, bins, limits).select(*keys, "lo", "hi", F.posexplode("counts").alias("bin", "n"))
+    return long_counts(histogram_arrays(raster, keys, bins, limits), keys, bins)
+
+
+def long_counts(packed: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Arrays of counts as rows with the edges of their bins."""
+    h = packed.select(*keys, "lo", "hi", F.posexplode("counts").alias("bin", "n"))
     width = (F.col("hi") - F.col("lo")) / bins
     left = F.col("lo") + F.col("bin") * width
     return h.select(*keys, "bin", left.alias("left"), (F.col("lo") + (F.col("bin") + 1) * width).alias("right"), "n")
@@ -124,7 +135,11 @@ def moving_mean(values: Column, size: int = 10) -> Column:
 def valley_threshold(raster: DataFrame, keys: list[str] = RASTER, lo: float = 0.3, hi: float = 8.0,
                      bins: int = 300, smooth: int = 10) -> DataFrame:
     """Centre of the first lowest bin of the smoothed histogram; ``lo`` when nothing is in range."""
-    packed = histogram_arrays(raster, keys, bins, (lo, hi))
+    return valley_of(histogram_arrays(raster, keys, bins, (lo, hi)), keys, lo, hi, bins, smooth)
+
+
+def valley_of(packed: DataFrame, keys: list[str], lo: float, hi: float, bins: int, smooth: int) -> DataFrame:
+    """The valley of histograms over ``[lo, hi]``."""
     sums = packed.select(*keys, moving_sum(F.transform("counts", lambda c: c.cast("double")), smooth).alias("s"))
     first_low = F.array_position("s", F.array_min("s")) - 1
     valley = lo + (first_low + 0.5) * ((hi - lo) / bins)
@@ -142,14 +157,15 @@ def otsu_threshold(raster: DataFrame, keys: list[str] = RASTER, bins: int = 256)
     finite = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
     usable = raster.select(*keys, finite.alias("v"))
     ends = usable.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    ends = freeze(_widened(ends, keys, F.lit(None).cast("double")))
+    ends = freeze(widened(ends, keys, F.lit(None).cast("double")))
     ranged = usable.filter("v is not null").join(ends, keys)
     b = bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins)
-    centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
-    per_bin = (
-        ranged.groupBy(*keys, "lo", "hi", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("centre", centre)
-    )
+    return otsu_of(ends, ranged.groupBy(*keys, "lo", "hi", b.alias("bin")).agg(F.count(F.lit(1)).alias("n")), keys, bins)
+
+
+def otsu_of(ends: DataFrame, per_bin: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """The threshold of every key of ``ends`` from its counted bins."""
+    per_bin = per_bin.withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins)
     upto = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*keys)
     s = per_bin.select(

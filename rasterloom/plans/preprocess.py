@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pointwise import soft_blend
-from rasterloom.model import NODATA, list_column, list_rows, pixels_to_tiles, tiles_to_pixels
-from rasterloom.operators import patches as pt, rasterize, resample, stats, tiles
+from rasterloom.model import NODATA, list_column, list_rows, pixels_to_tiles
+from rasterloom.operators import patches as pt, rasterize, resample, tiles, tilestats
 from rasterloom.operators.augment import MASK_CHANNEL
 from rasterloom.operators.ground import METHODS
 from rasterloom.operators.mosaic import mosaic_image_tiles
@@ -51,7 +52,8 @@ class PreprocessParams:
 @dataclass(frozen=True)
 class Preprocessed:
     """Results; ``tiles`` is the written table behind the grids (arrays mask, dsm, ndsm, conf, final per
-    patch-sized tile), the pixel grids and reports are views on it."""
+    patch-sized tile). The pixel grids are views on it; the statistics are planned when first asked for
+    and count inside the arrays."""
 
     tiles: DataFrame
     mask: DataFrame
@@ -59,10 +61,24 @@ class Preprocessed:
     status: DataFrame
     features: DataFrame
     split: DataFrame
-    channel_stats: DataFrame
-    audit: DataFrame
-    height_summary: DataFrame
-    valley: DataFrame
+
+    @cached_property
+    def channel_stats(self) -> DataFrame:
+        """Of the training patches, without the mask channel."""
+        return tilestats.channel_stats(self.features.filter(F.col("channel") != MASK_CHANNEL).join(
+            self.split.filter("split = 'train'").select("patch_id"), "patch_id", "left_semi"))
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return tilestats.blend_audit(self.tiles)
+
+    @cached_property
+    def height_summary(self) -> DataFrame:
+        return tilestats.height_summary(self.tiles, column="ndsm")
+
+    @cached_property
+    def valley(self) -> DataFrame:
+        return tilestats.valley_threshold(self.tiles, column="ndsm")
 
 
 def soften_with_ground(mask: DataFrame, detection: DataFrame, resolve_above: float) -> DataFrame:
@@ -136,7 +152,7 @@ def blended_tiles(mask: DataFrame, dsm: DataFrame, dtm: DataFrame | None, p: Pre
         joined, names = joined.join(of(low, "low"), TILE_KEY, "left"), [*names, "low"]
     if p.method in ("gradient", "both"):
         slope = freeze(tiles.smooth_gradient(dsm, p.gradient_sigma, size))
-        scalars = stats.upper_height(tiles_to_pixels(slope, size)).select(
+        scalars = tilestats.upper_height(slope).select(
             "raster_id", F.greatest(F.coalesce("p95", F.lit(0.0)), F.lit(1e-8)).alias("scale"))
         joined = lookup_join(joined.join(of(slope, "slope"), TILE_KEY), scalars, "raster_id")
         names = [*names, "slope"]
@@ -145,10 +161,9 @@ def blended_tiles(mask: DataFrame, dsm: DataFrame, dtm: DataFrame | None, p: Pre
     return joined.mapInArrow(run, f"raster_id string, ty int, tx int, h int, w int, rh int, rw int, {arrays}, n_nodata double")
 
 
-def _scaled_heights(blended: DataFrame, size: int, cap: float) -> DataFrame:
+def _scaled_heights(blended: DataFrame, cap: float) -> DataFrame:
     """Tiles of heights in [0, 1]: 0 where the surface is missing, missing where only the height is."""
-    heights = _cells(blended, size, "ndsm").select("raster_id", F.col("ndsm").alias("v"))
-    ceiling = stats.upper_height(heights).select(
+    ceiling = tilestats.upper_height(blended, column="ndsm").select(
         "raster_id", F.least(F.coalesce("p95", F.lit(float(cap))), F.lit(float(cap))).alias("_ceil"))
     scaled = F.zip_with("dsm", "ndsm", lambda d, n: F.when(d.isNull(), 0.0).when(
         n.isNotNull(), F.least(F.greatest(n, F.lit(0.0)), F.col("_ceil")) / F.col("_ceil")))
@@ -192,7 +207,7 @@ def preprocess(crowns: DataFrame, image: DataFrame, image_meta: DataFrame, dsm:
     named = pt.patch_grid(grid, size).withColumn("patch_id", F.concat_ws("/", "raster_id", "name"))
     kept = freeze(named.join(status.filter("status = 'kept'").select(*PATCH), PATCH))
 
-    heights = _scaled_heights(blended, size, p.max_ndsm_height)
+    heights = _scaled_heights(blended, p.max_ndsm_height)
     layer = lambda table, name, channel: table.select(
         "raster_id", F.lit(channel + 1).alias("band"), "ty", "tx", "h", "w", "rh", "rw", F.col(name).alias("data"))
     stack = bands.drop("seen").unionByName(layer(heights, "ndsm_norm", len(p.bands))).unionByName(layer(blended, "final", MASK_CHANNEL))
@@ -200,10 +215,6 @@ def preprocess(crowns: DataFrame, image: DataFrame, image_meta: DataFrame, dsm:
     features = freeze(pt.patches_from_tiles(stack.join(chosen, TILE_KEY, "left_semi").select(
         "raster_id", "band", "ty", "tx", "h", "w", "rh", "rw", "data"), size))
     split = pt.split_patches(kept.select("patch_id"), p.train_ratio, p.val_ratio, p.seed).select("patch_id", "split")
-    train = features.filter(F.col("channel") != MASK_CHANNEL).join(
-        split.filter("split = 'train'").select("patch_id"), "patch_id", "left_semi")
-    raw = _cells(blended, size, "ndsm").withColumnRenamed("ndsm", "v")
     return Preprocessed(
         blended, _cells(blended, size, "final").withColumnRenamed("final", "mask"), _cells(heights, size, "dsm", "ndsm", "ndsm_norm"),
-        status, features, split, stats.channel_stats(pt.unpack_patches(train)),
-        stats.blend_audit(_cells(blended, size, "mask", "conf", "final")), stats.height_summary(raw), stats.valley_threshold(raw))
+        status, features, split)
