@@ -21,14 +21,18 @@ ERROR = 1.04 / math.sqrt(2**LG)
 DOUBT = 6.0
 #: Rows up to which a list of lines is broadcast (16 bytes of key each).
 BROADCAST_ROWS = 500_000
+#: A text with at least this share of all rows is dealt over several keys of the last join (of 1 / HOT_TEXTS).
+HOT_TEXTS = 1000
 
 
 def _checked(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def _line_key(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
+def _line_keys(text: Column) -> Column:
+    """Two hashes per line, null for a blank one."""
+    key = lambda v: F.when(v != "", F.struct(F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2")))
+    return F.transform(F.transform(F.split(text, "\n"), _trimmed), key)
 
 
 def _trimmed(line: Column) -> Column:
@@ -57,19 +61,37 @@ def drop_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     then are never counted or removed. A null text stays null with 0 lines; an empty text is one blank
     line. A null site adds to no line's spread, but its documents are cleaned as well. Repeated rows
     are cleaned alike. The same text has the same lines to remove, so places are kept per distinct text.
+
+    Texts are read twice: once for the hashes of their lines, which are written, and once to be cut.
+    Places of copies combine in the task; a text that holds a ``HOT_TEXTS``-th of all rows or more meets
+    its places under several keys, none with more than about that share of the rows (rows equal in id, site
+    and text stay together).
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
-    line = F.explode(F.transform(F.split("text", "\n"), _trimmed)).alias("line")
-    each = rows.select("site", line).filter("line != ''").select(*_line_key(F.col("line")), "site")
+    text_key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+    keys = freeze(rows.select("site", *text_key, _line_keys(F.col("text")).alias("lines")))
+    each = keys.select("site", F.explode("lines").alias("line")).filter("line is not null").select("line.h1", "line.h2", "site")
     gone = freeze(spread_lines(each, sites).select("h1", "h2"))
-    keyed = rows.select("id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    numbered = keyed.select("t1", "t2", F.posexplode(F.transform(F.split("text", "\n"), _trimmed)).alias("pos", "line"))
     places = (
-        numbered.filter("line != ''").select("t1", "t2", "pos", *_line_key(F.col("line")))
-        .join(_checked(gone), ["h1", "h2"])
-        .groupBy("t1", "t2").agg(F.collect_set("pos").alias("cut")))
-    kept = F.filter(F.split("text", "\n"), lambda v, i: ~F.array_contains("cut", i))
-    return keyed.join(places, ["t1", "t2"], "left").select(
-        "id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        keys.select("t1", "t2", F.posexplode("lines").alias("pos", "line")).filter("line is not null")
+        .select("t1", "t2", "pos", "line.h1", "line.h2").join(_checked(gone), ["h1", "h2"])
+        .groupBy("t1", "t2").agg(F.array_sort(F.collect_set("pos")).alias("cut")))
+    before = F.concat(F.array(F.lit(-1)), F.slice("cut", 1, F.size("cut") - 1))
+    share = F.lit(max(1.0, keys.count() / HOT_TEXTS))
+    hot = F.broadcast(freeze(  # at most HOT_TEXTS rows
+        keys.groupBy("t1", "t2").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("deals"), F.count(F.lit(1)).alias("n"))
+        .filter((F.col("n") > 1) & (F.col("n") >= share)).drop("n")))
+    dealt = (
+        places.select("t1", "t2", F.zip_with("cut", before, lambda p, q: p - q - 1).alias("runs")).join(hot, ["t1", "t2"], "left")
+        .select("t1", "t2", "runs", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal")))
+    keyed = (
+        rows.select("id", "text", "site", *text_key).join(hot, ["t1", "t2"], "left")
+        .withColumn("deal", F.pmod(F.xxhash64("id", "site"), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals", "site"))
+    # lines kept before each removed one, then that one; the lines after the last removed one have no entry
+    keep = F.flatten(F.transform("runs", lambda n: F.concat(F.array_repeat(F.lit(True), n), F.array(F.lit(False)))))
+    marked = F.arrays_zip(F.split("text", "\n").alias("line"), keep.alias("keep"))
+    kept = F.transform(F.filter(marked, lambda m: F.coalesce(m["keep"], F.lit(True))), lambda m: m["line"])
+    return keyed.join(dealt, ["t1", "t2", "deal"], "left").select(
+        "id", F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint").alias("n_lines"),
-        F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("bigint").alias("n_removed"))
+        F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("bigint").alias("n_removed"))

@@ -139,3 +139,22 @@ def test_spread_lines(spark, sites):
 
 def test_no_lines(spark):
     assert linespread.drop_spread_lines(cases.empty(spark)).count() == 0
+
+
+def test_spread_lines_of_a_text_with_many_copies(spark):
+    """A third of all rows is one text: it is dealt over many keys, and every copy is cleaned alike."""
+    hot = "menu\n own \n\nmenu\nlast"
+    rows = [(i, hot, f"s{i % 7}") for i in range(400)] + [(1000 + i, f"menu\nalone {i}\nmenu", None) for i in range(800)]
+    got = linespread.drop_spread_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), sites=7).collect()
+    assert len(got) == 1200
+    # "menu", "own" and "last" stand on seven sites; the blank line stays
+    assert {(r.text, r.n_lines, r.n_removed) for r in got if r.id < 1000} == {("", 5, 4)}
+    assert {(r.text, r.n_lines, r.n_removed) for r in got if r.id >= 1000} == {(f"alone {i}", 3, 2) for i in range(800)}
+
+
+def test_spread_lines_of_a_long_text(spark):
+    lines = [f"l{i}" if i % 3 else "all" for i in range(30_000)]
+    rows = [(i, "\n".join(lines) if i == 0 else "all", f"s{i}") for i in range(6)]
+    got = {r.id: r for r in linespread.drop_spread_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), sites=6).collect()}
+    assert got[0].text == "\n".join(x for x in lines if x != "all") and got[0].n_removed == 10_000
+    assert got[3].text == "" and got[3].n_lines == 1
