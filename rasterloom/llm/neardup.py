@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.components import connected_components
+from rasterloom.llm.components import connected_components, join_hot
 from rasterloom.llm.text import digest128, map_text, mix64, plain_words, shingles, whole_row
 from rasterloom.runtime import freeze
 
@@ -177,9 +177,9 @@ def _candidates(classes: DataFrame) -> DataFrame:
     bucket's smallest class."""
     rows = classes.select("cls", F.explode("bands").alias("key"))
     shared = freeze(
-        rows.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"))
-        .filter("hub != last").select("key", "hub"))
-    return freeze(rows.join(shared, "key"))
+        rows.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("members"))
+        .filter("hub != last").select("key", "hub", "members"))
+    return freeze(join_hot(rows, shared, "key", shared.agg(F.sum("members")).first()[0] or 0))
 
 
 def _groups(classes: DataFrame, block: int) -> DataFrame:
@@ -187,21 +187,21 @@ def _groups(classes: DataFrame, block: int) -> DataFrame:
     found = _candidates(classes)
     cluster = connected_components(found.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
     member = freeze(cluster.join(classes.select("cls", "n", "id", "row_hash"), F.col("node") == F.col("cls")))
-    weight = member.groupBy("root").agg(F.sum("n").alias("weight"))
-    sized = member.join(weight, "root")
+    weight = freeze(member.groupBy("root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members")))
+    sized = join_hot(member, weight, "root", member.count())
     whole = sized.filter(F.col("weight") <= block).select(
         F.col("root").alias("grp"), F.lit(0).alias("side"), F.lit(1).alias("blocks"), "cls", "id", "row_hash")
     # the buckets of larger clusters; of buckets with the same members one is kept
     large = freeze(
         found.select("key", "cls").join(sized.filter(F.col("weight") > block), "cls")
         .select("key", "cls", "n", "id", "row_hash"))
-    buckets = (
+    buckets = freeze(
         large.groupBy("key").agg(F.sum("n").alias("weight"), F.count("*").alias("members"),
                                  F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum_a"),
                                  F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")).alias("sum_b"))
         .groupBy("members", "sum_a", "sum_b").agg(F.min("key").alias("key"), F.first("weight").alias("weight"))
-        .select("key", F.ceil(F.col("weight") / block).cast("int").alias("blocks")))
-    cut = large.join(buckets, "key").select(
+        .select("key", F.ceil(F.col("weight") / block).cast("int").alias("blocks"), "members"))
+    cut = join_hot(large, buckets, "key", large.count()).select(
         F.col("key").cast("string").cast("binary").alias("grp"),
         F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int").alias("side"), "blocks", "cls", "id", "row_hash")
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -242,11 +242,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts.select("w.grp", "w.i", "w.j", "w.side", "w.cls", F.col("x.text").cast("binary").alias("text"))
         .groupBy("grp", "i", "j").applyInPandas(_group_edges(shingle, percent, bands), "a binary, b binary"))
     roots = connected_components(edges)
-    linked = classes.select("cls", "id").join(roots, F.col("cls") == F.col("node"))
-    least = linked.groupBy("root").agg(F.min("id").alias("least"))
+    linked = freeze(classes.select("cls", "id").join(roots, F.col("cls") == F.col("node")).select("cls", "id", "root"))
+    least = freeze(linked.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")))
     of_class = freeze(
         classes.select("cls", "id", "copies")
-        .join(linked.join(least, "root").select("cls", "root", "least"), "cls", "left")
+        .join(join_hot(linked, least, "root", linked.count()).select("cls", "root", "least"), "cls", "left")
         .select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("least", "id").alias("component_id"), "copies"))
     rows = signed.select("id", "row_hash", "n_shingles", "cls")
     # a class of many copies is one key of the join: the at most HOT_CLASSES classes that hold 1 / HOT_CLASSES
@@ -271,8 +271,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = near_duplicates(docs, id_col, text_col, shingle, percent).filter("cls is not null")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "row_hash").alias("k")
     rows = freeze(found.groupBy("root", key).agg(F.count(F.lit(1)).alias("n")))
-    best = freeze(rows.groupBy("root").agg(F.min("k").alias("best")))
-    judged = freeze(rows.join(best, "root").select("k.id", "k.row_hash", (F.col("k") == F.col("best")).alias("stays"), "n"))
+    best = freeze(rows.groupBy("root").agg(F.min("k").alias("best"), F.count(F.lit(1)).alias("members")))
+    judged = freeze(join_hot(rows, best, "root", rows.count()).select("k.id", "k.row_hash", (F.col("k") == F.col("best")).alias("stays"), "n"))
     packed = docs.select(whole_row(docs),
                          F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash")).alias("d")
 

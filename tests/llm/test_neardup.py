@@ -109,3 +109,11 @@ def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    """A node with most of the edges is hot in every round; a chain and a hub of its own stay apart."""
+    edges = [(7, i) for i in range(100, 1600)] + [(i, i + 1) for i in range(2000, 2040)] + [(3000, i) for i in range(3001, 3301)] + [(1599, 3300)]
+    got = dict(connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    chain = {i: 2000 for i in range(2000, 2041)}
+    assert got == {i: 7 for i in [7, *range(100, 1600), *range(3000, 3301)]} | chain
