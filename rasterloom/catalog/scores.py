@@ -177,10 +177,10 @@ def _(spark, sf):
 
 # streaming --------------------------------------------------------------------------------------
 def _stream(spark, sf, name):
-    """A stream over one of the test tables, one file per micro-batch."""
+    """A stream over one of the test tables, a file or a folder of files, one file per micro-batch."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option(
-        "pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a pattern, as a stream's plain path has to be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}[.]parquet")
 
 
 _LIVE_SQL = sql(*P, body="""

@@ -64,3 +64,19 @@ def test_log_of_sums_equals_batch_over_restarts(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     ms.start_log(stream, sums, out, state, merge_every=3).awaitTermination()
     assert sorted(map(tuple, ms.logged(spark, out).drop("abs_error").collect())) == want
+
+
+def test_table_streams_from_a_file_or_a_folder(spark, tmp_path):
+    from rasterloom.catalog.scores import _stream
+
+    one = spark.range(6).coalesce(1)
+    one.write.parquet(str(tmp_path / "a" / "events.parquet"))
+    one.union(one).repartition(3).write.parquet(str(tmp_path / "b" / "events.parquet"))
+    (tmp_path / "c").mkdir()
+    part, = (tmp_path / "a" / "events.parquet").glob("part-*.parquet")
+    (tmp_path / "c" / "events.parquet").symlink_to(part)
+    for name, n in (("a", 6), ("b", 12), ("c", 6)):
+        out = str(tmp_path / f"out-{name}")
+        _stream(spark, str(tmp_path / name), "events").writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(out).count() == n
