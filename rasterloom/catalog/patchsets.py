@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.catalog import sqlparts as s
@@ -359,8 +360,13 @@ def _(spark, sf):
 
 # scoring ----------------------------------------------------------------------------------------
 def mean_minus_height():
-    """A stand-in model: the mean of the image channels against the height channel."""
-    return lambda batch: 4.0 * (batch[:, :4].mean(axis=1) - batch[:, 4])
+    """A stand-in model: the mean of the image channels against the height channel. A missing image cell
+    adds nothing; without any, or without the height, there is no logit."""
+    def run(batch):
+        colours = np.where(np.isnan(batch[:, :4]).all(axis=1), np.nan, np.nansum(batch[:, :4], axis=1) / 4)
+        return 4.0 * (colours - batch[:, 4])
+
+    return run
 
 
 _LOGITS = """lg as (select patch_id, y, x, 4 * (sum(v) filter (channel < 4) / 4 - max(v) filter (channel = 4)) as logit

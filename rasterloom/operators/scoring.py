@@ -17,16 +17,21 @@ LOGIT_SCHEMA = "patch_id string, logits array<double>"
 _LOGIT_ARROW = pa.schema([("patch_id", pa.string()), ("logits", pa.list_(pa.float64()))])
 
 
-def gather_channels(patches: DataFrame) -> DataFrame:
-    """All channels of a patch in one row, channel-major (bounded by channels x size squared)."""
-    ordered = F.array_sort(F.collect_list(F.struct("channel", "data")))
-    return patches.groupBy("patch_id", "size").agg(F.flatten(F.transform(ordered, lambda s: s["data"])).alias("stack"))
+def gather_channels(patches: DataFrame, channels: int) -> DataFrame:
+    """Channels 0 to ``channels - 1`` of a patch in one row, channel-major (bounded by channels x size
+    squared). A channel that the patch lacks is all missing (NULL); a patch without any channel is left out."""
+    blank = F.array_repeat(F.lit(None).cast("double"), (F.col("size") * F.col("size")).cast("int"))
+    stored = patches.filter(F.col("data").isNotNull() & F.col("channel").between(0, channels - 1))
+    found = stored.groupBy("patch_id", "size").agg(F.collect_list(F.struct("channel", "data")).alias("found"))
+    one = lambda c: F.coalesce(F.get(F.filter("found", lambda s: s["channel"] == c), F.lit(0))["data"], blank)
+    return found.select("patch_id", "size", F.concat(*[one(c) for c in range(channels)]).alias("stack"))
 
 
 def score_patches(patches: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]],
                   channels: int = 5) -> DataFrame:
     """Run a caller's model over patches. ``load`` is called once per partition and returns a
-    function from ``(batch, channels, size, size)`` to logits ``(batch, size, size)``."""
+    function from ``(batch, channels, size, size)`` to logits ``(batch, size, size)``. Channels that a
+    patch lacks reach it as NaN, and NaN logits are returned as NULL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
@@ -38,7 +43,7 @@ def score_patches(patches: DataFrame, load: Callable[[], Callable[[np.ndarray],
             logits = np.asarray(model(stack), dtype=float).reshape(len(stack), -1)
             yield pa.RecordBatch.from_arrays([batch.column("patch_id"), list_column(list(logits))], schema=_LOGIT_ARROW)
 
-    return gather_channels(patches).select("patch_id", "size", "stack").mapInArrow(run, LOGIT_SCHEMA)
+    return gather_channels(patches, channels).select("patch_id", "size", "stack").mapInArrow(run, LOGIT_SCHEMA)
 
 
 def prediction_table(logits: DataFrame, masks: DataFrame, assignment: DataFrame) -> DataFrame:

@@ -259,3 +259,15 @@ def test_early_stop_across_blocks(spark, block):
     got = hi.early_stop(d, 4, block=block)
     assert {r.run_id: (r.stop_epoch, r.stopped_early) for r in got.collect()} == want
     assert hi.early_stop(d.limit(0), 4, block=block).count() == 0
+
+
+def test_scoring_takes_patches_without_some_channels(spark):
+    """A missing channel, image or height, is NaN for the model; NaN logits come back as NULL."""
+    from rasterloom.catalog.patchsets import mean_minus_height
+    from rasterloom.operators import scoring
+
+    rows = [("p0", c, 2, [c / 8] * 4) for c in range(5)] + [("p1", 0, 2, [1.0] * 4)]
+    rows += [("p2", c, 2, [1.0, None, 0.5, 0.0] if c == 3 else [1.0] * 4) for c in (1, 3, 4)] + [("p3", 2, 2, None)]
+    table = spark.createDataFrame(rows, "patch_id string, channel int, size int, data array<double>")
+    got = {r.patch_id: r.logits for r in scoring.score_patches(table, mean_minus_height).collect()}
+    assert got == {"p0": [4 * (0.1875 - 0.5)] * 4, "p1": [None] * 4, "p2": [-2.0, -3.0, -2.5, -3.0]}
