@@ -126,7 +126,8 @@ def threshold_cells(preds: DataFrame, thresholds: Sequence[float], target_thresh
     """Pre-aggregation for every threshold pair at once.
 
     A pixel only matters through how many of the prediction thresholds it reaches and how many of
-    the target thresholds it exceeds, so rows collapse to at most (n + 1)(m + 1) cells per key.
+    the target thresholds it exceeds, so rows collapse to at most (n + 2)(m + 1) cells per key. A pixel
+    without a logit reaches neither side of a threshold (NULL).
     """
     p, t = F.col("p"), F.col("target")
     reach = lambda test, values: sum((F.when(test(v), 1).otherwise(0) for v in sorted(set(values))), F.lit(0))
@@ -134,7 +135,7 @@ def threshold_cells(preds: DataFrame, thresholds: Sequence[float], target_thresh
     return (
         preds.withColumn("p", probability())
         .groupBy(*keys, valid.alias("_valid"),
-                 reach(lambda v: predicted(p, v), thresholds).alias("_rp"),
+                 F.when(p.isNotNull(), reach(lambda v: predicted(p, v), thresholds)).alias("_rp"),
                  reach(lambda v: is_crown(t, v), target_thresholds).alias("_rt"))
         .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(e).alias(n) for n, e in (aggs or {}).items()])
     )

@@ -129,3 +129,10 @@ def test_one_hot_score_and_hot_split(spark):
     c = mt.confusion(d, [0.5], [0.5]).first()
     assert c.tp + c.fp + c.fn + c.tn == n + 2
     assert math.isclose(c.tp, pos)
+
+
+def test_pixels_without_logit_are_neither_found_nor_missed(spark):
+    rows = [("val", 0, 2.0, 1.0), ("val", 0, -2.0, 1.0), ("val", 0, None, 1.0), ("val", 0, None, 0.0), ("val", 0, None, 255.0)]
+    preds = spark.createDataFrame(rows, "split string, batch_id bigint, logit double, target double")
+    c = mt.confusion(preds, [0.5], [0.5]).first()
+    assert (c.tp, c.fp, c.fn, c.tn) == (1, 0, 1, 0)
