@@ -10,6 +10,8 @@ no-data sentinel 255 stays a number in soft masks (it takes part in comparisons
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,12 @@ from rasterloom.runtime import freeze, shuffle_width
 
 NODATA = 255.0
 
+#: Small tiles that lie together share one Python group, up to a block of this side; a call per tile costs more than its cells.
+BLOCK_SIDE = 512
+
+#: Bytes of tiles that a task's Python holds in one batch, in or out (a single larger tile is one batch).
+BATCH_BYTES = 8 << 20
+
 META_SCHEMA = (
     "raster_id string, crs_epsg int, height bigint, width bigint, n_bands int, dtype string, "
     "nodata double, x0 double, y0 double, px double, py double"
@@ -100,6 +108,39 @@ def list_column(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64(), from_pandas=True))
 
 
+def tile_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batches to ``BATCH_BYTES`` where they are larger, so that a task's Python
+    holds a few megabytes however many tiles the task has; the frame is returned."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def strip_batches(strips: Iterator[tuple[tuple, np.ndarray]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of keys with an array (the schema's last column) as batches of about ``BATCH_BYTES``."""
+    keys, parts, held = [], [], 0
+    for key, part in strips:
+        keys.append(key)
+        parts.append(part)
+        held += part.nbytes
+        if held >= BATCH_BYTES:
+            yield _strip_batch(keys, parts, schema)
+            keys, parts, held = [], [], 0
+    if keys:
+        yield _strip_batch(keys, parts, schema)
+
+
+def _strip_batch(keys: list[tuple], parts: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    lists = [pa.array(v, f.type) for v, f in zip(zip(*keys), schema)]
+    return pa.RecordBatch.from_arrays([*lists, list_column(parts)], schema=schema)
+
+
+def tiles_per_block(size: int) -> int:
+    """Tiles of side ``size`` along each axis of a block; at least one."""
+    return max(1, BLOCK_SIDE // size)
+
+
 _TILE_ARROW = pa.schema(
     [("raster_id", pa.string()), ("band", pa.int32()), ("ty", pa.int32()), ("tx", pa.int32()),
      ("h", pa.int32()), ("w", pa.int32()), ("rh", pa.int32()), ("rw", pa.int32()),
@@ -115,7 +156,7 @@ def tile_table(ids: dict[str, list], rows: list[np.ndarray]) -> pa.Table:
 
 def pixels_to_tiles(pixels: DataFrame, meta: DataFrame, size: int, fill: float | None = None,
                     bands: tuple[int, ...] = (1,)) -> DataFrame:
-    """Pack pixels into tiles; a group is at most ``size`` squared cells.
+    """Pack pixels into tiles; a group is a block of tiles, at most ``BLOCK_SIDE`` or ``size`` squared cells.
 
     Only tiles holding at least one pixel are built unless ``fill`` is given, in which case the
     remaining tiles of the grid are added with that constant (NaN adds them as missing) for each of
@@ -123,15 +164,20 @@ def pixels_to_tiles(pixels: DataFrame, meta: DataFrame, size: int, fill: float |
     """
     placeholder = float("nan") if fill is None else float(fill)
 
+    n = tiles_per_block(size)
+
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rid, band, ty, tx, rh, rw = (k.as_py() for k in key)
-        h, w = min(size, rh - ty * size), min(size, rw - tx * size)
-        block = np.full(h * w, placeholder)
-        pos = table.column("pos").to_numpy()
+        rid, band, by, bx, rh, rw = (k.as_py() for k in key)
+        slots, at = np.unique((table.column("ty").to_numpy() - by * n) * n + table.column("tx").to_numpy() - bx * n, return_inverse=True)
+        ty, tx = by * n + slots // n, bx * n + slots % n
+        h, w = np.minimum(size, rh - ty * size), np.minimum(size, rw - tx * size)
+        stops = np.cumsum(h * w)
+        flat = np.full(stops[-1], placeholder)
         val = table.column("v").to_numpy().astype(np.float64)
-        block[pos] = np.where(np.isnan(val), placeholder, val)
-        ids = dict(raster_id=[rid], band=[band], ty=[ty], tx=[tx], h=[h], w=[w], rh=[rh], rw=[rw])
-        return tile_table(ids, [block])
+        flat[(stops - h * w)[at] + table.column("pos").to_numpy()] = np.where(np.isnan(val), placeholder, val)
+        m = len(slots)
+        ids = dict(raster_id=[rid] * m, band=[band] * m, ty=ty, tx=tx, h=h, w=w, rh=[rh] * m, rw=[rw] * m)
+        return tile_table(ids, np.split(flat, stops[:-1]))
 
     meta = freeze(meta.select("raster_id", "height", "width"))  # read here and for the grid of a fill
     dims = meta.select("raster_id", F.col("height").cast("int").alias("rh"),
@@ -145,7 +191,8 @@ def pixels_to_tiles(pixels: DataFrame, meta: DataFrame, size: int, fill: float |
         F.expr(f"cast((y % {size}) * least({size}, rw - (x div {size}) * {size}) + x % {size} as int)").alias("pos"),
         F.col("v").cast("double").alias("v"),
     )
-    tiles = placed.groupBy("raster_id", "band", "ty", "tx", "rh", "rw").applyInArrow(pack, TILE_SCHEMA)
+    block = [F.expr(f"{c} div {n}").cast("int").alias(f"_b{c}") for c in ("ty", "tx")]
+    tiles = placed.groupBy("raster_id", "band", *block, "rh", "rw").applyInArrow(pack, TILE_SCHEMA)
     return tiles if fill is None else fill_grid(tiles, meta, size, fill, bands)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.hashing import digest
 from rasterloom.functions.naming import patch_name
-from rasterloom.model import NODATA, PATCH_SCHEMA, list_column, list_rows, tile_grid
+from rasterloom.model import NODATA, PATCH_SCHEMA, list_column, list_rows, tile_batches, tile_grid
 from rasterloom.operators.prefix import hash_rank, prefix_sum
 from rasterloom.runtime import lookup_join
 
@@ -107,7 +107,7 @@ def patches_from_tiles(tiles: DataFrame, size: int) -> DataFrame:
     name = patch_name(F.col("ty"), F.col("tx"), F.ceil(F.col("rh") / size), F.ceil(F.col("rw") / size))
     named = tiles.select(F.concat_ws("/", "raster_id", name).alias("patch_id"),
                          (F.col("band") - 1).alias("channel"), "h", "w", "data")
-    return named.mapInArrow(pad, PATCH_SCHEMA)
+    return tile_batches(named).mapInArrow(pad, PATCH_SCHEMA)
 
 
 def unpack_patches(patches: DataFrame) -> DataFrame:

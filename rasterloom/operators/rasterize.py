@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels
 from rasterloom.functions.pointwise import mark_nodata
-from rasterloom.model import NODATA, TILE_SCHEMA, densify, fill_grid, tile_table, tiles_to_pixels
+from rasterloom.model import NODATA, TILE_SCHEMA, densify, fill_grid, tile_table, tiles_per_block, tiles_to_pixels
 from rasterloom.operators import focal, tiles
 from rasterloom.operators.overlay import CELL, overlay
 from rasterloom.runtime import freeze, lookup_join
@@ -204,8 +204,9 @@ def burn_tiles(crowns: DataFrame, meta: DataFrame, tile: int) -> DataFrame:
     """Tiles of 0 and 1 that hold a covered cell: 1 where the centre lies inside a polygon.
 
     Runs are cut at tile edges and become a rise at their first and a fall after their last cell. Rises
-    and falls of one place are summed map-side, so a tile's group has at most ``tile * (tile + 1)`` rows
-    however many polygons lie over it; a running sum along its rows paints it. Cells are never rows.
+    and falls of one place are summed map-side, so a tile has at most ``tile * (tile + 1)`` rows however many
+    polygons lie over it; a running sum along its rows paints it. Cells are never rows, and a group is a
+    block of tiles.
     """
     tx = F.explode(F.expr(f"sequence(cast(_c0 div {tile} as int), cast(_c1 div {tile} as int))"))
     cut = spans(crowns, meta).select("raster_id", "rh", "rw", F.expr(f"cast(y div {tile} as int)").alias("ty"), tx.alias("tx"),
@@ -217,15 +218,21 @@ def burn_tiles(crowns: DataFrame, meta: DataFrame, tile: int) -> DataFrame:
     ends = cut.select(*key, F.explode(F.array(step(first, 1), step(after, -1))).alias("e"))
     steps = ends.groupBy(*key, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
 
+    n = tiles_per_block(tile)
+
     def paint(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rid, ty, tx, rh, rw = (k.as_py() for k in key)
-        line = np.zeros(tile * (tile + 1), np.int64)
-        line[table.column("pos").to_numpy()] = table.column("d").to_numpy()
-        h, w = min(tile, rh - ty * tile), min(tile, rw - tx * tile)
-        block = np.cumsum(line.reshape(tile, tile + 1), axis=1)[:h, :w] > 0
-        return tile_table(dict(raster_id=[rid], band=[1], ty=[ty], tx=[tx], h=[h], w=[w], rh=[rh], rw=[rw]), [block.astype(np.float64).ravel()])
-
-    return steps.groupBy(*key).applyInArrow(paint, TILE_SCHEMA)
+        rid, by, bx, rh, rw = (k.as_py() for k in key)
+        slots, at = np.unique((table.column("ty").to_numpy() - by * n) * n + table.column("tx").to_numpy() - bx * n, return_inverse=True)
+        m, ty, tx = len(slots), by * n + slots // n, bx * n + slots % n
+        line = np.zeros((m, tile * (tile + 1)), np.int64)
+        line[at, table.column("pos").to_numpy()] = table.column("d").to_numpy()
+        covered = (np.cumsum(line.reshape(m, tile, tile + 1), axis=2) > 0).astype(np.float64)
+        h, w = np.minimum(tile, rh - ty * tile), np.minimum(tile, rw - tx * tile)
+        ids = dict(raster_id=[rid] * m, band=[1] * m, ty=ty, tx=tx, h=h, w=w, rh=[rh] * m, rw=[rw] * m)
+        return tile_table(ids, [c[:a, :b].ravel() for c, a, b in zip(covered, h, w)])
+
+    block = [F.expr(f"{c} div {n}").cast("int").alias(f"_b{c}") for c in ("ty", "tx")]
+    return steps.groupBy("raster_id", *block, "rh", "rw").applyInArrow(paint, TILE_SCHEMA)
 
 
 def burn(crowns: DataFrame, meta: DataFrame, tile: int = 256) -> DataFrame:

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pointwise import scale_to_unit
-from rasterloom.model import TILE_SCHEMA, cells, list_column, list_rows, tile_grid, tile_table
+from rasterloom.model import BLOCK_SIDE, TILE_SCHEMA, cells, list_rows, strip_batches, tile_batches, tile_grid, tile_table
 from rasterloom.operators.overlay import select_bands
-from rasterloom.runtime import lookup_join
+from rasterloom.runtime import freeze, lookup_join
 
 _AXES = [f"{g}_{c}" for g in "st" for c in ("height", "width", "x0", "y0", "px", "py")]
 _WINDOW = pa.schema([
     ("raster_id", pa.string()), ("band", pa.int32()), ("ty", pa.int32()), ("tx", pa.int32()), ("sy", pa.int64()), ("sx", pa.int64()),
-    ("sh", pa.int32()), ("sw", pa.int32()), *[(c, pa.float64()) for c in _AXES], ("data", pa.list_(pa.float64()))])
-_WINDOW_SCHEMA = ("raster_id string, band int, ty int, tx int, sy bigint, sx bigint, sh int, sw int, "
+    ("sh", pa.int32()), ("sw", pa.int32()), ("ky", pa.int32()), ("kx", pa.int32()), *[(c, pa.float64()) for c in _AXES], ("data", pa.list_(pa.float64()))])
+_WINDOW_SCHEMA = ("raster_id string, band int, ty int, tx int, sy bigint, sx bigint, sh int, sw int, ky int, kx int, "
                   + ", ".join(f"{c} double" for c in _AXES) + ", data array<double>")
 
 
@@ -111,70 +111,97 @@ def resample_tiles(tiles: DataFrame, source: DataFrame, target: DataFrame, size:
                    wanted: DataFrame | None = None, seen: bool = False, home: DataFrame | None = None) -> DataFrame:
     """Tiles of side ``size`` on the source grid as tiles of side ``out_size`` on the target grid.
 
-    Every source tile sends each target tile the part of it that weighs there; a target tile is two
-    matrix products. Cells are never rows. Values equal :func:`resample_bilinear`; target tiles that
+    Every source tile sends each target block the part of it that weighs there; a block is two matrix
+    products. A block is ``ky`` by ``kx`` target tiles: as many as keep it and the source cells below it within
+    ``BLOCK_SIDE`` a side, at least one. Cells are never rows. Values equal :func:`resample_bilinear`; target tiles that
     receive nothing are absent. ``wanted`` (raster_id, ty, tx) keeps other targets from being sent to; with
     ``home`` (raster_id, grid_id) its ids are those of the grids that the rasters go to.
     With ``seen``, a column counts the tile's cells that are neither missing nor 0 in some band.
     """
     names = ["height", "width", "x0", "y0", "px", "py"]
     number = lambda side, d: d.select("raster_id", *[F.col(c).cast("double").alias(f"{side}_{c}") for c in names])
-    placed = lookup_join(tiles, number("s", source).join(number("t", target), "raster_id"), "raster_id", "inner")
+    per_block = lambda size: F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SIDE) / (out_size * F.greatest(
+        F.lit(1.0), F.abs(F.col(f"t_{size}") / F.col(f"s_{size}")))))).cast("int")
+    pairs = freeze(number("s", source).join(number("t", target), "raster_id").withColumns({"ky": per_block("py"), "kx": per_block("px")}))
+    placed = tiles.join(pairs, "raster_id")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
+        axes = {}  # of a raster
         for batch in batches:
             rows = batch.drop_columns(["data"]).to_pylist()
             for row, flat in zip(rows, list_rows(batch.column(batch.schema.get_field_index("data")))):
-                keys, parts = [], []
-                ay, ax = _axes(row)
+                rid, ky, kx = row["raster_id"], row["ky"], row["kx"]
+                ay, ax = axes[rid] if rid in axes else axes.setdefault(rid, _axes(row))
                 y0, x0, block = row["ty"] * size, row["tx"] * size, flat.reshape(row["h"], row["w"])
                 (ya, yb), (xa, xb) = ay.targets(y0, y0 + row["h"]), ax.targets(x0, x0 + row["w"])
-                for ty in range(ya // out_size, -(-yb // out_size)):
-                    sa, sb = ay.sources(ty * out_size, min((ty + 1) * out_size, ay.n_target))
+                high, wide, numbers = out_size * ky, out_size * kx, [row[c] for c in _AXES]
+                for ty in range(ya // high, -(-yb // high)):
+                    sa, sb = ay.sources(ty * high, min((ty + 1) * high, ay.n_target))
                     sa, sb = max(sa, y0), min(sb, y0 + row["h"])
-                    for tx in range(xa // out_size, -(-xb // out_size)):
-                        ca, cb = ax.sources(tx * out_size, min((tx + 1) * out_size, ax.n_target))
+                    for tx in range(xa // wide, -(-xb // wide)):
+                        ca, cb = ax.sources(tx * wide, min((tx + 1) * wide, ax.n_target))
                         ca, cb = max(ca, x0), min(cb, x0 + row["w"])
                         if sa < sb and ca < cb:
-                            keys.append((row["raster_id"], row["band"], ty, tx, sa, ca, sb - sa, cb - ca, *(row[c] for c in _AXES)))
-                            parts.append(block[sa - y0:sb - y0, ca - x0:cb - x0].ravel())
-                if keys:
-                    lists = [pa.array(v, f.type) for v, f in zip(zip(*keys), _WINDOW)]
-                    yield pa.RecordBatch.from_arrays([*lists, list_column(parts)], schema=_WINDOW)
+                            yield ((rid, row["band"], ty, tx, sa, ca, sb - sa, cb - ca, ky, kx, *numbers),
+                                   block[sa - y0:sb - y0, ca - x0:cb - x0].ravel())
 
     def assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rid, ty, tx = (k.as_py() for k in key)
+        rid, by, bx = (k.as_py() for k in key)
         bands = np.asarray(table.column("band"))
-        each = {int(b): one(rid, int(b), ty, tx, table.filter(pa.array(bands == b))) for b in np.unique(bands)}
-        packed = pa.concat_tables([pack for pack, _ in each.values()])
-        if not seen:
-            return packed
-        any_band = np.any([np.nan_to_num(v) != 0 for _, v in each.values()], axis=0)
-        return packed.append_column("seen", pa.array([int(any_band.sum())] * len(each), pa.int64()))
-
-    def one(rid: str, band: int, ty: int, tx: int, table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-        ay, ax = _axes({c: table.column(c)[0].as_py() for c in _AXES})
-        ys, xs = ((t * out_size, min((t + 1) * out_size, a.n_target)) for t, a in ((ty, ay), (tx, ax)))
+        ids = {c: [] for c in ("raster_id", "band", "ty", "tx", "h", "w", "rh", "rw")}
+        rows, counts, found = [], [], {}
+        for b in np.unique(bands):
+            for (ty, tx), made in one(by, bx, table.filter(pa.array(bands == b))):
+                found.setdefault((ty, tx), []).append((int(b), *made))
+        for (ty, tx), layers in found.items():
+            some = int(np.any([np.nan_to_num(v) != 0 for _, v, _, _ in layers], axis=0).sum()) if seen else 0
+            for band, v, rh, rw in layers:
+                for c, x in zip(ids, (rid, band, ty, tx, *v.shape, rh, rw)):
+                    ids[c].append(x)
+                rows.append(v.ravel())
+                counts.append(some)
+        packed = tile_table(ids, rows)
+        return packed.append_column("seen", pa.array(counts, pa.int64())) if seen else packed
+
+    def one(by: int, bx: int, table: pa.Table) -> Iterator[tuple]:
+        """The block's tiles that a window reaches."""
+        first = {c: table.column(c)[0].as_py() for c in ("ky", "kx", *_AXES)}
+        ay, ax = _axes(first)
+        high, wide = out_size * first["ky"], out_size * first["kx"]
+        ys, xs = ((t * side, min((t + 1) * side, a.n_target)) for t, side, a in ((by, high, ay), (bx, wide, ax)))
         (ya, yb), (xa, xb) = ay.sources(*ys), ax.sources(*xs)
-        block = np.full((yb - ya, xb - xa), np.nan)
+        block, sent = np.full((yb - ya, xb - xa), np.nan), np.zeros((yb - ya, xb - xa), bool)
         for sy, sx, sh, sw, flat in zip(*(table.column(c).to_pylist() for c in ("sy", "sx", "sh", "sw")), list_rows(table.column("data"))):
             block[sy - ya:sy - ya + sh, sx - xa:sx - xa + sw] = flat.reshape(sh, sw)
+            sent[sy - ya:sy - ya + sh, sx - xa:sx - xa + sw] = True
         wy, wx, there = ay.weights(ys, (ya, yb)), ax.weights(xs, (xa, xb)), ~np.isnan(block)
         mass = wy @ there.astype(float) @ wx.T
         value = wy @ np.where(there, block, 0.0) @ wx.T
         with np.errstate(invalid="ignore", divide="ignore"):
             out = np.where(mass > 0, value / mass, np.nan)
-        ids = dict(raster_id=[rid], band=[band], ty=[ty], tx=[tx], h=[ys[1] - ys[0]], w=[xs[1] - xs[0]], rh=[ay.n_target], rw=[ax.n_target])
-        return tile_table(ids, [out.ravel()]), out
-
-    windows = placed.select("raster_id", "band", "ty", "tx", "h", "w", *_AXES, "data").mapInArrow(cut, _WINDOW_SCHEMA)
-    if wanted is not None and home is not None:
-        to = lookup_join(windows, home.select("raster_id", "grid_id"), "raster_id", "inner")
-        listed = wanted.select(F.col("raster_id").alias("grid_id"), "ty", "tx")
-        windows = to.join(listed, ["grid_id", "ty", "tx"], "left_semi").select(*_WINDOW.names)
-    elif wanted is not None:
-        windows = windows.join(wanted.select("raster_id", "ty", "tx"), ["raster_id", "ty", "tx"], "left_semi").select(*_WINDOW.names)
-    return windows.groupBy("raster_id", "ty", "tx").applyInArrow(assemble, TILE_SCHEMA + (", seen bigint" if seen else ""))
+        for y in range(*ys, out_size):
+            y1 = min(y + out_size, ys[1])
+            sa, sb = ay.sources(y, y1)
+            for x in range(*xs, out_size):
+                x1 = min(x + out_size, xs[1])
+                ca, cb = ax.sources(x, x1)
+                if sent[sa - ya:sb - ya, ca - xa:cb - xa].any():
+                    yield (y // out_size, x // out_size), (out[y - ys[0]:y1 - ys[0], x - xs[0]:x1 - xs[0]], ay.n_target, ax.n_target)
+
+    windows = tile_batches(placed).select("raster_id", "band", "ty", "tx", "h", "w", "ky", "kx", *_AXES, "data").mapInArrow(
+        lambda batches: strip_batches(cut(batches), _WINDOW), _WINDOW_SCHEMA)
+    schema = TILE_SCHEMA + (", seen bigint" if seen else "")
+    make = lambda w: w.groupBy("raster_id", "ty", "tx").applyInArrow(assemble, schema)
+    if wanted is None:
+        return make(windows)
+    grid = F.col("raster_id") if home is None else F.col("grid_id")
+    of = lambda d: (d if home is None else lookup_join(d, home.select("raster_id", "grid_id"), "raster_id", "inner")).withColumn("_grid", grid)
+    tiles_in = wanted.select(F.col("raster_id").alias("_grid"), "ty", "tx")
+    blocks = tiles_in.join(freeze(of(pairs).select("_grid", "ky", "kx").distinct()), "_grid").select(
+        "_grid", "ky", "kx", F.expr("ty div ky").cast("int").alias("ty"), F.expr("tx div kx").cast("int").alias("tx"))
+    needed = of(windows).join(blocks, ["_grid", "ky", "kx", "ty", "tx"], "left_semi").select(*_WINDOW.names)
+    kept = of(make(needed)).join(tiles_in, ["_grid", "ty", "tx"], "left_semi")
+    return kept.select(*[c.split()[0] for c in schema.split(", ")])
 
 
 def complete(tiles: DataFrame, meta: DataFrame, size: int, bands: tuple[int, ...] = (1,)) -> DataFrame:

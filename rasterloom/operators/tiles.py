@@ -1,7 +1,8 @@
 """Neighbourhood operators on the tile form: halo exchange followed by a block kernel.
 
 Every tile sends each neighbour only the strip that neighbour needs, so the shuffle is
-``(1 + 2r/T)`` times the data per filtered axis, and a group is never larger than one haloed tile.
+``(1 + 2r/T)`` times the data per filtered axis. Small tiles are computed together, as one block of up to
+``BLOCK_SIDE`` cells a side; a group is never larger than one haloed block or tile.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels
-from rasterloom.model import TILE_SCHEMA, list_column, list_rows, tile_table
+from rasterloom.model import TILE_SCHEMA, list_rows, strip_batches, tile_batches, tile_table, tiles_per_block
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -39,33 +40,30 @@ def _targets(start: int, stop: int, before: int, after: int, size: int, length:
             yield t, lo, hi
 
 
-def halo_exchange(tiles: DataFrame, size: int, ry: tuple[int, int], rx: tuple[int, int]) -> DataFrame:
+def halo_exchange(tiles: DataFrame, size: int, ry: tuple[int, int], rx: tuple[int, int], block: int = 1) -> DataFrame:
     """Strips addressed to the tile that needs them; ``own`` marks the tile's own block.
 
     ``ry`` and ``rx`` are the cells needed before and after the tile; radii above the tile size
-    reach over several rings of neighbours.
+    reach over several rings of neighbours. With ``block``, strips go to (and ``ty``, ``tx`` number)
+    squares of that many tiles a side, and every tile of a square is ``own``.
     """
+    side = size * block
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
         for batch in batches:
             cols = {n: batch.column(n).to_pylist() for n in batch.schema.names if n != "data"}
-            blocks = list_rows(batch.column("data"))
-            keys, parts = [], []
-            for i, flat in enumerate(blocks):
+            for i, flat in enumerate(list_rows(batch.column("data"))):
                 ty, tx, h, w = (cols[c][i] for c in ("ty", "tx", "h", "w"))
                 rh, rw = cols["rh"][i], cols["rw"][i]
                 y0, x0 = ty * size, tx * size
-                block = flat.reshape(h, w)
-                for ny, a, b in _targets(y0, y0 + h, *ry, size, rh):
-                    for nx, c, d in _targets(x0, x0 + w, *rx, size, rw):
-                        keys.append((cols["raster_id"][i], cols["band"][i], ny, nx, rh, rw, a, c, b - a, d - c,
-                                     ny == ty and nx == tx))
-                        parts.append(block[a - y0:b - y0, c - x0:d - x0].ravel())
-            if keys:
-                lists = [pa.array(v, f.type) for v, f in zip(zip(*keys), _STRIP_ARROW)]
-                yield pa.RecordBatch.from_arrays([*lists, list_column(parts)], schema=_STRIP_ARROW)
+                grid = flat.reshape(h, w)
+                for ny, a, b in _targets(y0, y0 + h, *ry, side, rh):
+                    for nx, c, d in _targets(x0, x0 + w, *rx, side, rw):
+                        own = ny == ty // block and nx == tx // block
+                        yield ((cols["raster_id"][i], cols["band"][i], ny, nx, rh, rw, a, c, b - a, d - c, own),
+                               grid[a - y0:b - y0, c - x0:d - x0].ravel())
 
-    return tiles.mapInArrow(cut, _STRIP_SCHEMA)
+    return tile_batches(tiles).mapInArrow(lambda batches: strip_batches(strips(batches), _STRIP_ARROW), _STRIP_SCHEMA)
 
 
 def _pad(block: np.ndarray, widths, edge: str | float) -> np.ndarray:
@@ -76,32 +74,36 @@ def _pad(block: np.ndarray, widths, edge: str | float) -> np.ndarray:
 
 def map_tiles(tiles: DataFrame, kernel: Kernel, size: int, ry: tuple[int, int] = (0, 0),
               rx: tuple[int, int] = (0, 0), edge: str | float = "mirror") -> DataFrame:
-    """Apply ``kernel`` to every tile with its halo; the kernel returns the tile's own cells.
+    """Apply ``kernel`` to every tile (or block of small tiles) with its halo; the kernel returns the own cells.
 
     ``edge`` says how the halo outside the raster is made: ``"mirror"`` repeats the border
     outwards, a number is used as a constant. Tiles absent from the table count as missing (NaN)
     and get no output.
     """
 
+    n = tiles_per_block(size)
+    side = n * size
+
     def assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rid, band, ty, tx, rh, rw = (k.as_py() for k in key)
-        empty = dict(raster_id=[], band=[], ty=[], tx=[], h=[], w=[], rh=[], rw=[])
-        if not any(table.column("own").to_pylist()):
-            return tile_table(empty, [])
-        y0, x0 = ty * size, tx * size
-        y1, x1 = min(y0 + size, rh), min(x0 + size, rw)
+        places = [table.column(c).to_pylist() for c in ("sy", "sx", "sh", "sw")]
+        mine = [p for p, own in zip(zip(*places), table.column("own").to_pylist()) if own]
+        if not mine:
+            return tile_table({c: [] for c in ("raster_id", "band", "ty", "tx", "h", "w", "rh", "rw")}, [])
+        y0, x0 = ty * side, tx * side
+        y1, x1 = min(y0 + side, rh), min(x0 + side, rw)
         ay, ax = max(0, y0 - ry[0]), max(0, x0 - rx[0])
         by, bx = min(rh, y1 + ry[1]), min(rw, x1 + rx[1])
         block = np.full((by - ay, bx - ax), np.nan)
-        places = [table.column(c).to_pylist() for c in ("sy", "sx", "sh", "sw")]
         for sy, sx, sh, sw, flat in zip(*places, list_rows(table.column("data"))):
             block[sy - ay:sy - ay + sh, sx - ax:sx - ax + sw] = flat.reshape(sh, sw)
         widths = ((ry[0] - (y0 - ay), ry[1] - (by - y1)), (rx[0] - (x0 - ax), rx[1] - (bx - x1)))
         out = kernel(_pad(block, widths, edge))
-        ids = dict(raster_id=[rid], band=[band], ty=[ty], tx=[tx], h=[y1 - y0], w=[x1 - x0], rh=[rh], rw=[rw])
-        return tile_table(ids, [out.ravel()])
+        m, (sy, sx, sh, sw) = len(mine), zip(*mine)
+        ids = dict(raster_id=[rid] * m, band=[band] * m, ty=[y // size for y in sy], tx=[x // size for x in sx], h=sh, w=sw, rh=[rh] * m, rw=[rw] * m)
+        return tile_table(ids, [out[y - y0:y - y0 + h, x - x0:x - x0 + w].ravel() for y, x, h, w in mine])
 
-    strips = halo_exchange(tiles, size, ry, rx)
+    strips = halo_exchange(tiles, size, ry, rx, n)
     return strips.groupBy("raster_id", "band", "ty", "tx", "rh", "rw").applyInArrow(assemble, TILE_SCHEMA)
 
 

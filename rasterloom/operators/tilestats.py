@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rasterloom.model import NODATA, list_rows, tile_grid
+from rasterloom.model import NODATA, list_rows, tile_batches, tile_grid, tiles_per_block
 from rasterloom.operators import selection, stats
 from rasterloom.operators.stats import RASTER
 from rasterloom.runtime import freeze, lookup_join
@@ -50,7 +50,7 @@ def per_tile(tiles: DataFrame, keys: list[str], arrays: list[str], kernel: Calla
                              from_pandas=True) for j, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), *made], names=names)
 
-    return chosen.mapInArrow(run, StructType([*(chosen.schema[k] for k in keys), *fields]))
+    return tile_batches(chosen).mapInArrow(run, StructType([*(chosen.schema[k] for k in keys), *fields]))
 
 
 def _one(*values) -> tuple:
@@ -240,12 +240,20 @@ def nodata_fractions(mask: DataFrame, image: DataFrame, meta: DataFrame, size: i
     lost = per_tile(mask, place, ["data"], lambda m: _one((m == NODATA).sum()), "_nodata bigint")
     bits = per_tile(image, place, ["data"], lambda d: ([np.packbits(~np.isnan(d) & (d != 0)).tobytes()],), "bits binary")
 
-    def unite(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
-        seen = int(np.unpackbits(np.bitwise_or.reduce(rows)).sum())
-        return pa.table({**{n: pa.array([k.as_py()], table.schema.field(n).type) for n, k in zip(place, key)}, "_seen": pa.array([seen], pa.int64())})
+    n = tiles_per_block(size)
 
-    seen = bits.groupBy(*place).applyInArrow(unite, "raster_id string, ty int, tx int, _seen bigint")
+    def unite(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for at, row in zip(zip(table.column("ty").to_pylist(), table.column("tx").to_pylist()), table.column("bits").to_pylist()):
+            row = np.frombuffer(row, np.uint8)
+            found[at] = found[at] | row if at in found else row
+        ty, tx = zip(*found)
+        seen = [int(np.unpackbits(v).sum()) for v in found.values()]
+        return pa.table({"raster_id": pa.array([key[0].as_py()] * len(ty), pa.string()), "ty": pa.array(ty, pa.int32()),
+                         "tx": pa.array(tx, pa.int32()), "_seen": pa.array(seen, pa.int64())})
+
+    block = [F.expr(f"{c} div {n}").cast("int").alias(f"_b{c}") for c in ("ty", "tx")]
+    seen = bits.groupBy("raster_id", *block).applyInArrow(unite, "raster_id string, ty int, tx int, _seen bigint")
     area = size * size
     return (
         tile_grid(meta, size).select(*place).join(_summed(lost, place), place, "left").join(seen, place, "left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pointwise import soft_blend
-from rasterloom.model import NODATA, list_column, list_rows, pixels_to_tiles
+from rasterloom.model import NODATA, list_column, list_rows, pixels_to_tiles, tile_batches
 from rasterloom.operators import patches as pt, rasterize, resample, tiles, tilestats
 from rasterloom.operators.augment import MASK_CHANNEL
 from rasterloom.operators.ground import METHODS
@@ -158,7 +158,7 @@ def blended_tiles(mask: DataFrame, dsm: DataFrame, dtm: DataFrame | None, p: Pre
         names = [*names, "slope"]
     arrays = "mask array<double>, dsm array<double>, ndsm array<double>, conf array<double>, final array<double>"
     run = lambda batches: _numpy_blend(p, names, batches)
-    return joined.mapInArrow(run, f"raster_id string, ty int, tx int, h int, w int, rh int, rw int, {arrays}, n_nodata double")
+    return tile_batches(joined).mapInArrow(run, f"raster_id string, ty int, tx int, h int, w int, rh int, rw int, {arrays}, n_nodata double")
 
 
 def _scaled_heights(blended: DataFrame, cap: float) -> DataFrame:

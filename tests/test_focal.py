@@ -134,3 +134,18 @@ def test_rejected_parameters(spark, loaded):
     for bad in (dict(method="dtm"), dict(method="local_min", dtm=px), dict(method="guess")):
         with pytest.raises(ValueError):
             ground.detect(px, meta, **bad)
+
+
+def test_small_tiles_share_one_block(spark):
+    """One kernel call for 400 tiles of side 2, and batches of bounded size for a task's Python."""
+    import pyarrow as pa
+
+    from rasterloom.model import BATCH_BYTES, pixels_to_tiles, strip_batches
+
+    g = np.arange(1600.0).reshape(40, 40)
+    packed = pixels_to_tiles(pixels_of(spark, {"r": g}), meta_of(spark, {"r": g.shape}), 2)
+    done = tiles.map_tiles(packed, lambda b: np.full(b.shape, float(b.size)), 2).collect()
+    assert len(done) == 400 and {v for r in done for v in r.data} == {1600.0}
+    schema = pa.schema([("k", pa.int32()), ("data", pa.list_(pa.float64()))])
+    sizes = [b.num_rows for b in strip_batches((((k,), np.zeros(1 << 17)) for k in range(30)), schema)]
+    assert sum(sizes) == 30 and max(sizes) * (1 << 20) <= BATCH_BYTES
