@@ -8,7 +8,7 @@ from rasterloom.catalog import sqlparts as s
 from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions import naming, pointwise as pw
-from rasterloom.model import densify, pixels_to_tiles, tiles_to_pixels
+from rasterloom.model import cell_parts, densify, pixels_to_tiles, tiles_to_pixels
 from rasterloom.operators import focal, ground, mosaic, overlay as ov, resample, scoring, stats, tiles, tilestats
 from rasterloom.operators.prefix import prefix_sum
 from rasterloom.operators.rasterize import target_grid
@@ -515,7 +515,7 @@ def _(spark, sf):
 
 @check("win1_gaussian_blur_pixels", _BLUR_SQL)
 def _(spark, sf):
-    soft = focal.gaussian_blur(_dims(spark, sf, t.surface(spark, sf)), 1.5)
+    soft = focal.gaussian_blur(_dims(spark, sf, t.surface(spark, sf)), 1.5, parts=cell_parts(t.meta(spark, sf)))
     return densify(soft, t.meta(spark, sf), 0.0).withColumn("v", r6("v"))
 
 
@@ -529,7 +529,7 @@ def _(spark, sf):
 
 @check("win2_min_filter_pixels", _MIN_SQL)
 def _(spark, sf):
-    return focal.min_filter(_dims(spark, sf, _dsm(spark, sf)), 8).select("raster_id", "y", "x", "v")
+    return focal.min_filter(_dims(spark, sf, _dsm(spark, sf)), 8, parts=cell_parts(t.meta(spark, sf))).select("raster_id", "y", "x", "v")
 
 
 _LOW = (*s.min_filtered("m5", "dsm", 5), *s.min_filtered("m40", "dsm", 40))
@@ -549,7 +549,7 @@ def _(spark, sf):
 
 @check("win3_local_min_surface_pixels", _LOW_SQL)
 def _(spark, sf):
-    low = focal.local_min_surface(_dims(spark, sf, _dsm(spark, sf)), [5, 40])
+    low = focal.local_min_surface(_dims(spark, sf, _dsm(spark, sf)), [5, 40], parts=cell_parts(t.meta(spark, sf)))
     return low.select("raster_id", "y", "x", r6("v").alias("v"))
 
 
@@ -563,7 +563,7 @@ def _(spark, sf):
 
 @check("win4_gradient_magnitude_pixels", _SLOPE_SQL)
 def _(spark, sf):
-    steep = focal.gradient_magnitude(_dims(spark, sf, t.surface(spark, sf)))
+    steep = focal.gradient_magnitude(_dims(spark, sf, t.surface(spark, sf)), parts=cell_parts(t.meta(spark, sf)))
     return densify(steep, t.meta(spark, sf), 0.0).withColumn("v", r6("v"))
 
 

@@ -9,7 +9,7 @@ from rasterloom.catalog.rasters import BASE, HT, TILE, _LOW, _dsm, _gather
 from rasterloom.catalog.registry import check, r6, rounded
 from rasterloom.catalog.sqlparts import sql
 from rasterloom.functions.pointwise import height_confidence, soft_blend
-from rasterloom.model import densify, pixels_to_tiles, zip_tiles
+from rasterloom.model import cell_parts, densify, pixels_to_tiles, zip_tiles
 from rasterloom.operators import focal, overlay as ov, patches as pt, rasterize as rz, stats, tiles, tilestats
 from rasterloom.plans.preprocess import PreprocessParams, preprocess
 from rasterloom.sources import tables as t
@@ -222,9 +222,10 @@ def ground_blend_counts(spark, sf):
 @check("ground_blend_counts_pixels", FLAGSHIP_SQL)
 def _(spark, sf):
     dsm = _dsm(spark, sf)
-    low = focal.min_filter(focal.with_dims(dsm, t.meta(spark, sf)), 7)
-    mask = t.soft_mask(spark, sf).withColumnRenamed("mask", "v")
-    return _blend_counts(ov.overlay(dsm.withColumnRenamed("v", "dsm"), low=low, mask=mask))
+    parts = cell_parts(t.meta(spark, sf))
+    low = focal.min_filter(focal.with_dims(dsm, t.meta(spark, sf)), 7, parts=parts).repartition(parts, "raster_id", "y")
+    mask = t.soft_mask(spark, sf).withColumnRenamed("mask", "v").repartition(parts, "raster_id", "y")
+    return _blend_counts(ov.overlay(dsm.withColumnRenamed("v", "dsm"), low=low, mask=mask))  # dealt like dsm, so not shuffled again
 
 
 _PRE = PreprocessParams(target_gsd=1.0, sigma=1.5, nodata_threshold=0.05, windows=[5, 40], method="local_min",

@@ -24,6 +24,9 @@ NODATA = 255.0
 #: Small tiles that lie together share one Python group, up to a block of this side; a call per tile costs more than its cells.
 BLOCK_SIDE = 512
 
+#: Cells as rows in one partition.
+PART_CELLS = 1 << 20
+
 #: Bytes of tiles that a task's Python holds in one batch, in or out (a single larger tile is one batch).
 BATCH_BYTES = 8 << 20
 
@@ -47,27 +50,35 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def cells(meta: DataFrame) -> DataFrame:
-    """Every cell of every raster in ``meta``.
+def cell_parts(meta: DataFrame) -> int:
+    """Partitions for one row per cell of the rasters in ``meta``: at most ``PART_CELLS`` cells each on
+    average, so that a task's memory does not grow with the rasters."""
+    total = meta.agg(F.sum(F.col("height") * F.col("width"))).first()[0] or 0
+    return max(shuffle_width(meta.sparkSession), -(-int(total) // PART_CELLS))
+
+
+def cells(meta: DataFrame, parts: int | None = None) -> DataFrame:
+    """Every cell of every raster in ``meta``, dealt by raster and row.
 
     Rows are generated first and spread by number before the columns are generated, so one very
     large raster does not expand inside one task (AQE never coalesces a numbered repartition).
     """
+    meta = freeze(meta.select("raster_id", "height", "width"))
     lines = (
         meta.filter("height > 0 and width > 0")
-        .select("raster_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-        .repartition(shuffle_width(meta.sparkSession), "raster_id", "y")
-    )
-    return lines.select(
-        "raster_id",
-        F.col("y").cast("bigint").alias("y"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("width") - 1)).alias("x"),
+        .select("raster_id", "width", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height") - 1)).alias("y"))
+        .repartition(parts or cell_parts(meta), "raster_id", "y")
     )
+    return lines.select("raster_id", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("width") - 1)).alias("x"))
 
 
 def densify(pixels: DataFrame, meta: DataFrame, fill: float | None = None) -> DataFrame:
-    """Single-band pixels on the complete grid; absent cells get ``fill``."""
-    full = cells(meta).join(pixels.select("raster_id", "y", "x", "v"), ["raster_id", "y", "x"], "left")
+    """Single-band pixels on the complete grid; absent cells get ``fill``. Both sides are dealt by raster and
+    row into as many partitions as the grid's size asks for, and the cells are not shuffled again to meet."""
+    meta = freeze(meta.select("raster_id", "height", "width"))
+    parts = cell_parts(meta)
+    found = pixels.select("raster_id", "y", "x", "v").repartition(parts, "raster_id", "y")
+    full = cells(meta, parts).join(found, ["raster_id", "y", "x"], "left")
     return full if fill is None else full.withColumn("v", F.coalesce("v", F.lit(float(fill))))
 
 

@@ -7,7 +7,7 @@ Inputs carry the raster's ``height`` and ``width``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,19 +17,34 @@ from rasterloom.runtime import lookup_join
 KEY = ["raster_id"]
 
 
+#: Cells of a line that are computed together, at least; eight radii if these are more.
+LINE = 256
+
+
 def with_dims(pixels: DataFrame, meta: DataFrame) -> DataFrame:
     return lookup_join(pixels, meta.select("raster_id", "height", "width"), "raster_id", "inner")
 
 
-def spread(df: DataFrame, axis: str, length: str, weights: dict[str, list[float]], keys: list[str]) -> DataFrame:
+def _deal(df: DataFrame, axis: str, first: Column, last: Column, side: int, keys: list[str], parts: int | None) -> DataFrame:
+    """Send every row to the blocks ``_b`` of its line that hold a position of [first, last], as the only
+    exchange: what is grouped or ordered by block and line afterwards stays in its partition. ``parts`` keeps
+    a partition's size from growing with the raster (see :func:`rasterloom.model.cell_parts`)."""
+    other = "x" if axis == "y" else "y"
+    sent = df.withColumn("_b", F.explode(F.sequence(F.floor(first / side), F.floor(last / side))))
+    return sent.repartition(*([parts] if parts else []), *keys, other, "_b")
+
+
+def spread(df: DataFrame, axis: str, length: str, weights: dict[str, list[float]], keys: list[str], parts: int | None = None) -> DataFrame:
     """Send every cell along one axis to the cells whose window covers it and sum there.
 
     Mirrored borders are handled at the sender: a cell also sends as each of its mirror images
-    that lies within reach. The sums combine on the map side. ``weights`` maps every output column
-    to its taps; a column of that name is weighed if there is one, else ``v``.
+    that lies within reach. A cell is shuffled once per block of its line that it reaches, and meets its
+    targets there. ``weights`` maps every output column to its taps; a column of that name is weighed if
+    there is one, else ``v``.
     """
     taps = len(next(iter(weights.values())))
     r = taps // 2
+    side = max(LINE, 8 * r)
     other = "x" if axis == "y" else "y"
     n, at = F.col(length), F.col(axis)
     # images repeat every 2n cells; only as many as the radius can reach
@@ -37,84 +52,67 @@ def spread(df: DataFrame, axis: str, length: str, weights: dict[str, list[float]
     images = F.flatten(F.transform(reps, lambda k: F.array(at + 2 * n * k, 2 * n * k - 1 - at)))
     near = F.filter(images, lambda q: (q >= -r) & (q < n + r))
     df = df.withColumn("_q", F.explode(F.when((at >= r) & (at < n - r), F.array(at)).otherwise(near)))
-    to = F.sequence(F.greatest(F.lit(0), F.col("_q") - r), F.least(n - 1, F.col("_q") + r))
-    sent = df.withColumn("_t", F.explode(to))
+    first, last = F.greatest(F.lit(0), F.col("_q") - r), F.least(n - 1, F.col("_q") + r)
+    dealt = _deal(df, axis, first, last, side, keys, parts)
+    to = F.sequence(F.greatest(first, F.col("_b") * side), F.least(last, F.col("_b") * side + (side - 1)))
+    sent = dealt.withColumn("_t", F.explode(to))
     tap = (F.col("_q") - F.col("_t") + r + 1).cast("int")
     pick = lambda ws: F.element_at(F.array(*[F.lit(float(w)) for w in ws]), tap)
     return (
-        sent.groupBy(*keys, "height", "width", F.col("_t").cast("bigint").alias(axis), other)
+        sent.groupBy(*keys, "height", "width", "_b", F.col("_t").cast("bigint").alias(axis), other)
         .agg(*[F.sum(pick(ws) * F.col(name if name in df.columns else "v")).alias(name)
-               for name, ws in weights.items()])
+               for name, ws in weights.items()]).drop("_b")
     )
 
 
-def gaussian_blur(pixels: DataFrame, sigma: float, keys: list[str] = KEY) -> DataFrame:
+def gaussian_blur(pixels: DataFrame, sigma: float, keys: list[str] = KEY, parts: int | None = None) -> DataFrame:
     """Separable blur. Absent and missing cells count as 0 and send nothing; cells no value reaches
     are absent from the result (their blurred value is 0)."""
     w = kernels.gaussian_weights(sigma)
     lit = pixels.filter("v <> 0").select(*keys, "height", "width", "y", "x", "v")
-    down = spread(lit, "y", "height", {"v": w}, keys)
-    return spread(down, "x", "width", {"v": w}, keys)
+    down = spread(lit, "y", "height", {"v": w}, keys, parts)
+    return spread(down, "x", "width", {"v": w}, keys, parts)
 
 
-def gradient_magnitude(pixels: DataFrame, keys: list[str] = KEY) -> DataFrame:
+def gradient_magnitude(pixels: DataFrame, keys: list[str] = KEY, parts: int | None = None) -> DataFrame:
     """Sobel magnitude; cells with no neighbour value are absent (their slope is 0)."""
     smooth, diff = [1.0, 2.0, 1.0], [-1.0, 0.0, 1.0]
     src = pixels.filter("v <> 0").select(*keys, "height", "width", "y", "x", "v")
-    down = spread(src, "y", "height", {"gx": smooth, "gy": diff}, keys)
-    both = spread(down, "x", "width", {"gx": diff, "gy": smooth}, keys)
+    down = spread(src, "y", "height", {"gx": smooth, "gy": diff}, keys, parts)
+    both = spread(down, "x", "width", {"gx": diff, "gy": smooth}, keys, parts)
     return both.withColumn("v", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).drop("gx", "gy")
 
 
-def _min_along(df: DataFrame, axis: str, length: str, window: int, keys: list[str]) -> DataFrame:
-    """Sliding minimum along one axis of a complete grid.
+def _min_along(df: DataFrame, axis: str, length: str, windows: dict[str, tuple[str, int]], keys: list[str], parts: int | None) -> DataFrame:
+    """Sliding minima along one axis; ``windows`` maps every output column to its source and window.
 
-    Lines are cut into blocks of one window length. Running minima inside a block (from both ends)
-    are sent to the cell that needs them: a window is the tail of one block and the head of the
-    next. Windows and groups are bounded by the window length, whatever the raster size.
+    Lines are cut into blocks with the halo of the widest window; frames and groups are bounded by a
+    block, whatever the raster size. All windows share one exchange and one sort.
     """
-    lo, hi = window // 2, window - window // 2 - 1
+    before, after = max(w // 2 for _, w in windows.values()), max(w - w // 2 - 1 for _, w in windows.values())
+    side = max(LINE, 8 * (before + after))
     other = "x" if axis == "y" else "y"
-    at, n = F.col(axis), F.col(length)
-    cut = df.withColumn("_b", F.floor(at / window))
-    line = W.partitionBy(*keys, other, "_b")
-    head = F.min("v").over(line.orderBy(F.col(axis)).rowsBetween(W.unboundedPreceding, 0))
-    tail = F.min("v").over(line.orderBy(F.col(axis).desc()).rowsBetween(W.unboundedPreceding, 0))
-    runs = cut.select(*keys, "height", "width", axis, other, "_b", head.alias("_h"), tail.alias("_t"))
-    last = F.when(  # the line's end also answers the cells whose window would pass it
-        at == n - 1,
-        F.transform(
-            F.filter(F.sequence(n - hi, n), lambda t: (t < n) & (t >= 0) & (F.floor((t - lo) / window) < F.floor((n - 1) / window))),
-            lambda t: F.struct(t.alias("to"), F.col("_h").alias("m"))),
-    ).otherwise(F.array().cast("array<struct<to:bigint,m:double>>"))
-    tail_to = F.array(F.struct((at + lo).alias("to"), F.col("_t").alias("m")))
-    head_to = F.array(F.struct((at - hi).alias("to"), F.col("_h").alias("m")))
-    # the start of the line: windows that begin before it are answered by heads alone
-    sends = F.concat(tail_to, head_to, last).cast("array<struct<to:bigint,m:double>>")
-    return (
-        runs.select(*keys, "height", "width", other, F.explode(sends).alias("_s"), n.alias("_n"))
-        .filter("_s.to >= 0 and _s.to < _n")
-        .groupBy(*keys, "height", "width", F.col("_s.to").alias(axis), other)
-        .agg(F.min("_s.m").alias("v"))
-    )
+    at = F.col(axis)
+    dealt = _deal(df, axis, F.greatest(F.lit(0), at - after), F.least(F.col(length) - 1, at + before), side, keys, parts)
+    line = W.partitionBy(*keys, other, "_b").orderBy(axis)
+    frame = lambda w: line.rangeBetween(-(w // 2), w - w // 2 - 1)
+    lows = [F.min(source).over(frame(w)).alias(name) for name, (source, w) in windows.items()]
+    return dealt.select(*keys, "height", "width", "y", "x", "_b", *lows).filter(F.floor(at / side) == F.col("_b")).drop("_b")
 
 
-def min_filter(pixels: DataFrame, window: int, keys: list[str] = KEY) -> DataFrame:
+def min_filter(pixels: DataFrame, window: int, keys: list[str] = KEY, parts: int | None = None) -> DataFrame:
     """Minimum over ``[i - window//2, i + window - window//2 - 1]`` in both directions, clipped to
     the raster (equal to mirrored edges). Needs every grid cell; missing cells hold NULL."""
+    return local_min_surface(pixels, [window], keys, parts)
+
+
+def local_min_surface(pixels: DataFrame, windows: list[int], keys: list[str] = KEY, parts: int | None = None) -> DataFrame:
+    """Cell-wise mean of several minimum filters; NULL where nothing is in reach. Two exchanges."""
     grid = pixels.select(*keys, "height", "width", "y", "x", "v")
-    down = _min_along(grid, "y", "height", window, keys)
-    return _min_along(down, "x", "width", window, keys)
-
-
-def local_min_surface(pixels: DataFrame, windows: list[int], keys: list[str] = KEY) -> DataFrame:
-    """Cell-wise mean of several minimum filters; NULL where nothing is in reach."""
-    parts = [min_filter(pixels, w, keys).withColumn("_i", F.lit(i)) for i, w in enumerate(windows)]
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    pick = lambda i: F.max(F.when(F.col("_i") == i, F.col("v")))
-    total = pick(0)
-    for i in range(1, len(windows)):
-        total = total + pick(i)
-    return stacked.groupBy(*keys, "height", "width", "y", "x").agg((total / len(windows)).alias("v"))
+    names = [f"_m{i}" for i in range(len(windows))]
+    down = _min_along(grid, "y", "height", {m: ("v", w) for m, w in zip(names, windows)}, keys, parts)
+    both = _min_along(down, "x", "width", {m: (m, w) for m, w in zip(names, windows)}, keys, parts)
+    total = F.col(names[0])
+    for m in names[1:]:
+        total = total + F.col(m)
+    return both.select(*keys, "height", "width", "y", "x", (total / len(windows)).alias("v"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import pointwise as pw
-from rasterloom.model import pixels_to_tiles, tiles_to_pixels, zip_tiles
+from rasterloom.model import cell_parts, pixels_to_tiles, tiles_to_pixels, zip_tiles
 from rasterloom.operators import focal, stats, tiles
 from rasterloom.operators.overlay import CELL, overlay
 from rasterloom.runtime import freeze, lookup_join
@@ -41,7 +41,7 @@ def from_local_min(dsm: DataFrame, meta: DataFrame, windows: list[int], threshol
     (on the complete grid when ``tile`` is None, which selects the pixel form).
     """
     if tile is None:
-        low = focal.local_min_surface(focal.with_dims(dsm, meta), windows)
+        low = focal.local_min_surface(focal.with_dims(dsm, meta), windows, parts=cell_parts(meta))
         grid = overlay(dsm.select(*CELL, F.col("v").alias("dsm")), low=low)
     else:
         packed = as_tiles(dsm, meta, tile)
@@ -52,7 +52,8 @@ def from_local_min(dsm: DataFrame, meta: DataFrame, windows: list[int], threshol
 def slope_surface(dsm: DataFrame, meta: DataFrame, sigma: float, tile: int | None = 256) -> DataFrame:
     """Smoothed gradient magnitude of every cell, next to the surface value itself."""
     if tile is None:
-        steep = focal.gaussian_blur(focal.gradient_magnitude(focal.with_dims(dsm, meta)), sigma)
+        parts = cell_parts(meta)
+        steep = focal.gaussian_blur(focal.gradient_magnitude(focal.with_dims(dsm, meta), parts=parts), sigma, parts=parts)
         joined = overlay(dsm.select(*CELL, F.col("v").alias("dsm")), slope=steep)
         return joined.withColumn("slope", F.coalesce("slope", F.lit(0.0)))
     packed = as_tiles(dsm, meta, tile)

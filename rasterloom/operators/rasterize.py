@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels
 from rasterloom.functions.pointwise import mark_nodata
-from rasterloom.model import NODATA, TILE_SCHEMA, densify, fill_grid, tile_table, tiles_per_block, tiles_to_pixels
+from rasterloom.model import NODATA, TILE_SCHEMA, cell_parts, densify, fill_grid, tile_table, tiles_per_block, tiles_to_pixels
 from rasterloom.operators import focal, tiles
 from rasterloom.operators.overlay import CELL, overlay
 from rasterloom.runtime import freeze, lookup_join
@@ -270,7 +270,7 @@ def build_mask(crowns: DataFrame, meta: DataFrame, sigma: float, nodata_threshol
     if tile is None:
         burned = burn(filter_crowns(crowns), meta)
         base = densify(burned, meta, 0.0).select(*CELL, F.col("v").alias("burned"))
-        soft = focal.gaussian_blur(focal.with_dims(burned, meta), sigma)
+        soft = focal.gaussian_blur(focal.with_dims(burned, meta), sigma, parts=cell_parts(meta))
         grid = overlay(base, soft=soft).withColumn("soft", F.coalesce("soft", F.lit(0.0)))
     else:
         soft = mask_tiles(crowns, meta, sigma, nodata_threshold, tile)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pointwise import scale_to_unit
-from rasterloom.model import BLOCK_SIDE, TILE_SCHEMA, cells, list_rows, strip_batches, tile_batches, tile_grid, tile_table
+from rasterloom.model import BLOCK_SIDE, TILE_SCHEMA, cell_parts, cells, list_rows, strip_batches, tile_batches, tile_grid, tile_table
 from rasterloom.operators.overlay import select_bands
 from rasterloom.runtime import freeze, lookup_join
 
@@ -22,56 +22,76 @@ _WINDOW_SCHEMA = ("raster_id string, band int, ty int, tx int, sy bigint, sx big
                   + ", ".join(f"{c} double" for c in _AXES) + ", data array<double>")
 
 
-def _send(df: DataFrame, at: str, size: str, origin: str, count: str, out: str, weight: str) -> DataFrame:
-    """Send every row to the target positions its source position weighs on along one axis.
+#: Side of the target blocks in which the pixel form sums.
+PIXEL_BLOCK = 64
+
+
+class _Line:
+    """One axis of the pixel form, as columns.
 
     A target centre lies at ``slope * t + offset`` in source index units. The kernel is a triangle
     of half-width ``max(1, |slope|)``: plain bilinear when enlarging, area-aware when shrinking. The
     slope is negative where the two grids' axes point in opposite directions.
     """
-    slope = F.col(f"t_{size}") / F.col(f"s_{size}")
-    offset = (F.col(f"t_{size}") * 0.5 + F.col(f"t_{origin}") - F.col(f"s_{origin}")) / F.col(f"s_{size}") - 0.5
-    reach = F.greatest(F.abs(slope), F.lit(1.0))
-    low, high = (F.col(at) - reach - offset) / slope, (F.col(at) + reach - offset) / slope
-    first = F.greatest(F.ceil(F.least(low, high)), F.lit(0))
-    last = F.least(F.floor(F.greatest(low, high)), F.col(f"t_{count}") - 1)
-    centre = slope * F.col(out) + offset
-    sent = (
-        df.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
-        .withColumn(out, F.explode(F.sequence("_first", "_last")))
-        .withColumns({"_c": centre, weight: 1.0 - F.abs(F.col(at) - centre) / reach})
-    )
-    # a neighbour on the very edge of the kernel weighs nothing, whatever the rounding of its position
-    inside = (F.col("_c") >= -0.5) & (F.col("_c") <= F.col(f"s_{count}") - 0.5)
-    return sent.filter((F.col(weight) > 1e-9) & inside).drop("_first", "_last", "_c")
 
-
-def resample_bilinear(raster: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    def __init__(self, at: str, size: str, origin: str, count: str):
+        self.at, self.count, self.block, self.out, self.weight = at, count, f"_b{at}", f"_t{at}", f"_w{at}"
+        self.slope = F.col(f"t_{size}") / F.col(f"s_{size}")
+        self.offset = (F.col(f"t_{size}") * 0.5 + F.col(f"t_{origin}") - F.col(f"s_{origin}")) / F.col(f"s_{size}") - 0.5
+        self.reach = F.greatest(F.abs(self.slope), F.lit(1.0))
+        low, high = ((F.col(at) + d * self.reach - self.offset) / self.slope for d in (-1, 1))
+        self.first = F.greatest(F.ceil(F.least(low, high)), F.lit(0))
+        self.last = F.least(F.floor(F.greatest(low, high)), F.col(f"t_{count}") - 1)
+
+    def to_blocks(self, df: DataFrame) -> DataFrame:
+        blocks = F.sequence(F.floor(self.first / PIXEL_BLOCK), F.floor(self.last / PIXEL_BLOCK))
+        return df.filter(self.first <= self.last).withColumn(self.block, F.explode(blocks))
+
+    def to_targets(self, df: DataFrame) -> DataFrame:
+        """Every row at the target positions of its block that its source position weighs on."""
+        start = F.col(self.block) * PIXEL_BLOCK
+        inside = F.sequence(F.greatest(self.first, start), F.least(self.last, start + (PIXEL_BLOCK - 1)))
+        centre = self.slope * F.col(self.out) + self.offset
+        sent = df.withColumn(self.out, F.explode(inside)).withColumns(
+            {"_c": centre, self.weight: 1.0 - F.abs(F.col(self.at) - centre) / self.reach})
+        # a neighbour on the very edge of the kernel weighs nothing, whatever the rounding of its position
+        within = (F.col("_c") >= -0.5) & (F.col("_c") <= F.col(f"s_{self.count}") - 0.5)
+        return sent.filter((F.col(self.weight) > 1e-9) & within).drop("_c")
+
+
+def resample_bilinear(raster: DataFrame, source: DataFrame, target: DataFrame, bands: int = 1) -> DataFrame:
     """Values on the target grid: the weighted mean of the present neighbours.
 
-    Each source cell is sent to the few target cells it weighs on and sums combine on the map
-    side; there is no neighbour join. Targets outside the source, or without any present
-    neighbour, get no row (missing). ``raster`` holds raster_id, band, y, x, v.
+    Each source cell is shuffled once per block of target cells that it reaches, and sent there to the few
+    cells it weighs on; there is no neighbour join. Partitions follow the larger grid's cells, times
+    ``bands``. Targets outside the source, or without any present neighbour, get no row (missing).
+    ``raster`` holds raster_id, band, y, x, v.
     """
     names = ["height", "width", "x0", "y0", "px", "py"]
     s = source.select("raster_id", *[F.col(c).alias(f"s_{c}") for c in names])
     t = target.select("raster_id", *[F.col(c).alias(f"t_{c}") for c in names])
-    placed = lookup_join(raster.filter("v is not null"), s.join(t, "raster_id"), "raster_id", "inner")
-
-    sent = _send(placed, "y", "py", "y0", "height", "_ty", "_wy")
-    sent = _send(sent, "x", "px", "x0", "width", "_tx", "_wx")
+    pairs = freeze(s.join(t, "raster_id"))
+    size = lambda g: cell_parts(pairs.select(F.col(f"{g}_height").alias("height"), F.col(f"{g}_width").alias("width")))
+    parts = max(size("s"), size("t")) * bands
+
+    down, across = _Line("y", "py", "y0", "height"), _Line("x", "px", "x0", "width")
+    placed = raster.filter("v is not null").join(pairs, "raster_id")
+    dealt = across.to_blocks(down.to_blocks(placed)).repartition(parts, "raster_id", "band", "_by", "_bx")
+    sent = across.to_targets(down.to_targets(dealt))
     w = F.col("_wy") * F.col("_wx")
     return (
-        sent.groupBy("raster_id", "band", F.col("_ty").alias("y"), F.col("_tx").alias("x"))
-        .agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
+        sent.groupBy("raster_id", "band", "_by", "_bx", F.col("_ty").alias("y"), F.col("_tx").alias("x"))
+        .agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v")).drop("_by", "_bx")
     )
 
 
 def resample_image(raster: DataFrame, bands: list[int], source: DataFrame, target: DataFrame,
                    top: float = 65535.0) -> DataFrame:
     """Pick and order bands, resample, scale to [0, 1]; cells without a value are 0."""
-    moved = resample_bilinear(select_bands(raster, bands), source, target)
-    grid = cells(target).withColumn("band", F.explode(F.array(*[F.lit(i + 1) for i in range(len(bands))])))
+    target = freeze(target)
+    parts = cell_parts(target) * len(bands)
+    moved = resample_bilinear(select_bands(raster, bands), source, target, len(bands)).repartition(parts, "raster_id", "y")
+    grid = cells(target, parts).withColumn("band", F.explode(F.array(*[F.lit(i + 1) for i in range(len(bands))])))
     full = grid.join(moved, ["raster_id", "band", "y", "x"], "left")
     return full.withColumn("v", scale_to_unit(F.col("v"), top))
 

@@ -149,3 +149,21 @@ def test_small_tiles_share_one_block(spark):
     schema = pa.schema([("k", pa.int32()), ("data", pa.list_(pa.float64()))])
     sizes = [b.num_rows for b in strip_batches((((k,), np.zeros(1 << 17)) for k in range(30)), schema)]
     assert sum(sizes) == 30 and max(sizes) * (1 << 20) <= BATCH_BYTES
+
+
+def test_pixel_forms_are_dealt_by_the_size_of_the_grid(spark, monkeypatch):
+    """Partitions grow with the cells, and blocks narrower than the raster give the brute-force numbers."""
+    from rasterloom import model
+
+    g = np.random.default_rng(3).normal(50, 9, (30, 23))
+    meta, px = meta_of(spark, {"r": g.shape}), pixels_of(spark, {"r": g})
+    monkeypatch.setattr(model, "PART_CELLS", 50)
+    monkeypatch.setattr(focal, "LINE", 4)
+    parts = model.cell_parts(meta)
+    assert parts == 14 and densify(px, meta).rdd.getNumPartitions() == parts
+    dims = focal.with_dims(densify(px, meta), meta)
+    low = focal.local_min_surface(dims, [3, 6], parts=parts)
+    soft = focal.gaussian_blur(dims, 1.0, parts=parts)
+    assert low.rdd.getNumPartitions() == soft.rdd.getNumPartitions() == parts
+    np.testing.assert_allclose(grid_of(low, g.shape), (min_brute(g, 3) + min_brute(g, 6)) / 2)
+    np.testing.assert_allclose(grid_of(soft, g.shape), blur_brute(g, 1.0))
